@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, language_id, quality_rules, secret_scan
+from . import byte_bpe, chat_format, hamming_search, html_text, jaccard_join, language_id, packing, pii, quality_rules, secret_scan
 from .common import read_table
 
 
@@ -32,6 +32,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select(F.col("key").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op3_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hamming_search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return found.select(
+        F.col("query").alias("vec_id"), F.col("rank").cast("bigint").alias("rank"), F.col("id").alias("neighbor_id"), F.col("distance").cast("bigint").alias("distance")
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.assess(read_table(spark, sf_dir, "documents"))
     return judged.select(
@@ -82,6 +89,33 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.digests(packed).select(F.col("key").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(read_table(spark, sf_dir, "pages"))
+    return found.select(F.col("key").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=85)
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("bigint")
+    base = F.filter("spans", lambda s: s["kind"] < pii.BASE_KINDS)
+    return found.select(
+        F.col("key").alias("doc_id"),
+        *[count(k).alias(f"n_{k}") for k in pii.KINDS[: pii.BASE_KINDS]],
+        F.sha2(secret_scan.written(base, pii.KINDS), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans"), pii.KINDS).alias("spans"),
+    )
+
+
 _LINE_OK = r"""
   w > 0 AND sym <= 0.3 * w AND len(regexp_extract_all(line, '!!')) <= 0.3 * w
   AND len(regexp_extract_all(line, '(^|[\x20\x09])([|»›>•·/]|::)([\x20\x09]|$)')) <= 0.2 * w
@@ -138,12 +172,26 @@ SELECT conv_id, count(*) AS n_turns,
 FROM s GROUP BY conv_id
 """
 
+OP3_SQL = """
+WITH c AS (SELECT DISTINCT vec_id, [x > 0 AND NOT isnan(x) FOR x IN embedding] AS bits FROM embeddings),
+p AS (SELECT q.vec_id, d.vec_id AS neighbor_id,
+        CAST(len(list_filter(list_zip(q.bits, d.bits), lambda z: z[1] <> z[2])) AS BIGINT) AS distance
+      FROM c q JOIN c d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor_id) AS rank FROM p)
+SELECT vec_id, CAST(rank AS BIGINT) AS rank, neighbor_id, distance FROM r WHERE rank <= 10
+"""
+
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_byte_bpe,
     op2_language_id,
+    op3_hamming_search,
     op4_quality_rules,
     op5_secret_scan,
     op6_chat_format,
+    op7_packing,
+    op8_html_text,
+    op9_jaccard_join,
+    op10_pii,
 ]
 
 
@@ -152,4 +200,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL, "op6_chat_format": OP6_SQL}
+    return {"op3_hamming_search": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_chat_format": OP6_SQL}
