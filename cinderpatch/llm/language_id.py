@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,25 +201,25 @@ def filter_documents(docs: DataFrame, min_score: float = 0.5, **fit_options) ->
     are those of the input; ``lang`` keeps the given label and takes the prediction where it was null."""
     model = fit(docs, **fit_options)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.orders))
-    names = docs.columns
+    names, own_key = docs.columns, uuid.uuid4().hex
 
-    @F.pandas_udf("struct<lang_pred string, score double>")
-    def told(texts):
-        import pandas as pd
-
-        own = _worker_model(shared)
+    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        own = _worker_model(own_key, shared)
         return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
 
+    told = told.asNondeterministic()  # else the filter and the projection would each run it
     marked = docs.withColumn("_told", told(F.col("text").cast("string")))
     kept = marked.where((F.col("_told.lang_pred") != UNDETERMINED) & (F.col("_told.score") >= min_score))
     return kept.withColumn("lang", F.coalesce("lang", "_told.lang_pred")).select(*names)
 
 
-_MODELS: dict[int, Model] = {}
+_MODELS: dict[str, Model] = {}
 
 
-def _worker_model(shared) -> Model:
-    if shared._jbid not in _MODELS:
+def _worker_model(key: str, shared) -> Model:
+    """One model for each Python worker and fit."""
+    if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[shared.id] = Model(*shared.value)
-    return _MODELS[shared.id]
+        _MODELS[key] = Model(*shared.value)
+    return _MODELS[key]
