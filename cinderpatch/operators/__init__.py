@@ -1 +1 @@
-
+"""Operators on frames of patches and pixels."""

@@ -1 +1 @@
-
+"""Jobs put together from sources, operators and functions."""

@@ -1 +1 @@
-
+"""Readers: schema sidecars and record files."""
