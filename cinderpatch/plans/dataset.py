@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.bands import checked, mask
 from ..operators.ordering import shuffled
@@ -49,7 +50,8 @@ def load_patches(
     """Schema sidecar, record files, inputs and label; cached before the optional shuffle. ``split`` picks
     the files whose name starts with it, so the others are never fetched."""
     schema = patch_struct(read_schema(spark, directory))
-    bands = input_bands(schema.fieldNames(), list(outputs))
+    images = [f.name for f in schema if isinstance(f.dataType, T.ArrayType)]  # other scalars are no input bands
+    bands = input_bands(images, list(outputs))
     glob = f"{directory.rstrip('/')}/{split + '-' if split else ''}{pattern}"
     patches = read_tfrecords(spark, glob, schema, size, ["id", *bands, *outputs], compression)
     frame = cached(split_bands(patches, bands, list(outputs), size), cache)
