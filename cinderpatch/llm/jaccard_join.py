@@ -3,10 +3,11 @@
 Documents whose word shingles are equal become one class, whose representative is its least id. The
 representatives are partitioned into groups of similar ones: those with the same least shingle hash, at
 most ``GROUP`` of them together. The matrix holds, for every group, the union of its members' tokens
-that can decide a match: with every set in one global order, two sets that reach the threshold share a
-token among their first ``n - needed + 1``. So the overlap of a query with a group is below what is
-needed unless they meet in that part of the matrix; only groups that do are opened. An opened group
-counts the exact overlap of each visitor with each member at once.
+that can decide a match: with every set in one global order, two sets that reach the threshold share
+``m`` tokens among their first ``n - needed + m`` (the first m of their common tokens stand there in
+both). So the overlap of a query with a group is below what is needed unless they meet that often in the
+matrix; only groups that do are opened. An opened group counts the exact overlap of each visitor with
+each member at once.
 
 The global order puts tokens that are frequent in a sample last (a bounded table; any order is exact,
 this one keeps passages that many documents share out of the matrix). The links then become components;
@@ -14,8 +15,8 @@ the driver holds none of them. Shingles are 64-bit hashes: two different shingle
 with a chance under 1e-12.
 
 Defined results: null, empty and wordless text has an empty set, no links and is its own component;
-with fewer than ``k`` words the whole sequence is the only shingle; repeated texts are linked; a null id
-is ignored; an empty table gives an empty result; other columns are ignored.
+with fewer than ``k`` words the whole sequence is the only shingle; repeated texts are linked; rows that
+repeat an id are one node; a null id is ignored; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .components import components
 
 GROUP = 256
 VISITORS = 512
+#: How many tokens of the matrix two groups must share (fewer where sets are smaller than that).
+MEETINGS = 8
 #: Every so many documents one is sampled for the order; tokens found that often there come last.
 SAMPLE_EVERY = 16
 SAMPLE_LEAST = 4
@@ -99,11 +102,18 @@ def _frequent_tokens(rows: DataFrame, k: int) -> np.ndarray:
 
 
 def _described(rows: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(key, n, digest, least, prefix) per document."""
+    """(key, n, digest, least, meet, prefix) per document; ``meet`` tokens of the prefix must be shared."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
-    schema = "key bigint, n bigint, digest binary, least bigint, prefix array<bigint>"
+    schema = "key bigint, n bigint, digest binary, least bigint, meet int, prefix array<bigint>"
     fields = pa.schema(
-        [("key", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("least", pa.int64()), ("prefix", pa.list_(pa.int64()))]
+        [
+            ("key", pa.int64()),
+            ("n", pa.int64()),
+            ("digest", pa.binary()),
+            ("least", pa.int64()),
+            ("meet", pa.int32()),
+            ("prefix", pa.list_(pa.int64())),
+        ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,14 +121,15 @@ def _described(rows: DataFrame, k: int, percent: int, frequent: np.ndarray) -> D
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                keys, sizes, digests, leasts, prefixes = part.column("key"), [], [], [], []
+                keys, sizes, digests, leasts, meets, prefixes = part.column("key"), [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     tokens = shingler.tokens(text)
                     n = len(tokens)
                     sizes.append(n)
                     digests.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                     leasts.append(int(tokens[:1].view(np.int64)[0]) if n else None)
-                    size = n - needed(n, percent) + 1 if n else 0
+                    meets.append(min(MEETINGS, needed(n, percent)))
+                    size = n - needed(n, percent) + meets[-1]
                     if len(late) and n:
                         place = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
                         common = late[place] == tokens
@@ -128,7 +139,8 @@ def _described(rows: DataFrame, k: int, percent: int, frequent: np.ndarray) -> D
                 flat = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(leasts, pa.int64()), lists], schema=fields
+                    [keys, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(leasts, pa.int64()), pa.array(meets, pa.int32()), lists],
+                    schema=fields,
                 )
 
     return rows.mapInArrow(run, schema)
@@ -140,10 +152,11 @@ def _tokens(rows: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
-                sets = [shingler.tokens(text).tobytes() for text in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sets, pa.binary())], names=["rid", "tokens"])
+                sets = pa.array([shingler.tokens(text).tobytes() for text in part.column("text").to_pylist()], pa.binary())
+                columns = [part.column(c) for c in ("host", "part", "rid", "member")]
+                yield pa.RecordBatch.from_arrays([*columns, sets], names=["host", "part", "rid", "member", "tokens"])
 
-    return rows.mapInArrow(run, "rid bigint, tokens binary")
+    return rows.mapInArrow(run, "host bigint, part bigint, rid bigint, member boolean, tokens binary")
 
 
 def _opened(percent: int):
@@ -193,34 +206,33 @@ def _opened(percent: int):
     return links
 
 
-def similar_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+def similar_links(docs: DataFrame, described: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links between representatives, enough to connect all that are linked. ``docs``: key, text;
-    ``classes``: rid, least, prefix of the representatives."""
+    ``described``: with prefixes; ``classes``: digest, rid, least, meet of the representatives."""
     per_least = classes.groupBy("least").agg(F.count("*").alias("size"))
-    groups = classes.join(per_least, "least").withColumn(
-        "grp", F.xxhash64("least", F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / GROUP)))
-    )
-    rows = groups.select("rid", "grp", F.explode("prefix").alias("token"))
+    chunk = F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / GROUP))
+    members = saved(classes.join(per_least, "least").select("digest", "rid", "meet", F.xxhash64("least", chunk).alias("grp")))
+    sizes = saved(members.groupBy("grp").agg(F.count("*").alias("size"), F.min("meet").alias("meet")))
+    # The long prefix column is shuffled once, for this join; a representative is one row of its class.
+    prefixes = described.join(members.withColumnRenamed("rid", "key").select("digest", "key", "grp"), ["digest", "key"])
     by_token = Window.partitionBy("token")
     matrix = saved(
-        rows.withColumns({"lo": F.min("grp").over(by_token), "hi": F.max("grp").over(by_token)})
+        prefixes.select("grp", F.explode("prefix").alias("token"))
+        .withColumns({"lo": F.min("grp").over(by_token), "hi": F.max("grp").over(by_token)})
         .where("lo < hi")
         .select("token", "grp")
         .distinct()
     )
-    members = saved(groups.select("rid", "grp"))
-    sizes = members.groupBy("grp").agg(F.count("*").alias("size"))
     met = (
         matrix.alias("x")
         .join(matrix.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")))
-        .select(F.col("x.grp").alias("g1"), F.col("y.grp").alias("g2"))
-        .distinct()
-    )
-    sized = met.join(sizes.select(F.col("grp").alias("g1"), F.col("size").alias("s1")), "g1").join(
-        sizes.select(F.col("grp").alias("g2"), F.col("size").alias("s2")), "g2"
+        .groupBy(F.col("x.grp").alias("g1"), F.col("y.grp").alias("g2"))
+        .agg(F.count("*").alias("shared"))
     )
+    end = lambda i: sizes.select(F.col("grp").alias(f"g{i}"), F.col("size").alias(f"s{i}"), F.col("meet").alias(f"m{i}"))
+    qualifying = met.join(end(1), "g1").join(end(2), "g2").where(F.col("shared") >= F.least("m1", "m2"))
     first_hosts = F.col("s1") >= F.col("s2")  # the larger group stays, the smaller one visits
-    visits = sized.select(
+    visits = qualifying.select(
         F.when(first_hosts, F.col("g1")).otherwise(F.col("g2")).alias("host"), F.when(first_hosts, F.col("g2")).otherwise(F.col("g1")).alias("grp")
     )
     visitors = saved(visits.join(members, "grp").select("host", "rid"))
@@ -230,13 +242,12 @@ def similar_links(docs: DataFrame, classes: DataFrame, k: int, percent: int) ->
     )
     hosts = sizes.join(parts.withColumnRenamed("host", "grp"), "grp", "left").where("size > 1 or parts is not null")
     staying = (
-        members.join(hosts, "grp")
+        members.join(hosts.select("grp", "parts"), "grp")
         .select(F.col("grp").alias("host"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "rid")
         .withColumn("member", F.lit(True))
     )
     tasks = saved(visiting.unionByName(staying))
-    wanted = docs.join(tasks.select(F.col("rid").alias("key")).distinct(), "key", "left_semi")
-    opened = tasks.join(_tokens(wanted, k), "rid")
+    opened = _tokens(tasks.join(docs, tasks["rid"] == docs["key"]).select("host", "part", "rid", "member", "text"), k)
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     return opened.groupBy("host", "part").applyInArrow(_opened(percent), schema)
 
@@ -246,10 +257,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     link when 100 * intersection >= percent * union of their k-word shingle sets."""
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
     described = saved(_described(rows, k, percent, _frequent_tokens(rows, k)))
-    full = described.where("n > 0")
-    classes = saved(full.groupBy("digest").agg(F.min("key").alias("rid")))
-    kept = full.withColumnRenamed("key", "rid").join(classes, ["digest", "rid"], "left_semi").dropDuplicates(["rid"])
-    labels = components(similar_links(rows, kept.select("rid", "least", "prefix"), k, percent)).withColumnRenamed("node", "rid")
+    per_class = described.where("n > 0").groupBy("digest")
+    classes = saved(per_class.agg(F.min("key").alias("rid"), F.min("least").alias("least"), F.min("meet").alias("meet")))
+    labels = components(similar_links(rows, described, classes, k, percent)).withColumnRenamed("node", "rid")
     by_class = classes.join(labels, "rid", "left").select("digest", F.coalesce("component", "rid").alias("component"))
     return (
         described.select("key", "n", "digest")
