@@ -49,7 +49,7 @@ class Model:
         self.languages, self.words, self.orders = languages, words, orders
         tables = [orders.get(order, {}) for order in ORDERS]
         self.gram_rows = {g: i for i, g in enumerate(g for t in tables for g in t)}
-        self.gram_scores = np.array([v for t in tables for v in t.values()]).reshape(-1, len(languages))
+        self.gram_scores = np.array([v for t in tables for v in t.values()]).reshape(-1, max(1, len(languages)))
         self.clear()
 
     def clear(self) -> None:
