@@ -28,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, SLICE_ROWS
+from .common import SLICE_ROWS
 
 # Every character here is white space to the tokenizer's own patterns, so no token crosses it.
 CHUNKS = re.compile(r"[^ \t\n\r]+").findall
-POOL = 512
+POOL = 128
+#: Chunks whose ids a Python worker remembers, about 200 bytes each.
+TOKEN_CACHE = 1_000_000
 #: A bin with at most this many free tokens is padded as it is.
 LITTLE = 16
 SCHEMA = (
@@ -64,16 +66,18 @@ class ChunkTokenizer:
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        chunks = CHUNKS(text)
-        parts = list(map(self.known.get, chunks))
-        if None in parts:
-            new = list({c for c, ids in zip(chunks, parts, strict=True) if ids is None})
-            got = dict(zip(new, self.encode_chunks(new), strict=True))
-            parts = [got[c] if ids is None else ids for c, ids in zip(chunks, parts, strict=True)]
-            if len(self.known) > CACHE_ENTRIES:
-                self.known.clear()
-            self.known.update((c, ids) for c, ids in got.items() if len(c) <= 64)
-        return b"".join(parts)
+        chunks, known = CHUNKS(text), self.known
+        new = list(set(chunks).difference(known))
+        if len(known) + len(new) > TOKEN_CACHE:
+            known.clear()
+            new = list(set(chunks))
+        if new:
+            known.update(zip(new, self.encode_chunks(new), strict=True))
+        ids = b"".join(map(known.__getitem__, chunks))
+        for chunk in new:
+            if len(chunk) > 64:
+                del known[chunk]
+        return ids
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """One call for all chunks; a token belongs to the chunk in which it starts."""

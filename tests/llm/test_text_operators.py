@@ -268,7 +268,7 @@ def test_packing_with_masks(spark):
 def test_tokenizer_cache_keeps_ids_when_emptied(monkeypatch, texts):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "CACHE_ENTRIES", 50)
+    monkeypatch.setattr(packing, "TOKEN_CACHE", 50)
     library, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.ChunkTokenizer(open(P.path("word_bpe_49k.json")).read())
     rng = random.Random(4)
     fuzz = ["".join(rng.choice("aé'sm thé \n\t\x1c\x85​İΣς1２ 😀") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
