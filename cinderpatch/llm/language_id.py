@@ -85,7 +85,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS(text.lower()) if text else []
-        if not words or not self.languages:
+        if not self.languages or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
         counts = Counter(words)
         if len(self.rows) > CACHE_ENTRIES:

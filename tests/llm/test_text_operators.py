@@ -94,6 +94,7 @@ def test_language_fit_is_bounded_and_ties_go_by_name(spark):
     model = language_id.fit(rows, max_words=2, max_grams=5)
     assert model.languages == ["aa", "xx"] and len(model.words) == 2 and sum(map(len, model.orders.values())) == 5
     assert model.predict("hello")[0] == "aa"
+    assert model.predict("½ ² 12")[0] == model.predict("\u0301")[0] == "und"
     assert language_id.fit(rows.where("false")).predict("hello") == ("und", 0.0)
 
 
