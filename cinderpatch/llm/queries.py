@@ -181,6 +181,20 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighb
 SELECT vec_id, CAST(rank AS BIGINT) AS rank, neighbor_id, distance FROM r WHERE rank <= 10
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS g
+      FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(min(b), w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id, n.n
+"""
+
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_byte_bpe,
     op2_language_id,
@@ -200,4 +214,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_hamming_search": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_chat_format": OP6_SQL}
+    return {"op3_hamming_search": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_jaccard_join": OP9_SQL}
