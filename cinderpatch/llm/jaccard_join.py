@@ -16,7 +16,7 @@ with a chance under 1e-12.
 
 Defined results: null, empty and wordless text has an empty set, no links and is its own component;
 with fewer than ``k`` words the whole sequence is the only shingle; repeated texts are linked; rows that
-repeat an id are one node; a null id is ignored; an empty table gives an empty result; other columns are ignored.
+repeat an id are one node; a row without an id is linked with nothing and has no component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -255,23 +255,26 @@ def similar_links(docs: DataFrame, described: DataFrame, classes: DataFrame, k:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: key, n_shingles, component_id (the least key that links reach). Two documents
     link when 100 * intersection >= percent * union of their k-word shingle sets."""
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text")).where("key is not null")
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
     described = saved(_described(rows, k, percent, _frequent_tokens(rows, k)))
-    per_class = described.where("n > 0").groupBy("digest")
+    per_class = described.where("n > 0 and key is not null").groupBy("digest")
     classes = saved(per_class.agg(F.min("key").alias("rid"), F.min("least").alias("least"), F.min("meet").alias("meet")))
     labels = components(similar_links(rows, described, classes, k, percent)).withColumnRenamed("node", "rid")
     by_class = classes.join(labels, "rid", "left").select("digest", F.coalesce("component", "rid").alias("component"))
     return (
         described.select("key", "n", "digest")
         .join(by_class, "digest", "left")
-        .select("key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key")).alias("component_id"))
+        .select("key", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("key").isNotNull(), F.col("component")).otherwise(F.col("key")).alias("component_id"))
     )
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Pipeline stage: of each component the document with the least id stays (one of its rows, if that id
-    is repeated, whichever comes first in the order of all columns). Columns are those of the input."""
-    found = near_duplicates(docs, k=k, percent=percent).where("key = component_id").select(F.col("key").alias("_key")).distinct()
+    """Pipeline stage: of each component the document with the least id stays; of rows that repeat that id
+    the first in the order of their columns (but maps). Rows without an id stay, as nothing tells them
+    apart. Columns are those of the input."""
     names = docs.columns
-    kept = docs.join(found, docs["doc_id"].cast("bigint") == F.col("_key"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*names)
+    found = near_duplicates(docs, k=k, percent=percent).where("key = component_id").select(F.col("key").alias("_key")).distinct()
+    chosen = docs.join(found, docs["doc_id"].cast("bigint") == F.col("_key"), "left_semi")
+    order = F.struct(*[n for n, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    kept = chosen.groupBy(F.col("doc_id").alias("_key")).agg(F.min_by(F.struct(*names), order).alias("_row")).select("_row.*")
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -73,15 +73,18 @@ def test_jaccard_join(spark, monkeypatch, k, percent, group):
     texts = near_copies()
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in texts.items()] + [(None, "no id", 1, "x")], "doc_id bigint, text string, n int, digest string")
     got = {r["key"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df, k=k, percent=percent).collect()}
+    assert got.pop(None) == (1, None)
     assert got == linked(texts, k, percent)
 
 
 def test_keep_one(spark):
     texts = near_copies()
-    df = spark.createDataFrame([(i, t, "z") for i, t in texts.items()] + [(0, texts[0], "z")], "doc_id bigint, text string, key string")
+    df = spark.createDataFrame([(i, t, "z") for i, t in texts.items()] + [(0, texts[0], "a"), (None, texts[1], "z")], "doc_id bigint, text string, key string")
     kept = jaccard_join.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, c in linked(texts, 5, 80).values()})
+    rows = kept.collect()
+    assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted({c for _, c in linked(texts, 5, 80).values()})
+    assert [r["key"] for r in rows if r["doc_id"] == 0] in ([], ["a"]) and [r["text"] for r in rows if r["doc_id"] is None] == [texts[1]]
 
 
 def test_components(spark):
