@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -62,3 +63,28 @@ def map_rows(
                     )
 
     return df.mapInArrow(run, schema)
+
+
+def count_rows(df: DataFrame, items: Callable[[dict], Iterable[tuple[tuple, int]]], schema: str, fields: list[pa.Field]) -> DataFrame:
+    """Partial counts: ``items`` gives (key, n) pairs of a row, and the last output column is the sum of n
+    by key. Keys are summed in bounded tables before they leave the task; sum again after a shuffle."""
+    arrow = pa.schema(fields)
+
+    def out(counts: Counter) -> pa.RecordBatch:
+        columns = [*zip(*counts, strict=True), list(counts.values())]
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                for row in batch.slice(at, SLICE_ROWS).to_pylist():
+                    for key, n in items(row):
+                        counts[key] += n
+                if len(counts) >= CACHE_ENTRIES:
+                    yield out(counts)
+                    counts = Counter()
+        if counts:
+            yield out(counts)
+
+    return df.mapInArrow(run, schema)

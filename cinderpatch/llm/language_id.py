@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, map_rows
+from .common import CACHE_ENTRIES, count_rows, map_rows, saved
 
 UNDETERMINED = "und"
 #: Orders of the character n-grams, longest first; a word is padded with one blank on each side.
@@ -136,30 +136,16 @@ def fit(
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.where(draw < F.element_at(rate, F.col("lang"))).select("text", "lang")
 
-    def make():
-        def row(r: dict):
-            for word, n in Counter(LETTERS(r["text"].lower())).items():
-                yield r["lang"], word, n
+    def words_of(r: dict):
+        return (((r["lang"], word), n) for word, n in Counter(LETTERS(r["text"].lower())).items())
 
-        return row
+    def grams_of(r: dict):
+        return (((r["lang"], order, gram), r["n"]) for order in ORDERS for gram in grams(r["word"], order))
 
     fields = [pa.field("lang", pa.string()), pa.field("word", pa.string()), pa.field("n", pa.int64())]
-    words = (
-        map_rows(sample, make, "lang string, word string, n bigint", fields)
-        .groupBy("word", "lang")
-        .agg(F.sum("n").alias("n"))
-    )
-
-    def spread():
-        def row(r: dict):
-            for order in ORDERS:
-                for gram in grams(r["word"], order):
-                    yield r["lang"], order, gram, r["n"]
-
-        return row
-
+    words = count_rows(sample, words_of, "lang string, word string, n bigint", fields).groupBy("word", "lang").agg(F.sum("n").alias("n"))
     gram_fields = [pa.field("lang", pa.string()), pa.field("size", pa.int32()), pa.field("item", pa.string()), pa.field("n", pa.int64())]
-    items = map_rows(words, spread, "lang string, size int, item string, n bigint", gram_fields).unionByName(
+    items = count_rows(words, grams_of, "lang string, size int, item string, n bigint", gram_fields).unionByName(
         words.select("lang", F.lit(0).alias("size"), F.col("word").alias("item"), "n")
     )
     by_item = (
@@ -168,6 +154,7 @@ def fit(
         .groupBy("size", "item")
         .agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))  # a row per label at most
     )
+    by_item = saved(by_item)
     picked = (
         by_item.where("size = 0 and total > 1").orderBy(F.desc("total"), "item").limit(max_words).collect()
         + by_item.where("size > 0 and total > 1").orderBy(F.desc("total"), "size", "item").limit(max_grams).collect()
