@@ -50,43 +50,53 @@ def removed_chars(text: Column, chars: str) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    words = word_count(line)
-    letters = F.regexp_count(line, F.lit(r"\p{L}"))
-    return (
-        (words > 0)
-        & (removed_chars(line, SYMBOLS) <= SYMBOLS_PER_WORD * words)
-        & (F.regexp_count(line, F.lit(SHOUT)) <= SHOUTS_PER_WORD * words)
-        & (F.regexp_count(line, F.lit(NAVIGATION)) <= NAVIGATION_PER_WORD * words)
-        & ((letters < 20) | (F.regexp_count(line, F.lit(r"\p{Lu}")) <= UPPER_PER_LETTER * letters))
-        & ((words > STUB_WORDS) | line.rlike(END_MARK))
-        & ~((words <= 20) & line.rlike(BOILERPLATE))
-    )
+    def judged(words: Column) -> Column:
+        letters = F.regexp_count(line, F.lit(r"\p{L}"))
+        shouted = let(letters, lambda n: (n >= 20) & (F.regexp_count(line, F.lit(r"\p{Lu}")) > UPPER_PER_LETTER * n))
+        return (
+            (words > 0)
+            & (removed_chars(line, SYMBOLS) <= SYMBOLS_PER_WORD * words)
+            & (F.regexp_count(line, F.lit(SHOUT)) <= SHOUTS_PER_WORD * words)
+            & (F.regexp_count(line, F.lit(NAVIGATION)) <= NAVIGATION_PER_WORD * words)
+            & ~shouted
+            & ((words > STUB_WORDS) | line.rlike(END_MARK))
+            & ~((words <= 20) & line.rlike(BOILERPLATE))
+        )
 
+    return let(word_count(line), judged)
 
-def repeated_window_words(words: Column) -> Column:
-    """How many words lie in three-word windows that occur twice or more. Sorting the windows puts equal
-    ones side by side, so a row costs n log n and no window leaves its row."""
 
-    def covered(w: Column) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i")),
+def _covered_by_repeats(w: Column) -> Column:
+    """Sorting the windows puts equal ones side by side, so a row costs n log n and no window leaves it."""
+    windows = F.transform(
+        F.sequence(F.lit(0), F.size(w) - 3),
+        lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i")),
+    )
+
+    def marked(s: Column) -> Column:
+        def same(x: Column, y: Column) -> Column:
+            return F.coalesce((x["b"] == y["b"]) & (x["a"] == y["a"]) & (x["c"] == y["c"]), F.lit(False))
+
+        hits = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1),
+            lambda k: same(F.get(s, k), F.get(s, k + 1)) | same(F.get(s, k), F.get(s, k - 1)),
         )
+        places = F.flatten(F.transform(hits, lambda k: let(F.get(s, k)["i"], lambda i: F.array(i, i + 1, i + 2))))
+        return F.size(F.array_distinct(places))
 
-        def marked(s: Column) -> Column:
-            def same(x: Column, y: Column) -> Column:
-                return F.coalesce((x["b"] == y["b"]) & (x["a"] == y["a"]) & (x["c"] == y["c"]), F.lit(False))
+    return let(F.sort_array(windows), marked)
 
-            hits = F.filter(
-                F.sequence(F.lit(0), F.size(s) - 1),
-                lambda k: same(F.get(s, k), F.get(s, k + 1)) | same(F.get(s, k), F.get(s, k - 1)),
-            )
-            places = F.flatten(F.transform(hits, lambda k: let(F.get(s, k)["i"], lambda i: F.array(i, i + 1, i + 2))))
-            return F.size(F.array_distinct(places))
 
-        return let(F.sort_array(windows), marked)
+def repeated_window_words(words: Column) -> Column:
+    """How many words lie in three-word windows that occur twice or more. Windows whose hashes all differ
+    all differ; only other texts are sorted."""
+
+    def counted(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        all_differ = let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
+        return F.when(all_differ, F.lit(0)).otherwise(_covered_by_repeats(w))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, covered)).cast("bigint")
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, counted)).cast("bigint")
 
 
 def assess(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
