@@ -37,7 +37,7 @@ from .components import components
 GROUP = 256
 VISITORS = 512
 #: How many tokens of the matrix two groups must share (fewer where sets are smaller than that).
-MEETINGS = 8
+MEETINGS = 16
 #: Every so many documents one is sampled for the order; tokens found that often there come last.
 SAMPLE_EVERY = 16
 SAMPLE_LEAST = 4
