@@ -21,6 +21,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS
 
-# Every character here is white space to the tokenizer's own patterns, so no token crosses it.
+# White space of the tokenizer's own patterns, which no token crosses. Python's split() knows the same
+# characters and four more.
+NOT_SPACE = "\x1c\x1d\x1e\x1f"
 CHUNKS = re.compile(r"[^ \t\n\r]+").findall
 POOL = 128
 #: Chunks whose ids a Python worker remembers, about 200 bytes each.
@@ -66,7 +69,8 @@ class ChunkTokenizer:
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        chunks, known = CHUNKS(text), self.known
+        chunks = CHUNKS(text) if any(c in text for c in NOT_SPACE) else text.split()
+        known = self.known
         new = list(set(chunks).difference(known))
         if len(known) + len(new) > TOKEN_CACHE:
             known.clear()
@@ -84,7 +88,7 @@ class ChunkTokenizer:
         encoding = self.tokenizer.encode(" ".join(chunks), add_special_tokens=False)
         ids = np.array(encoding.ids, dtype="<u4").tobytes()
         starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])[1:]
-        tokens = np.array(encoding.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
+        tokens = np.fromiter(map(itemgetter(0), encoding.offsets), dtype=np.int64)
         ends = np.searchsorted(tokens, starts, side="left")
         return [ids[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 

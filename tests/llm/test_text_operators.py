@@ -272,7 +272,7 @@ def test_tokenizer_cache_keeps_ids_when_emptied(monkeypatch, texts):
     monkeypatch.setattr(packing, "TOKEN_CACHE", 50)
     library, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.ChunkTokenizer(open(P.path("word_bpe_49k.json")).read())
     rng = random.Random(4)
-    fuzz = ["".join(rng.choice("aé'sm thé \n\t\x1c\x85​İΣς1２ 😀") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    fuzz = ["".join(rng.choice("aé'sm thé \n\t\x1c\x1f\x0b\xa0\u2003\u2028\u3000\u1680\x85​İΣς1２ 😀") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
     for text in [*texts, *fuzz, "<|endoftext|> x <|endoftext|>"]:
         assert list(memoryview(own.encode(text)).cast("I")) == library.encode(text, add_special_tokens=False).ids
 
