@@ -7,6 +7,9 @@ region is the smallest container that holds most of the content lines' text, or
 all its lines are the main text, short ones too, but for those inside elements that are never content (menus, site headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments).
 
+Elements are such by tag or role, or by a name in class or id. A name alone drops nothing: it marks
+the text, and ``dropped`` decides once the whole page is known.
+
 Defined results: null html counts as the empty page; a page without text outside such elements gives
 the empty text; repeated rows stay repeated; an empty table gives an empty result; other columns are
 ignored. Character references are decoded; white space in a line becomes one space; ``br`` is white
@@ -16,6 +19,8 @@ space.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -40,11 +45,19 @@ CONTAINER = frozenset("html body main article section div center table tbody tr
 WHOLE = frozenset("main article".split())  # the region grows to such an element around it
 CLOSES_P = BLOCK - {"html", "body"}
 SKIPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|comments?|disqus|replies|menu|nav|navbar|navigation"
+    r"(?<![^\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|comments?|disqus|replies|menu|nav|navbar|navigation"
     r"|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|widget"
-    r"|pagination|toolbar|login|signup)(?:$|[\s_-])",
+    r"|pagination|toolbar|login|signup)(?![^\s_-])",
     re.IGNORECASE,
 )
+COMMENT_NAMES = re.compile(r"(?<![^\s_-])(?:comments?|disqus|replies)(?![^\s_-])", re.IGNORECASE)
+#: Words that leave a name beside them what it is (site-footer, comment-list); any other word makes it a
+#: part of something else (has-sidebar, social-science).
+QUALIFIERS = frozenset(
+    "site page main primary secondary global top bottom left right upper lower inner outer side head foot body list item items box"
+    " area section block wrapper wrap container content holder panel pane bar row column col slot unit zone region button"
+    " buttons icon icons link links post posts article articles story stories news reader user thread form overlay message js id".split()
+)
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 
 #: Standard deviation of the smoothing, in lines; threshold as a share of the ratios' standard deviation;
@@ -54,14 +67,29 @@ THRESHOLD = 0.5
 HELD = 0.8
 
 
+@lru_cache(maxsize=4096)
+def name_mark(value: str) -> int:
+    """What a class or id tells of its element: 0 nothing, 1 one of SKIPPED_NAMES in other company, 2 such a
+    name by itself, 3 the name of reader comments by itself."""
+    mark = 0
+    for word in value.split():
+        if SKIPPED_NAMES.search(word):
+            rest = re.split(r"[_-]+", SKIPPED_NAMES.sub("", word).lower())
+            alone = all(w in QUALIFIERS or len(w) < 2 or w.isdigit() for w in rest)
+            mark = max(mark, 1 if not alone else 3 if COMMENT_NAMES.search(word) else 2)
+    return mark
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: text, number of tags, chain of open elements, and whether they can be content."""
+    """Lines of a page: pieces of text with the innermost named element, number of tags, chain of open elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # name, number, skipped
-        self.lines: list[tuple[str, int, tuple[tuple[int, str], ...]]] = []
-        self.text: list[str] = []
+        self.open: list[tuple[str, int, bool, int]] = []  # name, number, skipped, innermost named element or 0
+        self.named: dict[int, tuple[int, int, frozenset[int]]] = {}  # mark, named element around, main and articles around
+        self.whole: dict[int, int] = {}  # main or article: innermost named element
+        self.lines: list[tuple[list[tuple[int, str]], int, tuple[tuple[int, str], ...]]] = []
+        self.text: list[tuple[int, str]] = []
         self.tags = self.count = 0
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
@@ -70,23 +98,20 @@ class _Lines(HTMLParser):
 
     def end_line(self) -> None:
         if self.text:
-            text = " ".join("".join(self.text).split())
-            if text:
-                self.lines.append((text, max(1, self.tags), tuple((n, name) for name, n, _ in self.open if name in CONTAINER)))
+            if line_text(self.text):
+                self.lines.append((self.text, max(1, self.tags), tuple((n, name) for name, n, _, _ in self.open if name in CONTAINER)))
             self.text = []
         self.tags = 0
 
     def skipped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if self.open and self.open[-1][2]:
             return True
-        if tag in SKIPPED or tag == "header" and not any(name in ("article", "main") for name, _, _ in self.open):
+        if tag in SKIPPED or tag == "header" and not any(name in WHOLE for name, _, _, _ in self.open):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
         for name, value in attrs:
-            if value is not None and (
-                name in ("class", "id") and SKIPPED_NAMES.search(value) or name == "role" and value.lower() in SKIPPED_ROLES
-            ):
+            if name == "role" and value is not None and value.lower() in SKIPPED_ROLES:
                 return True
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
@@ -105,7 +130,16 @@ class _Lines(HTMLParser):
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             self.leave(tag, frozenset(("ul", "ol", "dl", "table", "select", "tbody", "tr") if tag not in ("tr",) else ("table",)))
         self.count += 1
-        self.open.append((tag, self.count, self.skipped(tag, attrs)))
+        inside = self.open[-1][3] if self.open else 0
+        skipped = self.skipped(tag, attrs)
+        if tag in WHOLE:
+            self.whole[self.count] = inside
+        elif not skipped and attrs and tag not in ("html", "body"):
+            mark = max((name_mark(value) for name, value in attrs if value and name in ("class", "id")), default=0)
+            if mark:
+                self.named[self.count] = mark, inside, frozenset(n for name, n, _, _ in self.open if name in WHOLE)
+                inside = self.count
+        self.open.append((tag, self.count, skipped, inside))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # only void elements close themselves
@@ -126,8 +160,10 @@ class _Lines(HTMLParser):
             self.leave(tag, frozenset() if tag in BLOCK or tag in SKIPPED else frozenset(BLOCK))
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][2]):
-            self.text.append(data)
+        if not self.open:
+            self.text.append((0, data))
+        elif not self.open[-1][2]:
+            self.text.append((self.open[-1][3], data))
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -136,17 +172,83 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, kernel / kernel.sum(), mode="full")[radius : radius + len(ratios)]
 
 
+def line_text(pieces: list[tuple[int, str]]) -> str:
+    return " ".join("".join(data for _, data in pieces).split())
+
+
+def clusters(sizes: np.ndarray, tags: list[int]) -> np.ndarray:
+    """Which lines are content."""
+    ratio = smoothed(sizes / np.array(tags))
+    return ratio >= min(THRESHOLD * ratio.std(), ratio.max())
+
+
+def dropped(parser: _Lines) -> set[int]:
+    """The named elements that are never content and all named ones in them, judged from the outside in.
+
+    One that holds a ``main`` stays. A name by itself drops its element if a main or article lies beside it,
+    or if it does not hold most of the content lines' text (reader comments: all of it). In other company a
+    name drops an element without an article most of whose text is not in content lines, and that does not
+    hold most of the page's.
+    """
+    lines, named = parser.lines, parser.named
+    content = clusters(np.array([len(line_text(pieces)) for pieces, _, _ in lines], dtype=float), [tags for _, tags, _ in lines])
+    size: Counter = Counter()
+    prose: Counter = Counter()  # of that, in content lines
+    held: dict[int, set[str]] = defaultdict(set)
+    whole = {element for _, _, chain in lines for element in chain if element[1] in WHOLE}
+    for (pieces, _, _), is_content in zip(lines, content.tolist(), strict=True):
+        for number, data in pieces:
+            n = len(" ".join(data.split()))
+            size[number] += n
+            prose[number] += n * is_content
+    for number, name in whole:
+        held[parser.whole[number]].add(name)
+    for number in sorted(named, reverse=True):
+        around = named[number][1]
+        size[around] += size[number]
+        prose[around] += prose[number]
+        held[around] |= held[number]
+    gone: set[int] = set()
+    last = {0: 0}  # by named element: the innermost one around or itself with a name by itself
+    for number in sorted(named):
+        mark, around, _ = named[number]
+        last[number] = number if mark > 1 else last[around]
+    for number in sorted(named):
+        mark, around, ancestors = named[number]
+        if around in gone:
+            gone.add(number)
+            continue
+        if not size[number] or "main" in held[number]:
+            continue
+        if mark > 1:
+            beside = any(
+                last[at] < number and at not in gone and last[at] not in gone
+                for at in (parser.whole[n] for n, _ in whole if n not in ancestors)
+            )
+            keep = not beside and (prose[number] == prose[0] if mark == 3 else 2 * prose[number] > prose[0])
+        else:
+            keep = "article" in held[number] or 2 * prose[number] >= size[number] or 2 * size[number] > size[0]
+        if not keep:
+            gone.add(number)
+            size[0] -= size[number]
+            prose[0] -= prose[number]
+    return gone
+
+
 def main_text(html: str) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    lines = parser.lines
+    gone = dropped(parser) if parser.named and parser.lines else set()
+    lines = []
+    for pieces, tags, chain in parser.lines:
+        if text := line_text([p for p in pieces if p[0] not in gone] if gone else pieces):
+            lines.append((text, tags, chain))
     if not lines:
         return ""
     sizes = np.array([len(text) for text, _, _ in lines], dtype=float)
-    ratio = smoothed(sizes / np.array([tags for _, tags, _ in lines]))
-    content = ratio >= min(THRESHOLD * ratio.std(), ratio.max())
+    content = clusters(sizes, [tags for _, tags, _ in lines])
     held: dict[tuple[int, str], float] = {}
     for (_, _, chain), size, is_content in zip(lines, sizes, content, strict=True):
         if is_content:

@@ -295,6 +295,31 @@ def test_html(spark):
     assert [(r["key"], r["url"], bool(r["text"])) for r in rows] == [(1, "u", True), (2, None, False), (2, None, False)]
 
 
+STORY = "".join(f"<p>Paragraph {i} of the story, with words enough to be told from a menu.</p>" for i in range(4))
+TOLD = [f"Paragraph {i} of the story, with words enough to be told from a menu." for i in range(4)]
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "site no-menu", "layout-with-nav", "wrapper sidebar-right", "social", "menu"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_wrappers_with_names(name, tag):
+    side = "<div class='sidebar'><a>Other</a> <a>More</a></div><ul class='main-menu'><li>Home<li>Sport</ul>"
+    page = f"<body><div class='{name}'>{side}<{tag}><h1>The head</h1>{STORY}</{tag}></div><div id='site-footer'>(c) us</div></body>"
+    assert html_text.main_text(page).split("\n") == ["The head", *TOLD]
+    assert html_text.main_text(page.replace("class='", "id='")).split("\n") == ["The head", *TOLD]
+
+
+def test_html_named_parts_of_an_article():
+    science = "<section class='social-science'><h2>On science</h2><p>What the social sciences have to say of this, at length.</p></section>"
+    cookies = "<section id='cookie-recipes'><p>Take flour, butter and sugar, and stir until they are one.</p></section>"
+    page = f"<article>{STORY}{science}<div class='share-buttons'>Share this with all whom you know, now and for ever.</div>{cookies}<p>End, <span class='ad'>buy</span> well.</p></article>"
+    assert html_text.main_text(page).split("\n") == [*TOLD, "On science", "What the social sciences have to say of this, at length.", "Take flour, butter and sugar, and stir until they are one.", "End, well."]
+    comments = f"<section id='comments'>{''.join(f'<article><p>Reader {i} says a very long thing about all of this, and more.</p></article>' for i in range(9))}</section>"
+    for tag in ("div", "article", "main"):
+        assert html_text.main_text(f"<body><{tag}>{STORY}</{tag}>{comments}</body>").split("\n") == TOLD
+    many = "<div class='ad has-x'>" * 3000 + "deep text " * 9
+    assert html_text.main_text(many) == ("deep text " * 9).strip()
+
+
 def test_html_on_generated_pages(spark):
     """Against a parser that knows how these pages are made."""
     import html
