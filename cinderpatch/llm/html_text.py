@@ -3,9 +3,10 @@
 The standard library's parser streams a page's events. Every block element starts a line; its
 text-to-tag ratio is the number of its characters over its tags. The ratios are smoothed with a
 Gaussian over neighbouring lines and split at a threshold into content and other lines. The content
-region is the smallest container that holds most of the content lines' text, or the article around it;
-all its lines are the main text, short ones too, but for those inside elements that are never content (menus, site headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments).
+region is the smallest container that holds all content lines, or the article around it; all its lines
+are the main text, short ones too, but for those inside elements that are never content (menus, site
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments). A heading
+counts as a content line if one follows within the reach of the smoothing.
 
 Elements are such by tag or role, or by a name in class or id. A name alone drops nothing: it marks
 the text, and ``dropped`` decides once the whole page is known.
@@ -42,6 +43,7 @@ SKIPPED = frozenset(
     " textarea menu dialog".split()
 )
 CONTAINER = frozenset("html body main article section div center table tbody tr td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("main article".split())  # the region grows to such an element around it
 CLOSES_P = BLOCK - {"html", "body"}
 SKIPPED_NAMES = re.compile(
@@ -60,11 +62,9 @@ QUALIFIERS = frozenset(
 )
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 
-#: Standard deviation of the smoothing, in lines; threshold as a share of the ratios' standard deviation;
-#: share of the content lines' text that the region must hold.
+#: Standard deviation of the smoothing, in lines; threshold as a share of the ratios' standard deviation.
 SIGMA = 1.0
 THRESHOLD = 0.5
-HELD = 0.8
 
 
 @lru_cache(maxsize=4096)
@@ -81,14 +81,15 @@ def name_mark(value: str) -> int:
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: pieces of text with the innermost named element, number of tags, chain of open elements."""
+    """Lines of a page: pieces of text with the innermost named element, number of tags, chain of open
+    elements, whether it is a heading."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool, int]] = []  # name, number, skipped, innermost named element or 0
         self.named: dict[int, tuple[int, int, frozenset[int]]] = {}  # mark, named element around, main and articles around
         self.whole: dict[int, int] = {}  # main or article: innermost named element
-        self.lines: list[tuple[list[tuple[int, str]], int, tuple[tuple[int, str], ...]]] = []
+        self.lines: list[tuple[list[tuple[int, str]], int, tuple[tuple[int, str], ...], bool]] = []
         self.text: list[tuple[int, str]] = []
         self.tags = self.count = 0
 
@@ -99,7 +100,8 @@ class _Lines(HTMLParser):
     def end_line(self) -> None:
         if self.text:
             if line_text(self.text):
-                self.lines.append((self.text, max(1, self.tags), tuple((n, name) for name, n, _, _ in self.open if name in CONTAINER)))
+                chain = tuple((n, name) for name, n, _, _ in self.open if name in CONTAINER)
+                self.lines.append((self.text, max(1, self.tags), chain, any(name in HEADINGS for name, _, _, _ in self.open[-3:])))
             self.text = []
         self.tags = 0
 
@@ -191,12 +193,12 @@ def dropped(parser: _Lines) -> set[int]:
     hold most of the page's.
     """
     lines, named = parser.lines, parser.named
-    content = clusters(np.array([len(line_text(pieces)) for pieces, _, _ in lines], dtype=float), [tags for _, tags, _ in lines])
+    content = clusters(np.array([len(line_text(pieces)) for pieces, *_ in lines], dtype=float), [tags for _, tags, *_ in lines])
     size: Counter = Counter()
     prose: Counter = Counter()  # of that, in content lines
     held: dict[int, set[str]] = defaultdict(set)
-    whole = {element for _, _, chain in lines for element in chain if element[1] in WHOLE}
-    for (pieces, _, _), is_content in zip(lines, content.tolist(), strict=True):
+    whole = {element for _, _, chain, _ in lines for element in chain if element[1] in WHOLE}
+    for (pieces, *_), is_content in zip(lines, content.tolist(), strict=True):
         for number, data in pieces:
             n = len(" ".join(data.split()))
             size[number] += n
@@ -242,24 +244,22 @@ def main_text(html: str) -> str:
     parser.end_line()
     gone = dropped(parser) if parser.named and parser.lines else set()
     lines = []
-    for pieces, tags, chain in parser.lines:
+    for pieces, *rest in parser.lines:
         if text := line_text([p for p in pieces if p[0] not in gone] if gone else pieces):
-            lines.append((text, tags, chain))
+            lines.append((text, *rest))
     if not lines:
         return ""
-    sizes = np.array([len(text) for text, _, _ in lines], dtype=float)
-    content = clusters(sizes, [tags for _, tags, _ in lines])
-    held: dict[tuple[int, str], float] = {}
-    for (_, _, chain), size, is_content in zip(lines, sizes, content, strict=True):
-        if is_content:
-            for element in chain:
-                held[element] = held.get(element, 0.0) + size
-    most = sizes[content].sum() * HELD
-    region = max((e for e, n in held.items() if n >= most), default=None)  # inner elements open later
+    sizes = np.array([len(text) for text, *_ in lines], dtype=float)
+    content = clusters(sizes, [tags for _, tags, *_ in lines])
+    for at in [i for i, (*_, heading) in enumerate(lines) if heading]:
+        content[at] = content[at : at + 1 + int(3 * SIGMA)].any()
+    chains = [chain for (_, _, chain, _), is_content in zip(lines, content, strict=True) if is_content]
+    shared = set(chains[0]).intersection(*chains[1:])
+    region = max(shared, default=None)  # inner elements open later
     if region is not None:
-        around = next(chain for _, _, chain in lines if region in chain)
+        around = next(chain for _, _, chain, _ in lines if region in chain)
         region = next((e for e in around if e[1] in WHOLE and e <= region), region)
-    return "\n".join(text for text, _, chain in lines if region is None or region in chain)
+    return "\n".join(text for text, _, chain, _ in lines if region is None or region in chain)
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -320,6 +320,18 @@ def test_html_named_parts_of_an_article():
     assert html_text.main_text(many) == ("deep text " * 9).strip()
 
 
+def test_html_content_in_several_containers():
+    long = "<p>" + "A paragraph with words enough to hold nearly all of the text of its page by itself. " * 9 + "</p>"
+    kept = " ".join(re.sub("<.*?>", "", long).split())
+    menu = "<div>" + "".join(f"<div><a href=/{i}>Link {i}</a></div>" for i in range(12)) + "</div>"
+    for box in ("div", "section"):
+        head = f"<{box}><h1>The head</h1></{box}><{box}>By us</{box}>"
+        lead = f"<{box}><p>The lead stands beside the body and tells in a few words what is to come.</p></{box}>"
+        page = f"<body>{menu}<div id=story>{head}{lead}<{box}>{long * 5}</{box}><{box}><p>The last word, set apart from all the rest of it.</p></{box}></div>{menu}</body>"
+        told = html_text.main_text(page).split("\n")
+        assert told == ["The head", "By us", "The lead stands beside the body and tells in a few words what is to come.", *[kept] * 5, "The last word, set apart from all the rest of it."]
+
+
 def test_html_on_generated_pages(spark):
     """Against a parser that knows how these pages are made."""
     import html
