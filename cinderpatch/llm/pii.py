@@ -6,7 +6,9 @@ anchor a small deterministic parser expands to the left and right, fixes the bou
 
 Base kinds are ``email``, ``ip``, ``card`` and ``phone``: the leftmost non-overlapping matches of their
 patterns, of which those that fail validation are dropped. Added kinds: ``login`` (user and password
-before the host of an address), ``iban`` and ``ssn`` after their cues.
+before the host of an address), ``iban`` and ``ssn`` after their cues. Cues count in any case; the first
+number starts within ``WORDS`` words after its cue, each further one within as many after the last. An
+account's country tells its length; where the country is unknown, the longest end that validates counts.
 
 Defined results: null text counts as the empty text and has no spans; repeated rows stay repeated; an
 empty table gives an empty result; columns other than the named ones are ignored by ``find`` and kept
@@ -15,6 +17,7 @@ by ``redact_documents``.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
 
@@ -29,16 +32,32 @@ from .common import map_rows
 # Kinds in order, anchors, and the boundaries that the parsers know.
 KINDS = ("email", "ip", "card", "phone", "login", "iban", "ssn")
 BASE_KINDS = 4
-CUES = {"iban": ("IBAN", "Iban", "iban"), "ssn": ("SSN", "ssn", "Social Security", "social security")}
+CUES = {"iban": ("iban",), "ssn": ("ssn", "social")}
+WORDS = 8
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = frozenset("0123456789")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 ADDRESS = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-LOGIN = re.compile(r"[^\s/@:?#]{1,256}:[^\s/@?#]{1,256}@(?=[A-Za-z0-9\[])")
-IBAN = re.compile(r"[\x20:#=]{0,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Z0-9])")
-SSN = re.compile(r"[^0-9\n]{0,12}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+LOGIN = re.compile(r"[^\s/@:?#]++:[^\s/@?#]++@(?=[A-Za-z0-9\[])")
+SECURITY = re.compile(r"[\s-]{1,4}security", re.IGNORECASE)
+NEXT_WORD = re.compile(r"[\W_]{0,64}([^\W_]{1,64})")
+IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[\x20\xa0\u202f-]?[A-Za-z0-9]){11,30}")
+SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+FIRST_DIGIT = re.compile(r"[^\W_0-9]*([0-9])")
+GOES_ON = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+#: Characters of an account by country.
+LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 SPAN_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
@@ -57,6 +76,44 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def iban_end(text: str, at: int) -> int | None:
+    """End of the account that starts here, if one does."""
+    if not (m := IBAN.match(text, at)):
+        return None
+    places = [i for i in range(at, m.end()) if text[i].isalnum()]
+    known = LENGTHS.get(text[at : at + 2].upper())
+    for n in (known,) if known else range(len(places), 14, -1):
+        if n > len(places):
+            continue
+        end = places[n - 1] + 1
+        if text[end : end + 1] in GOES_ON:
+            continue
+        account = "".join(text[i] for i in places[:n])
+        if (account.isupper() or known and account.islower()) and mod97(account):
+            return end
+    return None
+
+
+def ssn_end(text: str, at: int) -> int | None:
+    return m.end() if (m := SSN.match(text, at)) else None
+
+
+def after_cue(text: str, at: int, kind: str) -> list[tuple[int, int]]:
+    """(start, end) of the numbers after a cue that ends here."""
+    out, left = [], WORDS
+    while left and (m := NEXT_WORD.match(text, at)):
+        start = m.start(1)
+        if kind == "ssn":
+            start = d.start(1) if (d := FIRST_DIGIT.match(text, start)) else start
+            end = ssn_end(text, start)
+        else:
+            end = iban_end(text, start)
+        if end:
+            out.append((start, end))
+        at, left = (end, WORDS) if end else (m.end(), left - 1)
+    return out
+
+
 def only_digits(text: str) -> str:
     return "".join(c for c in text if c in DIGITS)
 
@@ -69,7 +126,8 @@ def anchors() -> ahocorasick.Automaton:
         found.add_word(word, (len(word), kind))
     for kind, words in CUES.items():
         for word in words:
-            found.add_word(word, (len(word), kind))
+            for cased in itertools.product(*({c.lower(), c.upper()} for c in word)):
+                found.add_word("".join(cased), (len(word), kind))
     found.make_automaton()
     return found
 
@@ -78,6 +136,7 @@ def spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, i
     """(start, kind, end) by start, then kind."""
     out: list[tuple[int, int, int]] = []
     email_end = ip_end = card_end = 0
+    number_end = {"iban": 0, "ssn": 0}
     for last, (size, kind) in automaton.iter(text):
         at = last + 1 - size
         if kind == "digit":
@@ -104,11 +163,16 @@ def spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, i
         elif kind == "scheme":
             if m := LOGIN.match(text, last + 1):
                 out.append((m.start(), 4, m.end() - 1))
-        elif kind == "iban":
-            if (m := IBAN.match(text, last + 1)) and mod97(m[1].replace(" ", "")):
-                out.append((m.start(1), 5, m.end(1)))
-        elif m := SSN.match(text, last + 1):
-            out.append((m.start(1), 6, m.end(1)))
+        else:
+            after = last + 1
+            if size == len("social"):
+                if not (m := SECURITY.match(text, after)):
+                    continue
+                after = m.end()
+            if after > number_end[kind]:  # else the cue before has looked there
+                for start, end in after_cue(text, after, kind):
+                    out.append((start, KINDS.index(kind), end))
+                    number_end[kind] = end
     return sorted(set(out))
 
 

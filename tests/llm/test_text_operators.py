@@ -223,6 +223,32 @@ def test_pii_added_kinds_and_redaction(spark):
     assert [(r["text"], r["n_chars"]) for r in out.orderBy("doc_id").collect()] == [("mail <EMAIL> now", 16), (None, 1), ("clean", 5)]
 
 
+ACCOUNTS = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947", "fr1420041010050500013m02606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+
+
+@pytest.mark.parametrize("account", ACCOUNTS)
+def test_pii_accounts_in_running_text(account):
+    automaton = pii.anchors()
+    for before in ("IBAN: ", "IBAN number: ", "iBaN of the payee is ", "the IBAN\n", "International Bank Account Number (IBAN) = ", "IBAN......... "):
+        for after in ("", ", then", " BIC: COBADEFF", " Please pay", " 12 EUR", "\nPAY NOW", ". SWIFT A1", " and more"):
+            found = [before + account == (before + account + after)[: s[2]] and s[0] == len(before) for s in pii.spans(before + account + after, automaton) if s[1] == 5]
+            assert found == [True], before + account + after
+    both = f"IBANs: {account} or {ACCOUNTS[0]} BIC X"
+    assert [both[s[0] : s[2]] for s in pii.spans(both, automaton) if s[1] == 5] == [account, ACCOUNTS[0]]
+    assert not [s for s in pii.spans(f"IBAN {account}9 and one word after another until there are too many {account}", automaton) if s[1] == 5]
+
+
+def test_pii_cues_and_long_logins():
+    automaton = pii.anchors()
+    for cue in ("SSN ", "Ssn: ", "Social security ", "SOCIAL SECURITY NO. ", "social\nsecurity number of the applicant: ", "Social-Security#"):
+        text = f"{cue}123-45-6789, 1"
+        assert [(s[0], s[2]) for s in pii.spans(text, automaton) if s[1] == 6] == [(len(cue), len(cue) + 11)], text
+    assert not [s for s in pii.spans("social work 123-45-6789", automaton) if s[1] == 6]
+    text = f"see https://user:{'p' * 3000}@host.org/ and http://{'u' * 700}:p@h"
+    assert [s[2] - s[0] for s in pii.spans(text, automaton) if s[1] == 4] == [3005, 702]
+    assert len(pii.spans(f"IBAN {ACCOUNTS[0]} " * 5000, automaton)) == 5000
+
+
 @pytest.mark.parametrize("limits", [(4096, 256, 4096), (16, 3, 16), (32, 4, 20)])
 def test_packing(spark, odd_texts, limits):
     from tokenizers import Tokenizer
