@@ -35,7 +35,8 @@ from .common import SLICE_ROWS
 # characters and four more.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 CHUNKS = re.compile(r"[^ \t\n\r]+").findall
-POOL = 128
+#: A bin is filled once the pool holds this many bins' tokens and more examples than a bin's segments.
+POOL_BINS = 2
 #: Chunks whose ids a Python worker remembers, about 200 bytes each.
 TOKEN_CACHE = 1_000_000
 #: A bin with at most this many free tokens is padded as it is.
@@ -129,26 +130,35 @@ class Packer:
             raise ValueError("limits must be 1 or more")
         self.limits = np.array([tokens, segments, loss], dtype=float)
         self.pool: list[Piece] = []
+        self.need = np.empty((0, 3))  # the pool's vectors, with spare rows
+        self.tokens = 0  # in the pool
+
+    def put(self, piece: Piece) -> None:
+        if len(self.pool) == len(self.need):
+            self.need = np.concatenate([self.need, np.empty((len(self.need) + 64, 3))])
+        self.need[len(self.pool)] = len(piece.ids), 1, piece.loss_tokens
+        self.pool.append(piece)
+        self.tokens += len(piece.ids)
 
     def add(self, piece: Piece) -> Iterator[list[Piece]]:
-        tokens, _, loss = map(int, self.limits)
+        tokens, segments, loss = map(int, self.limits)
         while len(piece.ids) >= tokens or piece.loss_tokens >= loss:
             n = piece.head_within(tokens, loss)
             head, piece = piece.cut(n)
             yield from self.laid_out([head])
-            if not len(piece.ids):
-                return
-        self.pool.append(piece)
-        if len(self.pool) >= POOL:
-            while len(self.pool) > POOL // 2:
-                yield from self.laid_out(self.fill())
+        if not len(piece.ids):
+            return
+        self.put(piece)
+        while len(self.pool) > segments and self.tokens >= POOL_BINS * tokens:
+            yield from self.laid_out(self.fill())
 
     def finish(self) -> Iterator[list[Piece]]:
         while self.pool:
             yield from self.laid_out(self.fill())
 
     def fill(self) -> list[Piece]:
-        need = np.array([(len(p.ids), 1, p.loss_tokens) for p in self.pool], dtype=float)
+        need = self.need[: len(self.pool)]
+        shares = need / self.limits
         free = np.ones(len(self.pool), dtype=bool)
         left, chosen = self.limits.copy(), []
         back: list[Piece] = []
@@ -156,7 +166,7 @@ class Packer:
             fits = free & (need <= left).all(axis=1)
             last = left[1] == 1 and (need[free, 0] > left[0]).any()
             if fits.any() and not last:
-                at = int(np.where(fits, (need / self.limits) @ (left / self.limits), -1.0).argmax())
+                at = int(np.where(fits, shares @ (left / self.limits), -1.0).argmax())
                 piece = self.pool[at]
             else:
                 at = int(np.where(free, need[:, 0], -1.0).argmax())
@@ -169,7 +179,11 @@ class Packer:
             free[at] = False
             chosen.append(piece)
             left -= (len(piece.ids), 1, piece.loss_tokens)
-        self.pool = [p for p, f in zip(self.pool, free, strict=True) if f] + back
+        self.pool = [p for p, f in zip(self.pool, free.tolist(), strict=True) if f]
+        self.need[: len(self.pool)] = need[free]
+        self.tokens = int(self.need[: len(self.pool), 0].sum())
+        for rest in back:
+            self.put(rest)
         return chosen
 
     def laid_out(self, pieces: list[Piece]) -> Iterator[list[Piece]]:

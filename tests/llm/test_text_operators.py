@@ -278,6 +278,19 @@ def test_packing(spark, odd_texts, limits):
         assert padding <= 0.01 * sum(sizes)
 
 
+@pytest.mark.parametrize("length, full, segments", [(20, 4096, None), (16, 4096, 256), (4, 1024, 256)])
+def test_packing_short_examples(spark, length, full, segments):
+    """Bins are full in tokens or in segments, but for the last."""
+    rows = [(i, bytearray((7).to_bytes(4, "little") * length)) for i in range(2000)]
+    out = packing.pack_tokens(spark.createDataFrame(rows, "key int, token_bytes binary").coalesce(1)).collect()
+    sizes, counts = Counter(), Counter()
+    for r in out:
+        sizes[r["sequence_id"]] += r["length"]
+        counts[r["sequence_id"]] += 1
+    assert sum(sizes.values()) == 2000 * length and list(sizes.values()).count(full) >= 2000 * length // full
+    assert segments is None or all(counts[i] == segments for i, n in sizes.items() if n == full)
+
+
 def test_packing_with_masks(spark):
     ids = (7).to_bytes(4, "little")
     rows = [(i, bytearray(ids * n), bytearray(bytes(j % 3 == 0 for j in range(n)))) for i, n in enumerate([5, 9, 30, 1, 12, 0])]
