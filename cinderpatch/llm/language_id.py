@@ -185,8 +185,12 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 def filter_documents(docs: DataFrame, min_score: float = 0.5, **fit_options) -> DataFrame:
     """Pipeline stage: learns from the labels of ``docs`` and drops documents whose language cannot be
     told (``und``) or whose best language has a share under ``min_score``. Clean prose stays. Columns
-    are those of the input; ``lang`` keeps the given label and takes the prediction where it was null."""
+    are those of the input; ``lang`` keeps the given label and takes the prediction where it was null.
+    When nothing could be learned, only documents without a letter go and nulls become ``und``."""
     model = fit(docs, **fit_options)
+    if not model.words and not any(model.orders.values()):
+        lettered = docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+        return lettered.withColumn("lang", F.coalesce("lang", F.lit(UNDETERMINED))).select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.orders))
     names, own_key = docs.columns, uuid.uuid4().hex
 

@@ -15,7 +15,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that can be told go."""
+    """Documents without a language that can be told, with a share of 0.5 at least, go; where no label lets
+    one be learned, only those without a letter."""
     return language_id.filter_documents(docs)
 
 

@@ -107,6 +107,18 @@ def test_language_stage_keeps_columns_and_clean_rows(spark):
     assert all(i < 10_000 for i in ids) and len(ids) >= 0.97 * docs.count()
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(1, "An English text.", None), (2, "текст по-русски", None), (3, "中文", None), (4, "12 ... 3", None), (5, "", None), (6, None, None)]
+    kept = language_id.filter_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in kept) == [(1, "und"), (2, "und"), (3, "und")]
+
+
+def test_language_stage_keeps_clean_rows_by_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    kept = {r["doc_id"] for r in language_id.filter_documents(docs).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+
+
 def base_quality(text):
     text = text or ""
     w = WORDS.findall(text)
