@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bands import above, let
+from ..functions.bands import above, count_above, let
 
 COUNTS = ("tp", "fp", "fn", "tn")
 
@@ -18,14 +18,17 @@ def confusion(rows: DataFrame, truth: Column, predicted: Column, by: list[str] |
     )
 
 
-def patch_confusion(patches: DataFrame, truth: str, score: str, threshold: float = 0.5) -> DataFrame:
-    """The same counts from array columns: counted inside each row, so no pixel is ever shuffled."""
+def _counts(truth: str, score: str, threshold: float) -> Column:
+    """A patch's counts, as a struct."""
     hit = F.transform(score, lambda v: F.coalesce(above(v, threshold), F.lit(False)))
     pairs = F.zip_with(F.col(truth), hit, lambda y, p: F.coalesce(y.cast("int"), F.lit(0)) * 2 + F.coalesce(p.cast("int"), F.lit(0)))
     how_many = lambda cells, code: F.size(F.filter(cells, lambda v: v == code))
-    counted = patches.select(
-        let(pairs, lambda c: F.struct(*[how_many(c, n).alias(k) for k, n in zip(COUNTS, (3, 1, 2, 0), strict=True)])).alias("n")
-    )
+    return let(pairs, lambda c: F.struct(*[how_many(c, n).alias(k) for k, n in zip(COUNTS, (3, 1, 2, 0), strict=True)]))
+
+
+def patch_confusion(patches: DataFrame, truth: str, score: str, threshold: float = 0.5) -> DataFrame:
+    """The same counts from array columns: counted inside each row, so no pixel is ever shuffled."""
+    counted = patches.select(_counts(truth, score, threshold).alias("n"))
     return counted.agg(*[F.coalesce(F.sum(f"n.{k}"), F.lit(0)).cast("bigint").alias(k) for k in COUNTS])
 
 
@@ -62,6 +65,24 @@ def threshold_report(rows: DataFrame, truth: Column, score: Column, thresholds:
     return metrics(wide.select(each.alias("x")).select("x.*"))
 
 
+def patch_evaluation(patches: DataFrame, truth: str, cuts: list[tuple[str, float]]) -> DataFrame:
+    """score, threshold and metrics for each of a few (score column, threshold) pairs, in one pass over the patches."""
+    counted = patches.select(*[_counts(truth, score, t).alias(f"n{i}") for i, (score, t) in enumerate(cuts)])
+    wide = counted.agg(
+        *[F.coalesce(F.sum(f"n{i}.{k}"), F.lit(0)).cast("bigint").alias(f"{k}{i}") for i in range(len(cuts)) for k in COUNTS]
+    )
+    each = [
+        F.struct(F.lit(score).alias("score"), F.lit(t).alias("threshold"), *[F.col(f"{k}{i}").alias(k) for k in COUNTS]) for i, (score, t) in enumerate(cuts)
+    ]
+    return metrics(wide.select(F.inline(F.array(*each))))
+
+
+def positive_count(patches: DataFrame, score: str, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """Pixels above the threshold over a whole split: counted in each row, then summed."""
+    counted = patches.select(*(by or []), count_above(F.col(score), threshold).alias("n"))
+    return counted.groupBy(*(by or [])).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n_positive"))
+
+
 def binary_iou(rows: DataFrame, truth: Column, score: Column, threshold: float = 0.5) -> DataFrame:
     """Jaccard of the positive class over all rows; a score at the threshold counts as positive."""
     hit = (score >= F.lit(threshold).cast("float")) & ~F.isnan(score)

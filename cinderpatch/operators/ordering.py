@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def shuffled(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
     """Random order that depends on the seed and the key alone; a range-partitioned sort that spills."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.col(key))
 
 
 def take_batches(df: DataFrame, n: int, batch_size: int, key: str = "id") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +21,13 @@ def input_bands(names: list[str], outputs: list[str], scalars: tuple[str, ...] =
     return [n for n in names if n not in scalars and n not in outputs and n != "split"]
 
 
-def split_bands(patches: DataFrame, inputs: list[str], outputs: list[str], size: int, key: str = "id") -> DataFrame:
-    """key, inputs (a struct of bands) and label: one output becomes a mask, several stay as they are (a struct)."""
+def split_bands(
+    patches: DataFrame, inputs: list[str], outputs: list[str], size: int, key: str = "id", also: tuple[str, ...] = ()
+) -> DataFrame:
+    """key, the columns of ``also``, inputs (a struct of bands) and label: one output becomes a mask, several stay
+    as they are (a struct)."""
     label = mask(checked(F.col(outputs[0]), size)) if len(outputs) == 1 else F.struct(*outputs)
-    keep = [c for c in ("split",) if c in patches.columns]
+    keep = [c for c in (*also, "split") if c in patches.columns]
     return patches.select(key, *keep, F.struct(*[checked(F.col(b), size).alias(b) for b in inputs]).alias("inputs"), label.alias("label"))
 
 
@@ -46,16 +52,32 @@ def load_patches(
     cache: bool | str = False,
     shuffle_seed: int | None = None,
     split: str | None = None,
+    non_img_features: tuple[str, ...] = SCALARS,
+    key: str = "id",
+    keep: tuple[str, ...] = (),
+    partitions: int | None = None,
 ) -> DataFrame:
     """Schema sidecar, record files, inputs and label; cached before the optional shuffle. ``split`` picks
-    the files whose name starts with it, so the others are never fetched."""
-    schema = patch_struct(read_schema(spark, directory))
+    the files whose name starts with it, so the others are never fetched. Float features are images but for
+    ``non_img_features``; ``keep`` names scalars, such as the position, that stay beside the key."""
+    schema = patch_struct(read_schema(spark, directory), non_img_features)
     images = [f.name for f in schema if isinstance(f.dataType, T.ArrayType)]  # other scalars are no input bands
-    bands = input_bands(images, list(outputs))
+    bands = input_bands(images, list(outputs), non_img_features)
     glob = f"{directory.rstrip('/')}/{split + '-' if split else ''}{pattern}"
-    patches = read_tfrecords(spark, glob, schema, size, ["id", *bands, *outputs], compression)
-    frame = cached(split_bands(patches, bands, list(outputs), size), cache)
-    return frame if shuffle_seed is None else shuffled(frame, shuffle_seed)
+    patches = read_tfrecords(spark, glob, schema, size, [key, *keep, *bands, *outputs], compression, partitions=partitions)
+    frame = cached(split_bands(patches, bands, list(outputs), size, key, keep), cache)
+    return frame if shuffle_seed is None else shuffled(frame, shuffle_seed, key)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a local one only where all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
 
 
 def build_datasets(spark: SparkSession, directory: str, **options) -> tuple[DataFrame, DataFrame]:

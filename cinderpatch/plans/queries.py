@@ -6,9 +6,9 @@ date), as a patch of 8 x 8 pixels of one band, or, 64 rows together, as a patch
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 from ..functions import bands as B
 from ..operators import grid, metrics, ordering
 from . import score, train
-from .dataset import cached
+from ..sources.schema import patch_struct, read_schema, write_schema
+from ..sources.tfrecord import read_tfrecords, write_tfrecords
+from .dataset import build_datasets, cached, input_bands, load_patches, shared_folder
 
 BANDS = [f"A{i:02d}" for i in range(64)]
 SIZE = 8
@@ -43,6 +45,12 @@ def band_projection(spark, sf_dir):
     return _pixels(spark, sf_dir, ["A01", "A16", "A09"]).drop("BurnDate")
 
 
+def band_exclusion(spark, sf_dir):
+    """All bands but the outputs, in their order."""
+    rows = _pixels(spark, sf_dir, BANDS)
+    return rows.select("vec_id", *input_bands(rows.columns, ["BurnDate", "A00"], ("vec_id",)))
+
+
 def burn_label(spark, sf_dir):
     return _pixels(spark, sf_dir, []).select("vec_id", B.burned(F.col("BurnDate").cast("float")).alias("burned"))
 
@@ -214,11 +222,90 @@ def multi_scale_fit(spark, sf_dir):
     return _rounded(metrics.threshold_report(train.predict(fitted.model, frames[1]), F.col("label") > 0, F.col("p").cast("float"), (0.5, 0.9)))
 
 
+def split_positives(spark, sf_dir):
+    rows = ordering.hashed_split(_table(spark, sf_dir), "vec_id")
+    return metrics.positive_count(rows, "embedding", 0.1, ["split"])
+
+
+def evaluation_report(spark, sf_dir):
+    """Model scores at three thresholds and last year's burned area, in one pass over the patches."""
+    patches = _table(spark, sf_dir).select(
+        "vec_id",
+        F.transform("embedding", lambda v: B.above(v, 0.2)).alias("label"),
+        F.transform("embedding", lambda v: (B.rescale(v) + 0.2).cast("float")).alias("p"),
+        F.transform("embedding", lambda v: v + F.lit(0.3).cast("float")).alias("last_year"),
+    )
+    return _rounded(score.evaluate(patches, last_year="last_year", key="vec_id")[0])
+
+
+def model_roundtrip(spark, sf_dir):
+    """A fitted model, saved in the shared folder and loaded again, predicts the same."""
+    data, fitted = _fitted(spark, sf_dir)
+    path = shared_folder(spark, "model")
+    fitted.model.write().overwrite().save(path)
+    rows = data.where("split = 'validation'")
+    again = train.predict(MultilayerPerceptronClassificationModel.load(path), rows).select("vec_id", F.col("p").alias("q"))
+    both = train.predict(fitted.model, rows).join(again, "vec_id")
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("p") == F.col("q")).alias("same"))
+
+
+FEATURES = [("id", "INT"), ("name", "BYTES"), ("lat", "FLOAT"), ("lon", "FLOAT"), ("elevation", "FLOAT"), ("A00", "FLOAT"), ("A01", "FLOAT"), ("burned_area_2023", "FLOAT"), ("BurnDate", "FLOAT")]
+POINTS = ("lat", "lon", "id", "elevation")
+
+
+def _records(spark, sf_dir) -> str:
+    """Lands the table as record files of 8 x 8 patches, by split, with their schema; the folder is shared."""
+    folder = shared_folder(spark, "records")
+    number = lambda i: F.get("embedding", F.lit(i))
+    times = lambda k: F.transform("embedding", lambda v: v * F.lit(k).cast("float"))
+    rows = ordering.hashed_split(_table(spark, sf_dir), "vec_id").select(
+        F.col("vec_id").alias("id"),
+        F.concat(F.lit("patch "), "vec_id").alias("name"),
+        number(0).alias("lat"),
+        number(1).alias("lon"),
+        number(2).alias("elevation"),
+        F.col("embedding").alias("A00"),
+        times(2).alias("A01"),
+        times(-1).alias("burned_area_2023"),
+        times(100).alias("BurnDate"),
+        "split",
+    )
+    for split in ("training", "validation"):
+        write_tfrecords(rows.where(F.col("split") == split).drop("split"), f"{folder}/{split}-0.tfrecord.gz")
+    write_schema(spark, folder, FEATURES)
+    return folder
+
+
+def record_scalars(spark, sf_dir):
+    """Every kind of feature through the record reader, and the split of the file's prefix."""
+    folder = _records(spark, sf_dir)
+    rows = read_tfrecords(spark, f"{folder}/*.tfrecord.gz", patch_struct(read_schema(spark, folder), POINTS), SIZE)
+    return rows.select("id", "name", "lat", "lon", "elevation", F.size("A00").alias("pixels"), "split")
+
+
+def record_inputs(spark, sf_dir):
+    """Inputs and mask of all splits, as pixels."""
+    frame = load_patches(spark, _records(spark, sf_dir), "*.tfrecord.gz", size=SIZE, non_img_features=POINTS, keep=("lat",), partitions=8)
+    cells = F.arrays_zip(*[F.col("inputs")[b].alias(b) for b in ("A00", "A01", "burned_area_2023")], F.col("label").alias("burned"))
+    return frame.select("id", "lat", "split", F.posexplode(cells).alias("pos", "px")).select("id", "lat", "split", "pos", "px.*")
+
+
+def record_outputs(spark, sf_dir):
+    """Several outputs stay as they are."""
+    frame = load_patches(spark, _records(spark, sf_dir), "*.tfrecord.gz", ("BurnDate", "burned_area_2023"), SIZE, non_img_features=POINTS, split="training")
+    return frame.select("id", F.array_join(F.lit(frame.schema["inputs"].dataType.fieldNames()), " ").alias("inputs"), F.posexplode(F.arrays_zip("label.BurnDate", "label.burned_area_2023")).alias("pos", "px")).select("id", "inputs", "pos", "px.*")
+
+
+def record_datasets(spark, sf_dir):
+    """The two datasets of a job: one shuffled, one in file order, each with its patches and burned pixels."""
+    both = build_datasets(spark, _records(spark, sf_dir), pattern="*.tfrecord.gz", size=SIZE, non_img_features=POINTS)
+    burned = F.sum(F.size(F.filter("label", lambda v: v)))
+    return both[0].unionByName(both[1]).groupBy("split").agg(F.count("*").alias("patches"), burned.alias("burned_pixels"))
+
+
 def cache_roundtrip(spark, sf_dir):
     """Lands the pixels by split in the shared folder and reads them back."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    path = f"{root.rstrip('/')}/pixels-{spark.sparkContext.applicationId}"
-    landed = cached(ordering.hashed_split(_pixels(spark, sf_dir, ["A00", "A01"]), "vec_id"), path)
+    landed = cached(ordering.hashed_split(_pixels(spark, sf_dir, ["A00", "A01"]), "vec_id"), shared_folder(spark, "pixels"))
     return landed.select("vec_id", "A00", "A01", "BurnDate", "split")
 
 
@@ -262,11 +349,13 @@ def _upsample_sql(pooled: str, side: int, k: int) -> str:
 
 
 _POOL4 = f"SELECT vec_id, (pos // 8) // 4 AS r, (pos % 8) // 4 AS c, avg(CAST(v AS DOUBLE)) AS v FROM ({_CELL}) GROUP BY ALL"
+_SPLIT = "CASE WHEN vec_id % 5 = 0 THEN 'validation' ELSE 'training' END"
 _TRUTH, _HIT = "label > 4", f"{_P} > CAST(0.5 AS FLOAT)"
 _CONFUSION = _confusion_sql(_TRUTH, _HIT, _PX)
 
 ORACLE: dict[str, str] = {
     "band_projection": "SELECT vec_id, embedding[2] AS A01, embedding[17] AS A16, embedding[10] AS A09 FROM embeddings",
+    "band_exclusion": f"SELECT vec_id, {', '.join(f'embedding[{i + 1}] AS A{i:02d}' for i in range(1, 64))} FROM embeddings",
     "burn_label": "SELECT vec_id, label > 0 AS burned FROM embeddings",
     "multi_output": "SELECT vec_id, embedding[2] AS A01, label AS BurnDate FROM embeddings",
     "pixel_explode": f"SELECT vec_id, CAST(pos AS INT) AS pos, CAST(pos // 8 AS INT) AS r, CAST(pos % 8 AS INT) AS c, v FROM ({_CELL})",
@@ -303,6 +392,23 @@ ORACLE: dict[str, str] = {
       WHERE len(list_filter(embedding, lambda x: x > CAST(0.3 AS FLOAT))) > 0 OR len(list_filter(embedding, lambda x: x > CAST(0.5 AS FLOAT))) > 0""",
     "split_filter": "SELECT vec_id, embedding[1] AS A00, label AS BurnDate, 'validation' AS split FROM embeddings WHERE vec_id % 5 = 0",
     "take_n": "SELECT vec_id, embedding[1] AS A00, label AS BurnDate FROM embeddings ORDER BY vec_id LIMIT 40",
+    "bounded_epoch": """SELECT vec_id, embedding[1] AS A00, label AS BurnDate FROM embeddings
+      ORDER BY md5(concat('7:', vec_id)), vec_id LIMIT 80""",
+    "split_positives": f"""SELECT {_SPLIT} AS split, CAST(sum(len(list_filter(embedding, lambda x: x > CAST(0.1 AS FLOAT)))) AS BIGINT) AS n_positive
+      FROM embeddings GROUP BY 1""",
+    "evaluation_report": " UNION ALL ".join(
+        _metrics_sql(_confusion_sql("v > CAST(0.2 AS FLOAT)", f"{hit} > CAST({t} AS FLOAT)", f"({_CELL})"), f"'{name}' AS score, CAST({t} AS DOUBLE) AS threshold, ")
+        for name, hit, t in (*(("p", "CAST((CAST(v AS DOUBLE) + 0.3) / 0.6 + 0.2 AS FLOAT)", t) for t in (0.5, 0.9, 0.99)), ("last_year", "v + CAST(0.3 AS FLOAT)", 0.5))
+    ),
+    "model_roundtrip": "SELECT count(*) AS n, count(*) AS same FROM embeddings WHERE vec_id % 5 = 0",
+    "record_scalars": f"""SELECT vec_id AS id, concat('patch ', vec_id) AS name, embedding[1] AS lat, embedding[2] AS lon, embedding[3] AS elevation,
+      CAST(len(embedding) AS INT) AS pixels, {_SPLIT} AS split FROM embeddings""",
+    "record_inputs": f"""SELECT vec_id AS id, embedding[1] AS lat, {_SPLIT} AS split, CAST(pos AS INT) AS pos, v AS A00, v * CAST(2 AS FLOAT) AS A01,
+      v * CAST(-1 AS FLOAT) AS burned_area_2023, v > 0 AS burned FROM ({_CELL}) JOIN embeddings USING (vec_id)""",
+    "record_outputs": f"""SELECT vec_id AS id, 'A00 A01' AS inputs, CAST(pos AS INT) AS pos, v * CAST(100 AS FLOAT) AS BurnDate,
+      v * CAST(-1 AS FLOAT) AS burned_area_2023 FROM ({_CELL}) WHERE vec_id % 5 <> 0""",
+    "record_datasets": f"""SELECT {_SPLIT} AS split, count(*) AS patches, CAST(sum(len(list_filter(embedding, lambda x: x > 0))) AS BIGINT) AS burned_pixels
+      FROM embeddings GROUP BY 1""",
     "seeded_shuffle": "SELECT vec_id, embedding[1] AS A00, label AS BurnDate FROM embeddings",
     "keyed_eval": _metrics_sql(_CONFUSION),
     "batch_score": f"SELECT vec_id, CAST(pos AS INT) AS pos, round(1 / (1 + exp(-CAST(v AS DOUBLE))), 6) AS p FROM ({_CELL})",
@@ -312,6 +418,7 @@ ORACLE: dict[str, str] = {
 
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     band_projection,
+    band_exclusion,
     burn_label,
     multi_output,
     pixel_explode,
@@ -341,6 +448,13 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     mlp_fit_predict,
     train_history,
     multi_scale_fit,
+    split_positives,
+    evaluation_report,
+    model_roundtrip,
+    record_scalars,
+    record_inputs,
+    record_outputs,
+    record_datasets,
     cache_roundtrip,
 ]
 

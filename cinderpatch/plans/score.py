@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.bands import above, has_event
-from ..operators.metrics import confusion, metrics
+from ..operators.metrics import confusion, metrics, patch_evaluation
 
 
 def score_patches(
@@ -41,3 +41,18 @@ def keyed_report(labels: DataFrame, scores: DataFrame, keys: list[str], truth: s
 def persistence_report(rows: DataFrame, truth: str, last_year: str) -> DataFrame:
     """Last year's burned area as the prediction."""
     return metrics(confusion(rows, F.col(truth), above(F.col(last_year).cast("float"), 0.5)))
+
+
+def evaluate(
+    patches: DataFrame,
+    truth: str = "label",
+    score: str = "p",
+    last_year: str | None = None,
+    thresholds: tuple[float, ...] = (0.5, 0.9, 0.99),
+    examined: int | None = None,
+    key: str = "id",
+) -> tuple[DataFrame, DataFrame]:
+    """The evaluation of scored patches: (metrics of the model at its thresholds and of last year's burned area at
+    one half, patches worth a look). Only the metric rows are small; both stay in Spark."""
+    cuts = [(score, t) for t in thresholds] + ([(last_year, 0.5)] if last_year else [])
+    return patch_evaluation(patches, truth, cuts), event_patches(patches, truth, score, examined, key)

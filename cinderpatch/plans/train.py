@@ -24,12 +24,14 @@ def multi_scale_pixels(patches: DataFrame, bands: list[str], size: int, label: s
     """(key, pos, features, label): each pixel's bands at scales 1, 2 and 4, normalised. Made in the patch
     row, then opened once; no shuffle."""
     scales = F.flatten(F.array(*[multi_scale(F.col(b), size) for b in bands]))  # an array of 3 * bands images
-    wide = patches.select(key, scales.alias("images"), *([label] if label else []))
-    places = wide.select("*", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))).alias("pos"))
-    values = F.transform("images", lambda image: F.get(image, F.col("pos")))
-    return places.select(
-        key, "pos", array_to_vector(layer_norm(values)).alias("features"), *([F.get(F.col(label), F.col("pos")).alias("label")] if label else [])
+    wide = patches.select(key, scales.alias("images"), F.lit(None).cast("array<double>").alias("truth") if label is None else F.col(label).alias("truth"))
+    # Each pixel's values are gathered before the rows open, so no row carries an image.
+    pixel = lambda pos: F.struct(
+        layer_norm(F.transform("images", lambda image: F.get(image, pos))).alias("values"), F.get(F.col("truth"), pos).alias("truth")
     )
+    gathered = wide.select(key, F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), pixel).alias("pixels"))
+    opened = gathered.select(key, F.posexplode("pixels").alias("pos", "px"))
+    return opened.select(key, "pos", array_to_vector("px.values").alias("features"), *([F.col("px.truth").alias("label")] if label else []))
 
 
 #: Layers between the features and the two classes, by model name.
@@ -40,10 +42,10 @@ MODELS: dict[str, Callable[[int], list[int]]] = {
 
 
 def build_model(name: str, n_features: int, iterations: int = 20, seed: int = 0) -> MultilayerPerceptronClassifier:
-    if name not in MODELS:
+    if name.lower() not in MODELS:
         raise ValueError(f"unknown model {name!r}; known: {', '.join(sorted(MODELS))}")
     return MultilayerPerceptronClassifier(
-        layers=MODELS[name](n_features), maxIter=iterations, seed=seed, featuresCol="features", labelCol="label"
+        layers=MODELS[name.lower()](n_features), maxIter=iterations, seed=seed, featuresCol="features", labelCol="label"
     )
 
 
@@ -68,7 +70,10 @@ def fit_with_validation(
     and ``label`` (0 or 1). The driver holds the weights and one loss per round; the rows stay where they are."""
     train, validation = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (train, validation))
     try:
-        n = len(train.select(vector_to_array("features").alias("f")).first()["f"])
+        first = train.select(vector_to_array("features").alias("f")).first()
+        if first is None:
+            raise ValueError("there is no row to learn from")
+        n = len(first["f"])
         model, best, history, best_loss, waited = None, None, [], float("inf"), 0
         for at in range(1, rounds + 1):
             trainer = build_model(name, n, iterations, seed)

@@ -50,3 +50,9 @@ def patch_struct(features: list[tuple[str, str]], scalars: tuple[str, ...] = SCA
             for name, kind in features
         ]
     )
+
+
+def write_schema(spark: SparkSession, directory: str, features: list[tuple[str, str]]) -> None:
+    """The sidecar of (name, type) pairs, written by Spark as a folder of one file."""
+    text = "\n".join(f'feature {{ name: "{name}" type: {kind} }}' for name, kind in features)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{directory.rstrip('/')}/{SIDECAR}")

@@ -1,12 +1,17 @@
 """Record files of serialized examples, gzipped or plain.
 
 Spark lists and fetches the files (``binaryFile``, so any store it knows works and an empty glob is its
-own error); each task walks the frames of its files and decodes only the wanted features into Arrow
-batches of a few rows, as one row can be megabytes.
+own error). A task inflates its files in pieces and walks the frames as they come, so beside a file's bytes it
+holds one record; records become rows, which can be dealt out anew before the wanted features are decoded into
+Arrow batches of a few rows, as one row can be megabytes.
+
+Written files are folders of gzip members, one for a few records, from Spark's own text sink: what it puts
+between rows are zero bytes, which gzip readers skip.
 """
 
 from __future__ import annotations
 
+import gzip
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,7 +25,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows in an Arrow batch that leaves the reader.
 BATCH_ROWS = 16
-SPLIT = r"(training|validation)-[^/]*$"
+SPLIT = r"(training|validation)-[^/]*(?:/part-[^/]*)?$"  # a folder that Spark wrote stands for a file
+#: Bytes that are inflated or read at once, and bytes of records in a batch.
+PIECE = 1 << 20
+BATCH_BYTES = 1 << 23
 
 
 def _crc_table() -> list[int]:
@@ -43,33 +51,52 @@ def masked_crc(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def inflated(data: bytes) -> bytes:
-    """All members of a gzip file; a truncated one is an error."""
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        if not member.eof:
-            raise ValueError("truncated gzip data")
-        data = member.unused_data
-    return b"".join(out)
+def inflated(data: memoryview) -> Iterator[bytes]:
+    """Pieces of all members of a gzip file, none longer than ``PIECE``. Zero bytes after a member are padding;
+    a truncated member is an error."""
+    at = 0
+    while at < len(data):
+        member, left = zlib.decompressobj(31), b""
+        while not member.eof:
+            if not left:
+                left = bytes(data[at : at + PIECE])
+                at += len(left)
+            out = member.decompress(left, PIECE)
+            if not out and not left and not member.eof:
+                raise ValueError("truncated gzip data")
+            left = member.unconsumed_tail
+            yield out
+        at -= len(member.unused_data)
+        while at < len(data) and not data[at]:
+            at += 1
+
+
+def pieces(data: memoryview) -> Iterator[bytes]:
+    return (bytes(data[at : at + PIECE]) for at in range(0, len(data), PIECE))
 
 
-def frames(data: bytes, check_data: bool = False) -> Iterator[memoryview]:
+def frames(data: Iterator[bytes], check_data: bool = False) -> Iterator[bytes]:
     """Payloads of length-prefixed records. Lengths are always checked, payloads on demand."""
-    view, at = memoryview(data), 0
-    while at < len(view):
-        head = bytes(view[at : at + 12])
-        if len(head) < 12 or masked_crc(head[:8]) != struct.unpack("<I", head[8:])[0]:
+    held = bytearray()
+
+    def has(n: int) -> bool:
+        while len(held) < n:
+            if (piece := next(data, None)) is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while has(1):
+        if not has(12) or masked_crc(bytes(held[:8])) != struct.unpack("<I", held[8:12])[0]:
             raise ValueError("corrupt or truncated record length")
-        (size,) = struct.unpack("<Q", head[:8])
-        body, tail = view[at + 12 : at + 12 + size], bytes(view[at + 12 + size : at + 16 + size])
-        if len(body) < size or len(tail) < 4:
+        (size,) = struct.unpack("<Q", held[:8])
+        if not has(16 + size):
             raise ValueError("truncated record")
-        if check_data and masked_crc(bytes(body)) != struct.unpack("<I", tail)[0]:
+        body = bytes(held[12 : 12 + size])
+        if check_data and masked_crc(body) != struct.unpack("<I", held[12 + size : 16 + size])[0]:
             raise ValueError("corrupt record")
+        del held[: 16 + size]
         yield body
-        at += 16 + size
 
 
 def _varint(view: memoryview, at: int) -> tuple[int, int]:
@@ -126,11 +153,11 @@ def _values(feature: memoryview) -> list | np.ndarray:
     return []
 
 
-def decode(record: memoryview, wanted: T.StructType, size: int) -> list:
+def decode(record: bytes, wanted: T.StructType, size: int) -> list:
     """Values in the order of ``wanted``. A missing feature or a wrong number of values is an error."""
     found = {}
     names = set(wanted.fieldNames())
-    for number, features in _fields(record):
+    for number, features in _fields(memoryview(record)):
         if number != 1:
             continue
         for _, entry in _fields(features):
@@ -160,31 +187,98 @@ def read_tfrecords(
     columns: list[str] | None = None,
     compression: str | None = "GZIP",
     check_data: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """One row per record with the wanted columns and ``split``, from the file name's prefix (null if it has none)."""
+    """One row per record with the wanted columns and ``split``, from the file name's prefix (null if it has none).
+    ``partitions``: records are dealt to so many before they are decoded, for files that are few and large."""
     wanted = T.StructType([f for f in schema if columns is None or f.name in columns])
     if compression not in ("GZIP", None):
         raise ValueError(f"unknown compression {compression!r}")
     out = T.StructType([*wanted.fields, T.StructField("path", T.StringType())])
     arrow = to_arrow_schema(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                data = content.as_py()
-                rows: list[list] = []
-                for record in frames(inflated(data) if compression else data, check_data):
-                    rows.append([*decode(record, wanted, size), path.as_py()])
-                    if len(rows) == BATCH_ROWS:
-                        yield _batch(rows, arrow)
-                        rows = []
-                if rows:
-                    yield _batch(rows, arrow)
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                data = memoryview(content.as_buffer())
+                held: list[bytes] = []
+                for record in frames(inflated(data) if compression else pieces(data), check_data):
+                    held.append(record)
+                    if len(held) == BATCH_ROWS or sum(map(len, held)) >= BATCH_BYTES:
+                        yield _records(path, held)
+                        held = []
+                if held:
+                    yield _records(path, held)
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                rows = [
+                    [*decode(record, wanted, size), path]
+                    for path, record in zip(part.column("path").to_pylist(), part.column("record").to_pylist(), strict=True)
+                ]
+                yield _batch(rows, arrow)
 
     # A file is one row here, so few files share an Arrow batch.
     files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    return files.mapInArrow(run, out).withColumn("split", F.expr(f"nullif(regexp_extract(path, r'{SPLIT}', 1), '')")).drop("path")
+    if partitions is None:
+        rows = files.mapInArrow(lambda batches: decoded(records(batches)), out)
+    else:
+        rows = files.mapInArrow(records, "path string, record binary").repartition(partitions).mapInArrow(decoded, out)
+    return rows.withColumn("split", F.expr(f"nullif(regexp_extract(path, r'{SPLIT}', 1), '')")).drop("path")
+
+
+def _records(path: str, held: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array(held, pa.binary())], names=["path", "record"])
 
 
 def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _written_varint(n: int) -> bytes:
+    out = bytearray()
+    n &= (1 << 64) - 1
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _field(number: int, body: bytes) -> bytes:
+    return _written_varint(number << 3 | 2) + _written_varint(len(body)) + body
+
+
+def encode(row: dict) -> bytes:
+    """An example: strings and integers as they are, floats and lists of floats in single precision."""
+    entries = []
+    for name, value in row.items():
+        if isinstance(value, str):
+            feature = _field(1, _field(1, value.encode()))
+        elif isinstance(value, int):
+            feature = _field(3, _field(1, _written_varint(value)))
+        else:
+            feature = _field(2, _field(1, np.atleast_1d(np.asarray(value, dtype="<f4")).tobytes()))
+        entries.append(_field(1, _field(1, name.encode()) + _field(2, feature)))
+    return _field(1, b"".join(entries))
+
+
+def framed(record: bytes) -> bytes:
+    head = struct.pack("<Q", len(record))
+    return head + struct.pack("<I", masked_crc(head)) + record + struct.pack("<I", masked_crc(record))
+
+
+def write_tfrecords(rows: DataFrame, path: str) -> None:
+    """Gzipped record files in the folder ``path``, whose name then stands for a file's: ``DIR/training-0.tfrecord.gz``.
+    A null is an error, as no record may lack a feature."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                data = b"".join(framed(encode(r)) for r in batch.slice(at, BATCH_ROWS).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(data, mtime=0)], pa.binary())], names=["member"])
+
+    checked = rows.where(F.assert_true(~F.array_contains(F.array(*[F.col(c).isNull() for c in rows.columns]), True), F.lit("a feature is null")).isNull())
+    packed = checked.mapInArrow(members, "member binary")
+    packed.select(F.col("member").cast("string")).write.mode("overwrite").option("lineSep", "\0").text(path)

@@ -2,11 +2,12 @@ import gzip
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinderpatch.plans.dataset import build_datasets, cached, input_bands, load_patches
-from cinderpatch.sources.schema import parse_schema, patch_struct, read_schema
-from cinderpatch.sources.tfrecord import masked_crc, read_tfrecords
+from cinderpatch.sources.schema import parse_schema, patch_struct, read_schema, write_schema
+from cinderpatch.sources.tfrecord import PIECE, framed, frames, inflated, masked_crc, read_tfrecords, write_tfrecords
 
 from . import records
 
@@ -124,3 +125,39 @@ def test_datasets_and_cache(spark, data, tmp_path):
     landed = cached(load_patches(spark, str(data), "*.tfrecord.gz", size=SIZE), str(tmp_path / "landed"))
     assert landed.where("split = 'validation'").count() == 1
     assert cached(train, True).is_cached
+
+
+@pytest.mark.parametrize("partitions", [None, 3])
+def test_written_records_read_back(spark, tmp_path, partitions):
+    rows = [row(i) for i in range(40)]
+    df = spark.createDataFrame(
+        [(r["id"], r["lat"], r["lon"], r["year"], r["A00"].tolist(), r["BurnDate"].tolist(), r["odd"]) for r in rows],
+        "id string, lat float, lon float, year bigint, A00 array<float>, BurnDate array<float>, odd float",
+    )
+    write_schema(spark, str(tmp_path), FEATURES)
+    write_tfrecords(df.where("year < 0").repartition(3), f"{tmp_path}/training-a.tfrecord.gz")
+    schema = struct_of(tmp_path, spark)
+    assert schema.fieldNames() == [n for n, _ in FEATURES]
+    back = read_tfrecords(spark, f"{tmp_path}/*.gz", schema, SIZE, check_data=True, partitions=partitions)
+    assert {r["split"] for r in back.collect()} == {"training"}
+    assert sorted(back.select(*df.columns).collect()) == sorted(df.collect())
+    with pytest.raises(Exception, match="a feature is null"):
+        write_tfrecords(df.withColumn("odd", F.lit(None).cast("float")), f"{tmp_path}/x.gz")
+
+
+def test_large_files_are_inflated_in_pieces():
+    """Memory does not grow with the inflated file: only a record and a few pieces are held."""
+    import tracemalloc
+
+    record = bytes(1000) * 1000
+    packed = b"".join(gzip.compress(framed(record) * 20) for _ in range(5))
+    tracemalloc.start()
+    found = [len(x) for x in frames(inflated(memoryview(packed)))]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert found == [len(record)] * 100 and peak < 5 * len(record) + 5 * PIECE
+
+
+def test_position_and_other_key_stay(spark, data):
+    frame = load_patches(spark, str(data), "*.tfrecord.gz", size=SIZE, key="year", keep=("id", "lat"), non_img_features=("lat", "lon", "id"))
+    assert frame.columns == ["year", "id", "lat", "split", "inputs", "label"] and frame.first()["lat"] == -3.5

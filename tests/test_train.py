@@ -37,6 +37,34 @@ def test_job(spark, data, tmp_path, model):
     assert fitted.history_frame(spark).count() == len(losses)
 
 
+def test_evaluation(spark, data):
+    train_frame, validation = job.build_datasets(spark, str(data), pattern="*.tfrecord.gz", size=8)
+    fitted = train.fit_with_validation(job.pixels(train_frame, "MLP", 8), job.pixels(validation, "MLP", 8), "MLP", 2, 12)
+    rows, events = job.evaluation(fitted.model, validation, "mlp", 8, "A00", (0.5, 0.9))
+    found = [r.asDict() for r in rows.collect()]
+    assert [(r["score"], r["threshold"]) for r in found] == [("p", 0.5), ("p", 0.9), ("last_year", 0.5)]
+    assert all(r["tp"] + r["fp"] + r["fn"] + r["tn"] == 3 * 64 for r in found)
+    same = job.report(fitted.model, job.pixels(validation, "mlp", 8), (0.5, 0.9)).collect()
+    assert [(r["tp"], r["fn"]) for r in same] == [(r["tp"], r["fn"]) for r in found[:2]]
+    assert found[2]["fp"] == 0 and events.count() == 3
+    assert job.peek(validation, 2).collect()[0]["inputs"] == "A00, A01" and job.peek(validation, 2).count() == 2
+
+
+def test_no_image_crosses_the_opening_of_pixels(spark, data):
+    _, validation = job.build_datasets(spark, str(data), pattern="*.tfrecord.gz", size=8)
+    flat = validation.select("id", "inputs.*", F.transform("label", lambda v: v.cast("double")).alias("label"))
+    plan = train.multi_scale_pixels(flat, ["A00", "A01"], 8, "label")._jdf.queryExecution().executedPlan().toString()
+    (opened,) = [line for line in plan.split("\n") if "Generate" in line]
+    kept = opened.split("], false")[0].split(", [")[-1]
+    assert "id" in kept and "images" not in kept and "A00" not in kept and "label" not in kept, opened
+
+
+def test_nothing_to_learn_from(spark):
+    empty = spark.createDataFrame([], "a double, b double").select(train.pixel_features(["a", "b"]).alias("features"), F.lit(1.0).alias("label"))
+    with pytest.raises(ValueError, match="no row"):
+        train.fit_with_validation(empty, empty)
+
+
 def test_early_stop(spark):
     rows = spark.range(60).select(train.array_to_vector(F.array(F.rand(1), F.rand(2))).alias("features"), (F.rand(3) > 0.5).cast("double").alias("label"))
     rows = spark.createDataFrame(rows.collect(), rows.schema)
