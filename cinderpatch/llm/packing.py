@@ -10,35 +10,49 @@ Packing runs inside each partition with a bounded pool, so nothing is shuffled a
 partition number makes the sequence ids unique. A bin that cannot be filled (a partition's last one)
 is laid out as sequences whose lengths are powers of two, which need no padding.
 
+A prompt's tokens bear no loss, so for instruction data the three limits differ.
+
 Defined results: null text counts as the empty text, whose only token is the end mark; repeated rows
-are examples of their own; an empty table gives an empty result; other columns are ignored. A null key
-stays null.
+are examples of their own; of examples with equal dot products the one that has waited longest is taken;
+a very long text is tokenized in blocks cut at white space and fills as many sequences as it needs; an
+empty table gives an empty result; other columns are ignored. A null key stays null.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS
 
-# White space of the tokenizer's own patterns, which no token crosses. Python's split() knows the same
-# characters and four more.
-NOT_SPACE = "\x1c\x1d\x1e\x1f"
-CHUNKS = re.compile(r"[^ \t\n\r]+").findall
+#: Characters that normalization leaves as they are but for lower case, each by itself: Latin and Cyrillic
+#: letters and what lies between them, without combining marks and the capital I with a dot.
+SIMPLE = regex.compile(r"[\x20-\x7e\u00a1-\u012f\u0131-\u024f\u0400-\u0482\u048a-\u052f]*").fullmatch
+#: Normalizers and pre-tokenizers for which words can be parted here; all else goes to the library.
+KNOWN_PARTS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+BORDER = b"\xff\xff\xff\xff"  # no id
+NOTHING = np.empty(0, dtype="<u4")
+CUT = re.compile(r"[ \t\n\r]").search
+#: Bytes of text whose chunks are told apart together, and rows that are looked at together.
+BLOCK = 1 << 23
+BLOCK_ROWS = 4096
 #: A bin is filled once the pool holds this many bins' tokens and more examples than a bin's segments.
 POOL_BINS = 2
-#: Chunks whose ids a Python worker remembers, about 200 bytes each.
-TOKEN_CACHE = 1_000_000
+#: Words whose ids a task remembers from block to block, about 200 bytes each: 60 MB.
+WORD_CACHE = 300_000
 #: A bin with at most this many free tokens is padded as it is.
 LITTLE = 16
 SCHEMA = (
@@ -60,29 +74,87 @@ FIELDS = pa.schema(
 
 
 class ChunkTokenizer:
-    """Ids of a text as little-endian bytes; white-space-free chunks are tokenized once and remembered."""
+    """Ids of texts. The distinct chunks (between ASCII white space) of a block of texts are tokenized once, and
+    the words in them once for many blocks. Where the file's own pattern parts words of simple characters, they
+    go straight to the library's model, one call for each new word; any other chunk goes through the whole library."""
 
     def __init__(self, data: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        chunks = CHUNKS(text) if any(c in text for c in NOT_SPACE) else text.split()
-        known = self.known
-        new = list(set(chunks).difference(known))
-        if len(known) + len(new) > TOKEN_CACHE:
-            known.clear()
-            new = list(set(chunks))
-        if new:
-            known.update(zip(new, self.encode_chunks(new), strict=True))
-        ids = b"".join(map(known.__getitem__, chunks))
-        for chunk in new:
-            if len(chunk) > 64:
-                del known[chunk]
-        return ids
+        self.model = self.tokenizer.model
+        self.words: dict[str, bytes] = {" ": BORDER}
+        spec = json.loads(data)
+        self.special = [t["content"] for t in spec.get("added_tokens", ())]
+        steps = [*(spec.get("normalizer") or {}).get("normalizers", ()), *(spec.get("pre_tokenizer") or {}).get("pretokenizers", ())]
+        self.parted = None
+        if [step["type"] for step in steps] == KNOWN_PARTS:
+            self.parted = regex.compile(f"\\x20|{steps[3]['pattern']['Regex']}").findall
+
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text. Texts are taken together up to ``BLOCK`` bytes; a longer one is cut at white space."""
+        texts = pc.fill_null(texts, "")
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), BLOCK, side="right")) + at)
+            if to > at + 1 or sizes[at] <= BLOCK:
+                yield from self.encode_block(texts[at:to])
+            else:
+                pieces = cut_at_space(texts[at].as_py())
+                yield np.concatenate([ids for piece in pieces for ids in self.encode_block(pa.array([piece]))])
+            at = to
+
+    def encode_block(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Chunks are told apart once for the whole block; the ids of each text are gathered from those of its chunks."""
+        chunked = pc.ascii_split_whitespace(texts)
+        coded = chunked.flatten().dictionary_encode()
+        ids = self.ids_of(coded.dictionary.to_pylist())
+        flat, sizes = np.frombuffer(b"".join(ids), dtype="<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        firsts = np.cumsum(sizes) - sizes
+        chunk_at = coded.indices.to_numpy(zero_copy_only=False)
+        borders = chunked.offsets.to_numpy() - chunked.offsets[0].as_py()
+        for row in range(0, len(texts), SLICE_ROWS):  # a bound on what stands beside the texts
+            ends = borders[row : row + SLICE_ROWS + 1]
+            at = chunk_at[ends[0] : ends[-1]]
+            after = np.concatenate([[0], np.cumsum(sizes[at])])
+            found = flat[np.repeat(firsts[at] - after[:-1], sizes[at]) + np.arange(after[-1])]
+            to = after[ends - ends[0]].tolist()
+            for start, end in zip(to, to[1:]):  # noqa: B905  (neighbours)
+                yield found[start:end]
+
+    def ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Of each distinct chunk; an empty one has none."""
+        if not chunks:
+            return []
+        text = " ".join(chunks)
+        if self.simple(text):
+            return self.by_words(chunks, text)
+        simple = [self.simple(c) for c in chunks]
+        plain, odd = [c for c, s in zip(chunks, simple, strict=True) if s], [c for c, s in zip(chunks, simple, strict=True) if not s]
+        of_plain, of_odd = iter(self.by_words(plain, " ".join(plain)) if plain else []), iter(self.encode_chunks(odd))
+        return [next(of_plain if s else of_odd) for s in simple]
+
+    def simple(self, text: str) -> bool:
+        return self.parted is not None and SIMPLE(text) is not None and not any(s in text for s in self.special)
+
+    def by_words(self, chunks: list[str], text: str) -> list[bytes]:
+        words = self.parted(text.lower())
+        new = list(set(words).difference(self.words))
+        if len(self.words) + len(new) > WORD_CACHE:
+            self.words = {" ": BORDER}
+            new = list(set(words).difference(self.words))
+        self.words.update(zip(new, self.encode_words(new), strict=True))
+        return b"".join(map(self.words.__getitem__, words)).split(BORDER)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        tokenize, ids, ends = self.model.tokenize, [], [0]
+        for word in words:
+            ids += [t.id for t in tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL))]
+            ends.append(len(ids))
+        data = np.array(ids, dtype="<u4").tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """One call for all chunks; a token belongs to the chunk in which it starts."""
@@ -94,6 +166,23 @@ class ChunkTokenizer:
         return [ids[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
+def byte_level() -> dict[int, int]:
+    """Bytes that byte-level vocabularies write as another character: those that do not print, from U+0100 on."""
+    printing = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 0x100 + n for n, b in enumerate(b for b in range(256) if b not in printing)}
+
+
+BYTE_LEVEL = byte_level()
+
+
+def cut_at_space(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > BLOCK and (m := CUT(text, at + BLOCK)):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
 @dataclass
 class Piece:
     key: int | None
@@ -204,11 +293,11 @@ class Packer:
 
 
 def _packed(df: DataFrame, examples, tokens: int, segments: int, loss: int) -> DataFrame:
-    """``examples`` turns an Arrow batch's rows into pieces; called once per task to build its state."""
+    """``examples`` is called once per task and gives a function from a batch of rows to their pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        packer, of_row, rows, n = Packer(tokens, segments, loss), examples(), [], 0
+        packer, of_rows, rows, n = Packer(tokens, segments, loss), examples(), [], 0
 
         def take(sequences) -> None:
             nonlocal n
@@ -227,11 +316,11 @@ def _packed(df: DataFrame, examples, tokens: int, segments: int, loss: int) -> D
             return batch
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                for row in batch.slice(at, SLICE_ROWS).to_pylist():
-                    take(packer.add(of_row(row)))
-                if len(rows) >= SLICE_ROWS:
-                    yield out()
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                for piece in of_rows(batch.slice(at, BLOCK_ROWS)):
+                    take(packer.add(piece))
+                    if len(rows) >= SLICE_ROWS:
+                        yield out()
         take(packer.finish())
         if rows:
             yield out()
@@ -259,7 +348,7 @@ def pack_tokens(
                 raise ValueError("a loss mask has another length than its ids")
             return Piece(r["key"], 0, ids, mask, len(ids))
 
-        return of_row
+        return lambda rows: map(of_row, rows.to_pylist())
 
     mask = F.lit(None).cast("binary") if loss_mask is None else F.col(loss_mask)
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(token_bytes).alias("ids"), mask.alias("mask"))
@@ -277,27 +366,30 @@ def pack_documents(
     end_id: int = 2,
     key: str = "doc_id",
     text: str = "text",
+    prompt: str | None = None,
     tokens: int = 4096,
     segments: int = 256,
     loss: int = 4096,
 ) -> DataFrame:
-    """Tokenize whole texts, end each with ``end_id`` and pack them; every token bears loss."""
+    """Tokenize whole texts, end each with ``end_id`` and pack them. ``prompt`` names a column whose ids come
+    before the text's: they bear no loss (null: empty), while the text's ids and the end bear it. Without a
+    prompt every token bears loss."""
     with open(path, encoding="utf-8") as f:  # fixed size; executors need not have the file
         data = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def examples():
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = ChunkTokenizer(data.value)
-        tokenizer, end = _TOKENIZERS[path], np.array([end_id], dtype="<u4").tobytes()
+        tokenizer, end = ChunkTokenizer(data.value), np.array([end_id], dtype="<u4")  # for this task alone
 
-        def of_row(r: dict) -> Piece:
-            ids = np.frombuffer(tokenizer.encode(r["text"] or "") + end, dtype="<u4")
-            return Piece(r["key"], 0, ids, None, len(ids))
+        def of_rows(rows: pa.RecordBatch) -> Iterator[Piece]:
+            said = tokenizer.encode_all(rows.column("text"))
+            asked = tokenizer.encode_all(rows.column("prompt")) if prompt is not None else repeat(NOTHING)
+            for own, text_ids, before in zip(rows.column("key").to_pylist(), said, asked):  # noqa: B905  (repeat has no end)
+                ids = np.concatenate([before, text_ids, end])
+                mask = (np.arange(len(ids)) >= len(before)).astype("u1") if len(before) else None
+                yield Piece(own, 0, ids, mask, len(ids))
 
-        return of_row
+        return of_rows
 
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"))
+    before = F.lit(None) if prompt is None else F.col(prompt)
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).cast("string").alias("text"), before.cast("string").alias("prompt"))
     return _packed(rows, examples, tokens, segments, loss)
-
-
-_TOKENIZERS: dict[str, ChunkTokenizer] = {}
