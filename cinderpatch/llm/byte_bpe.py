@@ -7,23 +7,24 @@ rules; that pair test is memoised. The result equals applying the merges in rank
 linear in the piece.
 
 Defined results: null text is the empty text; the empty text has no ids; repeated rows stay repeated;
-an empty table gives an empty result; columns other than the named id and text are ignored.
+equal texts get equal ids; a very long text costs time and memory in proportion, whatever its pieces; an
+empty table gives an empty result; columns other than the named id and text are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, map_rows
+from .common import CACHE_ENTRIES, LONG, map_rows
 
 ENCODED = "key bigint, n_tokens bigint, token_bytes binary"
 DECODED = "key bigint, n_tokens bigint, token_bytes binary, decoded binary"
@@ -38,9 +39,7 @@ class BytePairCoder:
 
     def __init__(self, data: bytes, pattern: str):
         self.ranks = read_ranks(data)
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        self.tokens = token_table(self.ranks)
         self.length = [len(token) for token in self.tokens]
         self.pieces = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
@@ -138,41 +137,39 @@ class BytePairCoder:
                 if ids is None:
                     p = pieces[at]
                     parts[at] = ids = known.get(p) or _little(self.encode_piece(p.encode("utf-8", "surrogatepass")))
-                    if len(p) <= 64:
+                    if len(p) <= LONG:
                         known[p] = ids
         return b"".join(parts)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-
 
 def _little(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<u4").tobytes()
 
 
-def _coders(df: DataFrame, path: str, pattern: str) -> Callable[[], BytePairCoder]:
-    """The driver reads the rank file (its size is fixed) and broadcasts it; each Python worker builds one coder."""
-    with open(path, "rb") as f:
-        data = df.sparkSession.sparkContext.broadcast(f.read())
-    key = (path, pattern)
+def token_table(ranks: dict[bytes, int]) -> list[bytes]:
+    """Bytes by id."""
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
 
-    def get() -> BytePairCoder:
-        if key not in _CODERS:
-            _CODERS[key] = BytePairCoder(data.value, pattern)
-        return _CODERS[key]
 
-    return get
+def decode_ids(tokens: list[bytes], ids: bytes) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_CODERS: dict[tuple[str, str], BytePairCoder] = {}
+def _shared(df: DataFrame, path: str) -> Broadcast:
+    """The driver reads the rank file (its size is fixed); each task builds its own tables from it."""
+    with open(path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, n_tokens, token_bytes (ids as little-endian unsigned 32-bit integers)."""
-    coders = _coders(df, path, pattern)
+    data = _shared(df, path)
 
     def make():
-        coder = coders()
+        coder = BytePairCoder(data.value, pattern)
 
         def row(r: dict):
             ids = coder.encode(r["text"] or "")
@@ -185,15 +182,15 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     return map_rows(rows, make, ENCODED, fields)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded``: the bytes that the ids stand for. Unknown ids are an error."""
-    coders = _coders(encoded, path, pattern)
+    data = _shared(encoded, path)
 
     def make():
-        coder = coders()
+        tokens = token_table(read_ranks(data.value))
 
         def row(r: dict):
-            yield r["key"], r["n_tokens"], r["token_bytes"], coder.decode(r["token_bytes"] or b"")
+            yield r["key"], r["n_tokens"], r["token_bytes"], decode_ids(tokens, r["token_bytes"] or b"")
 
         return row
 

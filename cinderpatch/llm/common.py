@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 #: Rows that a Python operator holds at once while it walks an Arrow batch.
 SLICE_ROWS = 256
 
-#: Python worker caches (word -> ids, word -> scores) are emptied beyond this many entries.
-CACHE_ENTRIES = 400_000
+#: A task's caches (word -> ids, word -> scores) are emptied beyond this many entries of about 250 bytes, 40 MB.
+#: They belong to the task and go with it; keys of more than ``LONG`` characters are not remembered.
+CACHE_ENTRIES = 150_000
+LONG = 64
 
 #: ASCII white space that separates words in every contract of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,10 +27,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; make one only where none is set (tests)."""
+    """Keep the cluster's shared checkpoint folder; make one only where none is set and all runs on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+        sc.setCheckpointDir(folder)
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -42,6 +49,38 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def running(items: Column, size: Callable[[Column], Column], make: Callable[[Column, Column], Column], kind: str, block: int = 256) -> Column:
+    """array<kind> of ``make(start, item)``, where start is the summed ``size`` of the items before. Items are walked
+    in blocks, as a lambda copies its array for each item added: in time linear in their number."""
+
+    def walked(x: Column) -> Column:
+        part = lambda b: F.slice(x, b * block + 1, F.lit(block))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int"))
+        none = lambda t: F.array().cast(f"array<{t}>")
+        sums = F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0), lambda acc, i: acc + size(i)))
+        starts = F.aggregate(
+            sums,
+            F.struct(F.lit(0).alias("at"), none("int").alias("out")),
+            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        )["out"]
+        inside = lambda b, start: F.aggregate(
+            part(b),
+            F.struct(start.alias("at"), none(kind).alias("out")),
+            lambda acc, i: F.struct((acc["at"] + size(i)).alias("at"), F.concat(acc["out"], F.array(make(acc["at"], i))).alias("out")),
+        )["out"]
+        return F.when(F.size(x) > 0, F.flatten(F.transform(starts, lambda start, b: inside(b, start)))).otherwise(none(kind))
+
+    return let(items, walked)
+
+
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[[dict], Iterable[tuple] | None]], schema: str, fields: list[pa.Field]
 ) -> DataFrame:

@@ -10,24 +10,24 @@ before the host of an address), ``iban`` and ``ssn`` after their cues. Cues coun
 number starts within ``WORDS`` words after its cue, each further one within as many after the last. An
 account's country tells its length; where the country is unknown, the longest end that validates counts.
 
-Defined results: null text counts as the empty text and has no spans; repeated rows stay repeated; an
-empty table gives an empty result; columns other than the named ones are ignored by ``find`` and kept
-by ``redact_documents``.
+Defined results: null text counts as the empty text and has no spans; repeated rows stay repeated; spans of
+several kinds may share characters, and those with equal starts stand in the order of ``KINDS``; a very long
+text is scanned whole, in time linear in it; an empty table gives an empty result; columns other than the
+named ones are ignored by ``find`` and kept by ``redact_documents``.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import SLICE_ROWS, map_rows
 
 # Kinds in order, anchors, and the boundaries that the parsers know.
 KINDS = ("email", "ip", "card", "phone", "login", "iban", "ssn")
@@ -204,13 +204,16 @@ def find(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def redact_documents(docs: DataFrame) -> DataFrame:
     """Pipeline stage: every span in ``text`` becomes a mark such as ``<EMAIL>``; n_chars follows; no
     document goes. Columns are those of the input."""
-    automaton: list[ahocorasick.Automaton] = []
 
-    @F.pandas_udf("string")
-    def cleaned(texts: pd.Series) -> pd.Series:
-        if not automaton:
-            automaton.append(anchors())
-        return pd.Series([None if t is None else redact(t, spans(t, automaton[0])) for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = anchors()
+        for texts in batches:
+            parts = [
+                pa.array([None if t is None else redact(t, spans(t, automaton)) for t in texts.slice(at, SLICE_ROWS).to_pylist()], pa.string())
+                for at in range(0, len(texts), SLICE_ROWS)
+            ]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     names = docs.columns
     out = docs.withColumn("text", cleaned(F.col("text").cast("string")))

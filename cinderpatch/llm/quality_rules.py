@@ -6,8 +6,9 @@ rejected if it fails a base rule (too few words, or too many words in repeated t
 lost too much of its text. No shuffle: all work stays in the row.
 
 Defined results: null text counts as the empty text, has no words and is rejected; repeated rows stay
-repeated; an empty table gives an empty result; columns other than the named ones are ignored by
-``assess``, and kept as they are by ``filter_documents``.
+repeated; of equal lines the first is judged and the others go; a very long text is judged whole, in
+time n log n in its words; an empty table gives an empty result; columns other than the named ones are
+ignored by ``assess``, and kept as they are by ``filter_documents``.
 """
 
 from __future__ import annotations
@@ -141,10 +142,13 @@ def assess(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """Pipeline stage: rejected documents go; of the others the failing lines go, and n_chars follows.
     Columns are those of the input."""
-    names = docs.columns
-    judged = assess(docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text")), key="_row", text="_text")
-    kept = judged.where("kept").select("key.*", F.col("clean_text").alias("_clean"))
-    kept = kept.withColumn("text", F.col("_clean"))
-    if "n_chars" in names:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*names)
+    judged = assess(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), key="row").where("kept")
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("clean_text")
+        if name == "n_chars":
+            return F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+        return F.col("key").getField(name)
+
+    return judged.select(*[column(name).alias(name) for name in docs.columns])

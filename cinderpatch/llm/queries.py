@@ -15,7 +15,7 @@ from .common import read_table
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(read_table(spark, sf_dir, "documents"), path, pattern)
-    return byte_bpe.decode(encoded, path, pattern).select(
+    return byte_bpe.decode(encoded, path).select(
         F.col("key").alias("doc_id"),
         "n_tokens",
         F.sha2("token_bytes", 256).alias("ids_sha256"),
