@@ -5,30 +5,30 @@ off to its character n-grams, longest first: the n-grams of the longest order of
 give their mean score; else the next shorter order is tried.
 
 The model is fitted on a bounded sample of labelled rows (``docs_per_language``, drawn by a hash of the
-id) and holds at most ``max_words`` words and ``max_grams`` n-grams, so what is broadcast to the
-executors has a fixed bound. Counting runs in Spark; prediction reads every whole text and never sees
-the label, the source or the id.
+id) and holds every word and n-gram of that sample, seen once or often, and nothing else: the bound on the
+sample bounds what the driver gets and what is broadcast. Counting runs in Spark; prediction reads every
+whole text and never sees the label, the source or the id.
 
 Defined results: null text, the empty text and text without a letter give ``und`` with score 0; so does
 every text when nothing could be learned. Equal scores go to the language first in name order. Rows
 with a null label or null text are not learned from. Repeated rows stay repeated and an empty table
-gives an empty result; columns other than those named are ignored.
+gives an empty result; a very long text is counted word by word as a whole; columns other than those
+named are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, count_rows, map_rows, saved
+from .common import CACHE_ENTRIES, LONG, SLICE_ROWS, count_rows, fresh, map_rows
 
 UNDETERMINED = "und"
 #: Orders of the character n-grams, longest first; a word is padded with one blank on each side.
@@ -43,19 +43,21 @@ def grams(word: str, order: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language, as matrix rows: known words, and n-grams by order."""
+    """Log frequencies by language, as matrix rows: known words, and n-grams of all orders."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], orders: dict[int, dict[str, np.ndarray]]):
-        self.languages, self.words, self.orders = languages, words, orders
-        tables = [orders.get(order, {}) for order in ORDERS]
-        self.gram_rows = {g: i for i, g in enumerate(g for t in tables for g in t)}
-        self.gram_scores = np.array([v for t in tables for v in t.values()]).reshape(-1, max(1, len(languages)))
+    def __init__(self, languages: list[str], words: list[str], word_scores: np.ndarray, grams: list[str], gram_scores: np.ndarray):
+        self.languages, self.words, self.word_scores, self.grams, self.gram_scores = languages, words, word_scores, grams, gram_scores
+        self.gram_rows = {g: i for i, g in enumerate(grams)}  # an n-gram's length is its order
         self.clear()
 
+    def tables(self) -> tuple:
+        """What makes an equal model."""
+        return self.languages, self.words, self.word_scores, self.grams, self.gram_scores
+
     def clear(self) -> None:
         self.rows = {w: i for i, w in enumerate(self.words)}
-        n = max(1, len(self.languages))
-        self.scores = np.vstack([np.array(list(self.words.values())).reshape(-1, n), np.zeros((1024, n))])
+        self.used = len(self.words)
+        self.scores = np.vstack([self.word_scores, np.zeros((1024, self.word_scores.shape[1]))])
 
     def backoff(self, word: str) -> list[int]:
         """Rows of the known n-grams of the longest order that has any."""
@@ -68,7 +70,8 @@ class Model:
 
     def learn(self, words: list[str]) -> None:
         """Score words that were not seen before, all at once."""
-        first = len(self.rows)
+        first = self.used
+        self.used += len(words)
         while first + len(words) > len(self.scores):
             self.scores = np.vstack([self.scores, np.zeros_like(self.scores)])
         flat, at, own = [], [], []
@@ -88,10 +91,14 @@ class Model:
         if not self.languages or not any(c.isalpha() for w in words for c in w):
             return UNDETERMINED, 0.0
         counts = Counter(words)
-        if len(self.rows) > CACHE_ENTRIES:
+        if len(self.rows) > len(self.words) + CACHE_ENTRIES:
             self.clear()
-        self.learn([w for w in counts if w not in self.rows])
+        new = [w for w in counts if w not in self.rows]
+        self.learn(new)
         at = list(map(self.rows.__getitem__, counts))
+        for word in new:
+            if len(word) > LONG:
+                del self.rows[word]
         total = np.fromiter(counts.values(), float, len(counts)) @ self.scores[at]
         best = int(total.argmax())
         # Divided by the root of the length, the score stays comparable between short and long texts.
@@ -99,31 +106,17 @@ class Model:
         return self.languages[best], float(1 / share.sum())
 
 
-def _log_table(rows: list, languages: list[str], smoothing: float) -> dict[str, np.ndarray]:
-    """From (item, lang, count): log frequency of each item in each language, centred over languages."""
-    where = {lang: i for i, lang in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    for item, lang, n in rows:
-        counts.setdefault(item, np.zeros(len(languages)))[where[lang]] += n
-    if not counts:
-        return {}
-    total = np.sum(list(counts.values()), axis=0) + smoothing * len(counts)
-    logs = {item: np.log((c + smoothing) / total) for item, c in counts.items()}
-    return {item: v - v.mean() for item, v in logs.items()}
+def log_frequencies(counts: np.ndarray, smoothing: float) -> np.ndarray:
+    """Of each item (row) in each language (column), centred over the languages."""
+    logs = np.log((counts + smoothing) / (counts.sum(axis=0) + smoothing * len(counts)))
+    return logs - logs.mean(axis=1, keepdims=True)
 
 
 def fit(
-    labelled: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    lang: str = "lang",
-    docs_per_language: int = 1500,
-    max_words: int = 40_000,
-    max_grams: int = 40_000,
-    smoothing: float = 0.5,
+    labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_per_language: int = 400, smoothing: float = 0.5
 ) -> Model:
-    """Learn from rows with a text and a label. The driver gets at most ``max_words + max_grams`` counted
-    items, times languages; the rows they are counted from are about ``docs_per_language`` per label."""
+    """Learn from rows with a text and a label. The driver gets the distinct words and n-grams of about
+    ``docs_per_language`` documents per label, with a count for each label."""
     rows = labelled.select(
         F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")
     ).where("text is not null and lang is not null")
@@ -131,7 +124,7 @@ def fit(
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], {}, {})
+        return Model([], [], np.zeros((0, 1)), [], np.zeros((0, 1)))
     rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, docs_per_language / n)))])
     draw = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.where(draw < F.element_at(rate, F.col("lang"))).select("text", "lang")
@@ -148,26 +141,30 @@ def fit(
     items = count_rows(words, grams_of, "lang string, size int, item string, n bigint", gram_fields).unionByName(
         words.select("lang", F.lit(0).alias("size"), F.col("word").alias("item"), "n")
     )
+    place = F.create_map(*[x for at, k in enumerate(languages) for x in (F.lit(k), F.lit(at))])
     by_item = (
         items.groupBy("size", "item", "lang")
         .agg(F.sum("n").alias("n"))
         .groupBy("size", "item")
-        .agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))  # a row per label at most
-    )
-    by_item = saved(by_item)
-    picked = (
-        by_item.where("size = 0 and total > 1").orderBy(F.desc("total"), "item").limit(max_words).collect()
-        + by_item.where("size > 0 and total > 1").orderBy(F.desc("total"), "size", "item").limit(max_grams).collect()
+        .agg(F.collect_list(F.struct(F.element_at(place, F.col("lang")).alias("at"), "n")).alias("by_lang"))  # a row per label at most
+        .orderBy("size", "item")
+        .toArrow()
+        .combine_chunks()
     )
-    table = lambda size: _log_table(
-        [(r["item"], x["lang"], x["n"]) for r in picked if r["size"] == size for x in r["by_lang"]], languages, smoothing
-    )
-    return Model(languages, table(0), {order: table(order) for order in ORDERS})
+    sizes_of, found = by_item["size"].to_numpy(), by_item["by_lang"].combine_chunks()
+    counts = np.zeros((len(by_item), len(languages)))
+    owner = np.repeat(np.arange(len(by_item)), np.diff(found.offsets.to_numpy()))
+    cells = found.flatten()
+    counts[owner, cells.field("at").to_numpy()] = cells.field("n").to_numpy()
+    named = by_item["item"].to_pylist()
+    logs = np.vstack([log_frequencies(counts[sizes_of == size], smoothing) for size in range(max(ORDERS) + 1)])  # rows are sorted by size
+    n_words = int((sizes_of == 0).sum())
+    return Model(languages, named[:n_words], logs[:n_words], named[n_words:], logs[n_words:])
 
 
 def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, lang_pred, score (0 to 1; the share of the best language)."""
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.words, model.orders))
+    shared = df.sparkSession.sparkContext.broadcast(model.tables())
 
     def make():
         own = Model(*shared.value)
@@ -188,29 +185,22 @@ def filter_documents(docs: DataFrame, min_score: float = 0.5, **fit_options) ->
     are those of the input; ``lang`` keeps the given label and takes the prediction where it was null.
     When nothing could be learned, only documents without a letter go and nulls become ``und``."""
     model = fit(docs, **fit_options)
-    if not model.words and not any(model.orders.values()):
+    if not model.grams:
         lettered = docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
         return lettered.withColumn("lang", F.coalesce("lang", F.lit(UNDETERMINED))).select(*docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.orders))
-    names, own_key = docs.columns, uuid.uuid4().hex
-
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def told(texts: pd.Series) -> pd.DataFrame:
-        own = _worker_model(own_key, shared)
-        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang_pred", "score"])
+    shared = docs.sparkSession.sparkContext.broadcast(model.tables())
+    names, mark = docs.columns, fresh(docs, "told")
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = Model(*shared.value)  # for this task alone
+        for texts in batches:
+            found: list[tuple[str, float]] = []
+            for at in range(0, len(texts), SLICE_ROWS):
+                found += [own.predict(t) for t in texts.slice(at, SLICE_ROWS).to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["lang_pred", "score"])
 
     told = told.asNondeterministic()  # else the filter and the projection would each run it
-    marked = docs.withColumn("_told", told(F.col("text").cast("string")))
-    kept = marked.where((F.col("_told.lang_pred") != UNDETERMINED) & (F.col("_told.score") >= min_score))
-    return kept.withColumn("lang", F.coalesce("lang", "_told.lang_pred")).select(*names)
-
-
-_MODELS: dict[str, Model] = {}
-
-
-def _worker_model(key: str, shared) -> Model:
-    """One model for each Python worker and fit."""
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(*shared.value)
-    return _MODELS[key]
+    marked = docs.withColumn(mark, told(F.col("text").cast("string")))
+    kept = marked.where((F.col(mark)["lang_pred"] != UNDETERMINED) & (F.col(mark)["score"] >= min_score))
+    return kept.withColumn("lang", F.coalesce("lang", F.col(mark)["lang_pred"])).select(*names)
