@@ -1,26 +1,31 @@
 """Main text of web pages from streaming parser events.
 
 The standard library's parser streams a page's events. Every block element starts a line; its
-text-to-tag ratio is the number of its characters over its tags. The ratios are smoothed with a
-Gaussian over neighbouring lines and split at a threshold into content and other lines. The content
-region is the smallest container that holds all content lines, or the article around it; all its lines
-are the main text, short ones too, but for those inside elements that are never content (menus, site
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments). A heading
-counts as a content line if one follows within the reach of the smoothing.
-
-Elements are such by tag or role, or by a name in class or id. A name alone drops nothing: it marks
-the text, and ``dropped`` decides once the whole page is known.
+text-to-tag ratio is the number of its characters over its tags. The ratios of all lines, menus and
+footers included, are smoothed with a Gaussian over neighbouring lines and split at a threshold into
+content and other lines. Each container then scores the characters of its content lines less twice those of
+its other lines, and the one with the best score is the content region, or the article around it: the ratios
+alone choose it. All its lines are the main text, short ones too. A heading counts as a content line if one
+follows within the reach of the smoothing.
+
+What an element is can only veto: text in elements that are never content (menus, site headers, footers,
+sidebars, notices, adverts, forms, reader comments) adds nothing to a score and is no main text, wherever it
+stands. Elements are such by tag or role, or by a name in class or id. A name alone drops nothing: it marks
+the text, and ``dropped`` decides once the whole page is known. Scripts, styles and embedded media are no
+text at all.
 
 Defined results: null html counts as the empty page; a page without text outside such elements gives
-the empty text; repeated rows stay repeated; an empty table gives an empty result; other columns are
-ignored. Character references are decoded; white space in a line becomes one space; ``br`` is white
-space.
+the empty text; of containers with equal scores the innermost is the region; repeated rows stay repeated;
+a very long page is read whole, in time linear in its events; an empty table gives an empty result; other
+columns are ignored. Character references are decoded; white space in a line becomes one space; ``br`` is
+white space.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from dataclasses import dataclass
 from functools import lru_cache
 from html.parser import HTMLParser
 
@@ -38,10 +43,8 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th"
     " thead tr ul".split()
 )
-SKIPPED = frozenset(
-    "head script style noscript template svg math iframe object canvas audio video nav aside footer form button select"
-    " textarea menu dialog".split()
-)
+UNSEEN = frozenset("head script style noscript template svg iframe object canvas audio video".split())
+VETOED = frozenset("nav aside footer form button select textarea menu dialog".split())
 CONTAINER = frozenset("html body main article section div center table tbody tr td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("main article".split())  # the region grows to such an element around it
@@ -65,6 +68,8 @@ SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search di
 #: Standard deviation of the smoothing, in lines; threshold as a share of the ratios' standard deviation.
 SIGMA = 1.0
 THRESHOLD = 0.5
+#: A character outside content lines costs a container as much as this many inside gain it.
+COST = 2.0
 
 
 @lru_cache(maxsize=4096)
@@ -80,17 +85,41 @@ def name_mark(value: str) -> int:
     return mark
 
 
+@dataclass
+class Element:
+    name: str
+    number: int  # in order of their starts
+    unseen: bool
+    vetoed: bool
+    named: int  # innermost named element, itself included, or 0
+    container: int  # innermost container, itself included, or 0
+
+
+@dataclass
+class Line:
+    pieces: list[tuple[int, bool, str]]  # innermost named element, whether vetoed, text
+    tags: int
+    container: int
+    heading: bool
+
+    def text(self, gone: set[int] | None = None) -> str:
+        """What may be main text; with ``gone`` None all text."""
+        return " ".join("".join(x for n, vetoed, x in self.pieces if gone is None or not vetoed and n not in gone).split())
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: pieces of text with the innermost named element, number of tags, chain of open
-    elements, whether it is a heading."""
+    """Lines of a page, and its containers and named elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool, int]] = []  # name, number, skipped, innermost named element or 0
-        self.named: dict[int, tuple[int, int, frozenset[int]]] = {}  # mark, named element around, main and articles around
-        self.whole: dict[int, int] = {}  # main or article: innermost named element
-        self.lines: list[tuple[list[tuple[int, str]], int, tuple[tuple[int, str], ...], bool]] = []
-        self.text: list[tuple[int, str]] = []
+        self.open: list[Element] = [Element("", 0, False, False, 0, 0)]
+        self.how_many: Counter = Counter()  # open elements by name
+        self.around: dict[int, int] = {}  # container: the one around it
+        self.named: dict[int, tuple[int, int]] = {}  # mark, named element around
+        self.whole: dict[int, tuple[str, int]] = {}  # main or article: name, innermost named element around
+        self.ends: dict[int, int] = {}  # main or article: number of the last element in it
+        self.lines: list[Line] = []
+        self.pieces: list[tuple[int, bool, str]] = []
         self.tags = self.count = 0
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
@@ -98,26 +127,19 @@ class _Lines(HTMLParser):
         return len(self.rawdata) if end < 0 else end + 1
 
     def end_line(self) -> None:
-        if self.text:
-            if line_text(self.text):
-                chain = tuple((n, name) for name, n, _, _ in self.open if name in CONTAINER)
-                self.lines.append((self.text, max(1, self.tags), chain, any(name in HEADINGS for name, _, _, _ in self.open[-3:])))
-            self.text = []
+        if self.pieces:
+            line = Line(self.pieces, max(1, self.tags), self.open[-1].container, any(e.name in HEADINGS for e in self.open[-3:]))
+            if line.text():
+                self.lines.append(line)
+            self.pieces = []
         self.tags = 0
 
-    def skipped(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if self.open and self.open[-1][2]:
-            return True
-        if tag in SKIPPED or tag == "header" and not any(name in WHOLE for name, _, _, _ in self.open):
+    def vetoed(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if self.open[-1].vetoed or tag in VETOED or tag == "header" and not any(self.how_many[name] for name in WHOLE):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
-        for name, value in attrs:
-            if name == "role" and value is not None and value.lower() in SKIPPED_ROLES:
-                return True
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+        return any(name == "role" and value is not None and value.lower() in SKIPPED_ROLES for name, value in attrs)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
@@ -132,40 +154,54 @@ class _Lines(HTMLParser):
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             self.leave(tag, frozenset(("ul", "ol", "dl", "table", "select", "tbody", "tr") if tag not in ("tr",) else ("table",)))
         self.count += 1
-        inside = self.open[-1][3] if self.open else 0
-        skipped = self.skipped(tag, attrs)
+        inside, container = self.open[-1].named, self.open[-1].container
+        vetoed = self.vetoed(tag, attrs)
+        if tag in CONTAINER:
+            self.around[self.count] = container
+            container = self.count
         if tag in WHOLE:
-            self.whole[self.count] = inside
-        elif not skipped and attrs and tag not in ("html", "body"):
+            self.whole[self.count] = tag, inside
+        elif not vetoed and attrs and tag not in ("html", "body"):
             mark = max((name_mark(value) for name, value in attrs if value and name in ("class", "id")), default=0)
             if mark:
-                self.named[self.count] = mark, inside, frozenset(n for name, n, _, _ in self.open if name in WHOLE)
+                self.named[self.count] = mark, inside
                 inside = self.count
-        self.open.append((tag, self.count, skipped, inside))
+        self.how_many[tag] += 1
+        self.open.append(Element(tag, self.count, self.open[-1].unseen or tag in UNSEEN, vetoed, inside, container))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # only void elements close themselves
 
     def leave(self, tag: str, until: frozenset[str]) -> None:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                del self.open[at:]
-                return
-            if self.open[at][0] in until:
+        """Closes the innermost element of this name and all in it, unless one of ``until`` is in between."""
+        if not self.how_many[tag]:
+            return
+        at = len(self.open) - 1
+        while self.open[at].name != tag:
+            if self.open[at].name in until:
                 return
+            at -= 1
+        while len(self.open) > at:
+            closed = self.open.pop()
+            self.how_many[closed.name] -= 1
+            if closed.name in WHOLE:
+                self.ends[closed.number] = self.count
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.end_line()
         self.tags += 1
         if tag not in VOID:
-            self.leave(tag, frozenset() if tag in BLOCK or tag in SKIPPED else frozenset(BLOCK))
+            self.leave(tag, frozenset() if tag in BLOCK or tag in UNSEEN or tag in VETOED else frozenset(BLOCK))
 
     def handle_data(self, data: str) -> None:
-        if not self.open:
-            self.text.append((0, data))
-        elif not self.open[-1][2]:
-            self.text.append((self.open[-1][3], data))
+        inner = self.open[-1]
+        if not inner.unseen:
+            self.pieces.append((inner.named, inner.vetoed, data))
+
+    def holds(self, whole: int, number: int) -> bool:
+        """Whether a main or article is around an element."""
+        return whole < number <= self.ends.get(whole, self.count)
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -174,10 +210,6 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, kernel / kernel.sum(), mode="full")[radius : radius + len(ratios)]
 
 
-def line_text(pieces: list[tuple[int, str]]) -> str:
-    return " ".join("".join(data for _, data in pieces).split())
-
-
 def clusters(sizes: np.ndarray, tags: list[int]) -> np.ndarray:
     """Which lines are content."""
     ratio = smoothed(sizes / np.array(tags))
@@ -193,18 +225,28 @@ def dropped(parser: _Lines) -> set[int]:
     hold most of the page's.
     """
     lines, named = parser.lines, parser.named
-    content = clusters(np.array([len(line_text(pieces)) for pieces, *_ in lines], dtype=float), [tags for _, tags, *_ in lines])
+    shown = [line.text(set()) for line in lines]
+    kept = [i for i, text in enumerate(shown) if text]  # vetoed text has no say in what names mean
+    if not kept:
+        return set()
+    content = clusters(np.array([len(shown[i]) for i in kept], dtype=float), [lines[i].tags for i in kept])
     size: Counter = Counter()
     prose: Counter = Counter()  # of that, in content lines
-    held: dict[int, set[str]] = defaultdict(set)
-    whole = {element for _, _, chain, _ in lines for element in chain if element[1] in WHOLE}
-    for (pieces, *_), is_content in zip(lines, content.tolist(), strict=True):
-        for number, data in pieces:
-            n = len(" ".join(data.split()))
+    filled: set[int] = set()  # containers with text
+    for i, is_content in zip(kept, content.tolist(), strict=True):
+        for number, vetoed, data in lines[i].pieces:
+            n = 0 if vetoed else len(" ".join(data.split()))
             size[number] += n
             prose[number] += n * is_content
-    for number, name in whole:
-        held[parser.whole[number]].add(name)
+        at = lines[i].container
+        while at and at not in filled:
+            filled.add(at)
+            at = parser.around[at]
+    whole = [n for n in parser.whole if n in filled]
+    held: dict[int, set[str]] = defaultdict(set)
+    for number in whole:
+        name, around = parser.whole[number]
+        held[around].add(name)
     for number in sorted(named, reverse=True):
         around = named[number][1]
         size[around] += size[number]
@@ -213,10 +255,10 @@ def dropped(parser: _Lines) -> set[int]:
     gone: set[int] = set()
     last = {0: 0}  # by named element: the innermost one around or itself with a name by itself
     for number in sorted(named):
-        mark, around, _ = named[number]
+        mark, around = named[number]
         last[number] = number if mark > 1 else last[around]
     for number in sorted(named):
-        mark, around, ancestors = named[number]
+        mark, around = named[number]
         if around in gone:
             gone.add(number)
             continue
@@ -225,7 +267,7 @@ def dropped(parser: _Lines) -> set[int]:
         if mark > 1:
             beside = any(
                 last[at] < number and at not in gone and last[at] not in gone
-                for at in (parser.whole[n] for n, _ in whole if n not in ancestors)
+                for at in (parser.whole[n][1] for n in whole if not parser.holds(n, number))
             )
             keep = not beside and (prose[number] == prose[0] if mark == 3 else 2 * prose[number] > prose[0])
         else:
@@ -237,29 +279,47 @@ def dropped(parser: _Lines) -> set[int]:
     return gone
 
 
+def region(parser: _Lines, shown: list[str]) -> int:
+    """The container with the best score, 0 if there is none. ``shown``: each line's text without what is vetoed."""
+    lines = parser.lines
+    sizes = np.array([len(line.text()) for line in lines], dtype=float)
+    content = clusters(sizes, [line.tags for line in lines])
+    for at in [i for i, line in enumerate(lines) if line.heading]:
+        content[at] = content[at : at + 1 + int(3 * SIGMA)].any()
+    score: Counter = Counter()
+    holding: set[int] = set()
+    for line, text, size, is_content in zip(lines, shown, sizes.tolist(), content.tolist(), strict=True):
+        score[line.container] += len(text) if is_content else -COST * size
+        if text:
+            holding.add(line.container)
+    for number in sorted(parser.around, reverse=True):  # inner ones first
+        score[parser.around[number]] += score[number]
+        if number in holding:
+            holding.add(parser.around[number])
+    best = max(holding, key=lambda n: (score[n], n), default=0)
+    at, found = best, best
+    while at:
+        if at in parser.whole:
+            found = at
+        at = parser.around[at]
+    return found
+
+
 def main_text(html: str) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    gone = dropped(parser) if parser.named and parser.lines else set()
-    lines = []
-    for pieces, *rest in parser.lines:
-        if text := line_text([p for p in pieces if p[0] not in gone] if gone else pieces):
-            lines.append((text, *rest))
-    if not lines:
+    if not parser.lines:
         return ""
-    sizes = np.array([len(text) for text, *_ in lines], dtype=float)
-    content = clusters(sizes, [tags for _, tags, *_ in lines])
-    for at in [i for i, (*_, heading) in enumerate(lines) if heading]:
-        content[at] = content[at : at + 1 + int(3 * SIGMA)].any()
-    chains = [chain for (_, _, chain, _), is_content in zip(lines, content, strict=True) if is_content]
-    shared = set(chains[0]).intersection(*chains[1:])
-    region = max(shared, default=None)  # inner elements open later
-    if region is not None:
-        around = next(chain for _, _, chain, _ in lines if region in chain)
-        region = next((e for e in around if e[1] in WHOLE and e <= region), region)
-    return "\n".join(text for text, _, chain, _ in lines if region is None or region in chain)
+    gone = dropped(parser) if parser.named else set()
+    shown = [line.text(gone) for line in parser.lines]
+    chosen = region(parser, shown)
+    inside = {chosen}
+    for number in sorted(parser.around):
+        if parser.around[number] in inside:
+            inside.add(number)
+    return "\n".join(text for line, text in zip(parser.lines, shown, strict=True) if text and line.container in inside)
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
