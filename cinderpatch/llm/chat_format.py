@@ -9,8 +9,8 @@ roles ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``; a line feed in a role
 
 Defined results: null text and null role are the empty string; turns with the same number are ordered
 by role and text; a null turn comes first; repeated rows are turns of their own; rows with a null
-conversation form one conversation with a null id; an empty table gives an empty result; other columns
-are ignored. One conversation becomes one string, so it must fit a row (2 GB); that is the only group
+conversation form one conversation with a null id; very long texts and conversations cost time in
+proportion; an empty table gives an empty result; other columns are ignored. One conversation becomes one string, so it must fit a row (2 GB); that is the only group
 that meets in one task.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, running
 
 # The control strings.
 START, END, TURN, LINE = "<|im_start|>", "<|im_end|>", "<|turn|>", "<|nl|>"
@@ -65,22 +65,13 @@ def format_chats(
             ),
         ).alias("parts"),
     )
-    spans = F.aggregate(
-        "parts",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out")),
-        lambda acc, p: let(
-            acc["at"] + F.length(p["lead"]),
-            lambda start: F.struct(
-                (start + F.length(p["text"])).alias("at"),
-                F.when(
-                    p["learn"],
-                    F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.length(p["text"]).alias("length")))),
-                )
-                .otherwise(acc["out"])
-                .alias("out"),
-            ),
-        ),
-    )["out"]
+    placed = running(
+        F.col("parts"),
+        lambda p: F.length(p["lead"]) + F.length(p["text"]),
+        lambda at, p: F.struct((at + F.length(p["lead"])).alias("start"), F.length(p["text"]).alias("length"), p["learn"].alias("learn")),
+        "struct<start:int,length:int,learn:boolean>",
+    )
+    spans = F.transform(F.filter(placed, lambda s: s["learn"]), lambda s: F.struct(s["start"], s["length"]))
     return parts.select(
         "key",
         F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(END + "\n")).alias("formatted"),

@@ -4,14 +4,21 @@ Base kinds (``assign``, ``access``, ``hex``) are found by pattern. Beside them e
 mixes letters and digits is a candidate of kind ``random``: its encoding is inferred from its
 characters (hexadecimal, base 32, base 64), and three tests ask whether it could be uniform random
 text of that encoding: chi-squared over the alphabet, runs above and below the middle of the alphabet,
-and lag-one serial correlation. Fisher's method joins the three p-values. Within a document,
-Benjamini-Hochberg with weights by length tells which candidates are *not* random; the rest are spans.
+and lag-one serial correlation. Fisher's method joins the three p-values.
+
+Which p-value makes a secret is decided over the whole table, for each encoding and class of lengths, as
+tests of short tokens are weak: a bounded histogram of p-values is counted, random tokens are estimated
+from its upper half (they spread evenly, ordinary ones crowd at zero), and the cut-off is the least at
+which no more than ``FALSE_SHARE`` of what is reported is estimated to be ordinary.
 
 Positions come from ``split`` and ``regexp_extract_all`` with the same pattern: the gaps and the matches
-of one left-to-right scan. No shuffle: all work stays in the row.
+of one left-to-right scan. Only the histogram is shuffled; texts are read once, and what was found in
+them is written before the cut-offs are known.
 
-Defined results: null text counts as the empty text and has no spans; repeated rows stay repeated; an
-empty table gives an empty result; columns other than the named ones are ignored.
+Defined results: null text counts as the empty text and has no spans; repeated rows stay repeated and count
+each time; spans with equal starts stand in the order of ``KINDS``; a very long text is scanned whole, in time
+linear in it and in its matches; an empty table gives an empty result; columns other than the named ones are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, running, saved
 
 # The patterns, kinds in order, and least lengths.
 KINDS = ("assign", "access", "hex", "random")
@@ -29,15 +36,20 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ASSIGN_LEAST = 6
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a shorter match ends with its run of characters, so no other could start in it
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{24,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{14,}"  # 80 bits of base 64
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 
-#: Share of random tokens that the false-discovery control may call not random.
+#: Least p-value of a secret: so many random tokens may be missed.
 ALPHA = 0.01
+#: Share of the reported random tokens that may be ordinary, as estimated.
+FALSE_SHARE = 0.1
+#: Cells of the histogram in each group, and classes of lengths (two to each doubling).
+BINS = 100
+LENGTHS = 9
 #: Least information in a token, in bits: length times bits per character.
 LEAST_BITS = 80
 
@@ -47,21 +59,15 @@ def matches(text: Column, pattern: str, least: int = 0, group: int = 0) -> Colum
 
     def placed(found: Column) -> Column:
         gaps = F.split(text, pattern, -1)
-        empty = F.array().cast("array<struct<start:int,end:int,token:string>>")
-        walk = F.aggregate(
+        walk = running(
             F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit")),
-            F.struct(F.lit(0).alias("at"), empty.alias("out")),
-            lambda acc, x: let(
-                acc["at"] + F.length(x["gap"]),
-                lambda start: F.struct(
-                    (start + F.length(x["hit"])).alias("at"),
-                    F.concat(
-                        acc["out"],
-                        F.array(F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("token"))),
-                    ).alias("out"),
-                ),
+            lambda x: F.length(x["gap"]) + F.length(x["hit"]),
+            lambda at, x: let(
+                at + F.length(x["gap"]),
+                lambda start: F.struct(start.alias("start"), (start + F.length(x["hit"])).alias("end"), x["hit"].alias("token")),
             ),
-        )["out"]
+            "struct<start:int,end:int,token:string>",
+        )
         if not group:
             return F.filter(walk, lambda m: F.length(m["token"]) >= least)
         return F.filter(walk, lambda m: F.length(F.regexp_extract(m["token"], pattern, group)) >= least)
@@ -163,44 +169,46 @@ def randomness(token: Column) -> Column:
     return F.when(kind == "hex", tests("hex")).when(kind == "base32", tests("base32")).otherwise(tests("base64"))
 
 
-def random_tokens(text: Column) -> Column:
-    """Spans of the candidates that the false-discovery control leaves as random."""
+def candidates(text: Column) -> Column:
+    """array<struct<start, end, group, p>>: tokens that mix letters and digits; the group is the encoding's and
+    the length's."""
 
     def judged(found: Column) -> Column:
+        encoded = F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["token"].alias("token"), encoding(m["token"]).alias("encoding")))
         usable = F.filter(
-            found,
+            encoded,
             lambda m: m["token"].rlike("[0-9]")
             & m["token"].rlike("[A-Za-z]")
-            & (F.length(m["token"]) * F.when(encoding(m["token"]) == "hex", 4).when(encoding(m["token"]) == "base32", 5).otherwise(6) >= LEAST_BITS),
+            & (F.length(m["token"]) * F.when(m["encoding"] == "hex", 4).when(m["encoding"] == "base32", 5).otherwise(6) >= LEAST_BITS),
         )
-        scored = F.transform(
-            usable, lambda m: F.struct(randomness(m["token"]).alias("p"), m["start"].alias("start"), m["end"].alias("end"))
+        return F.transform(
+            usable,
+            lambda m: F.struct(
+                m["start"].alias("start"), m["end"].alias("end"), group(m["encoding"], F.length(m["token"])).alias("group"), randomness(m["token"]).alias("p")
+            ),
         )
 
-        def controlled(c: Column) -> Column:
-            mean = F.aggregate(c, F.lit(0.0), lambda acc, m: acc + (m["end"] - m["start"])) / F.size(c)
-            # A long token makes the tests strong, so it may be rejected sooner: its p-value counts for less.
-            weighted = let(
-                mean,
-                lambda w: F.transform(
-                    c, lambda m: F.struct((m["p"] * w / (m["end"] - m["start"])).alias("q"), m["start"].alias("start"), m["end"].alias("end"))
-                ),
-            )
+    return let(matches(text, TOKEN), judged)
 
-            def stepped(s: Column) -> Column:
-                last = F.aggregate(
-                    F.sequence(F.lit(1), F.size(s)),
-                    F.lit(0),
-                    lambda acc, i: F.when(F.get(s, i - 1)["q"] <= ALPHA * i / F.size(s), i).otherwise(acc),
-                )
-                return let(last, lambda k: F.transform(F.slice(s, k + 1, F.size(s)), lambda m: F.struct(m["start"], m["end"])))
 
-            return let(F.sort_array(weighted), stepped)
+def group(kind: Column, length: Column) -> Column:
+    return F.concat(kind, F.least(F.floor(2 * F.log2(length / 14)), F.lit(LENGTHS - 1)).cast("string"))
 
-        none = F.array().cast("array<struct<start:int,end:int>>")
-        return let(scored, lambda c: F.when(F.size(c) > 0, controlled(c)).otherwise(none))
 
-    return let(matches(text, TOKEN), judged)
+def cut_offs(found: DataFrame) -> DataFrame:
+    """(group, least_p) from rows with group and p: bounded in number, whatever the input."""
+    cells = found.groupBy("group", F.least(F.floor(F.col("p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    counts = cells.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("n"))  # BINS at most
+    above = lambda first: F.aggregate(
+        F.sequence(first, F.lit(BINS - 1)), F.lit(0).cast("bigint"), lambda acc, i: acc + F.coalesce(F.try_element_at("n", i), F.lit(0))
+    )
+    # Of random tokens half have a p-value above one half; one more is counted, so that a few are believed.
+    random = counts.withColumn("random", 2.0 * (1 + above(F.lit(BINS // 2))))
+    fits = F.filter(
+        F.sequence(F.lit(int(ALPHA * BINS)), F.lit(BINS - 1)),
+        lambda i: let(above(i), lambda seen: (seen > 0) & (seen - F.col("random") * (1 - i / F.lit(BINS)) <= FALSE_SHARE * seen)),
+    )
+    return random.select("group", F.coalesce(F.array_min(fits) / F.lit(float(BINS)), F.lit(2.0)).alias("least_p"))
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,13 +222,12 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             found, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"))
         )
 
-    found = F.concat(
-        of_kind(matches(t, ASSIGN, ASSIGN_LEAST, 2), "assign"),
-        of_kind(matches(t, ACCESS), "access"),
-        of_kind(matches(t, HEX), "hex"),
-        of_kind(random_tokens(t), "random"),
-    )
-    return rows.select("key", F.sort_array(found).alias("spans"))
+    base = F.concat(of_kind(matches(t, ASSIGN, ASSIGN_LEAST, 2), "assign"), of_kind(matches(t, ACCESS), "access"), of_kind(matches(t, HEX), "hex"))
+    found = saved(rows.select("key", base.alias("base"), candidates(t).alias("candidates")))
+    least = {r["group"]: r["least_p"] for r in cut_offs(found.select(F.inline("candidates"))).collect()}  # encodings times classes
+    table = F.create_map(*[x for name, p in sorted(least.items()) for x in (F.lit(name), F.lit(p))]).cast("map<string,double>")
+    random = F.filter("candidates", lambda m: m["p"] >= F.try_element_at(table, m["group"]))
+    return found.select("key", F.sort_array(F.concat("base", of_kind(random, "random"))).alias("spans"))
 
 
 def written(spans: Column, kinds: tuple[str, ...]) -> Column:
