@@ -65,10 +65,11 @@ def near_copies():
     return dict(enumerate(texts))
 
 
-@pytest.mark.parametrize("k, percent, group", [(4, 85, 256), (5, 80, 4), (3, 60, 2)])
-def test_jaccard_join(spark, monkeypatch, k, percent, group):
+@pytest.mark.parametrize("k, percent, group, few", [(4, 85, 256, 16), (5, 80, 4, 0), (3, 60, 2, 1)])
+def test_jaccard_join(spark, monkeypatch, k, percent, group, few):
     monkeypatch.setattr(jaccard_join, "GROUP", group)
     monkeypatch.setattr(jaccard_join, "VISITORS", 3 * group)
+    monkeypatch.setattr(jaccard_join, "FEW", few)
     monkeypatch.setattr(jaccard_join, "SAMPLE_EVERY", 2)
     texts = near_copies()
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in texts.items()] + [(None, "no id", 1, "x")], "doc_id bigint, text string, n int, digest string")
@@ -77,9 +78,25 @@ def test_jaccard_join(spark, monkeypatch, k, percent, group):
     assert got == linked(texts, k, percent)
 
 
+def test_jaccard_join_without_shared_keys(spark, monkeypatch):
+    """With one key of many values hardly any copies meet early: the matrix alone must find every link."""
+    monkeypatch.setattr(jaccard_join, "band_keys", lambda tokens: [int(tokens[::7].sum() >> 1)] * jaccard_join.BANDS)
+    texts = near_copies()
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    got = {r["key"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == linked(texts, 4, 85)
+
+
+def test_rows_that_repeat_an_id_are_one_node(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, None), (2, b), (3, a), (4, c), (4, c), (5, c)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted((r["key"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 4)]
+
+
 def test_keep_one(spark):
     texts = near_copies()
-    df = spark.createDataFrame([(i, t, "z") for i, t in texts.items()] + [(0, texts[0], "a"), (None, texts[1], "z")], "doc_id bigint, text string, key string")
+    df = spark.createDataFrame([(i, t, "z", 1, 2) for i, t in texts.items()] + [(0, texts[0], "a", 1, 2), (None, texts[1], "z", 1, 2)], "doc_id bigint, text string, key string, _key int, row int")
     kept = jaccard_join.keep_one(df)
     assert kept.columns == df.columns
     rows = kept.collect()
@@ -115,10 +132,10 @@ def hamming_brute(vectors, k):
     return out
 
 
-@pytest.mark.parametrize("n, block", [(3, 1 << 20), (400, 64)])
+@pytest.mark.parametrize("n, block", [(3, 1 << 18), (400, 8), (400, 1 << 18)])
 def test_hamming_search(spark, monkeypatch, n, block):
-    monkeypatch.setattr(hamming_search, "CODE_BLOCK", block)
-    monkeypatch.setattr(hamming_search, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(hamming_search, "BLOCK", block)
+    monkeypatch.setattr(hamming_search, "PROBES", 4000 if block < 100 else 1 << 20)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 64))
     vectors = {i: (centres[i % 6] + rng.normal(size=64) * 0.8).tolist() for i in range(n)}
@@ -131,6 +148,23 @@ def test_hamming_search(spark, monkeypatch, n, block):
     assert len(got) == len(brute) and {(r["query"], r["rank"], r["id"], r["distance"]) for r in got} == brute
 
 
+def test_rows_into_the_hamming_search_grow_with_the_tables(spark):
+    """Twice the codes and queries make twice the visits, as long as the codes are cut alike; more bits in a
+    block's name add to them only what they add to the radius."""
+    cuts = [hamming_search.Cuts(n) for n in (60_000, 120_000)]
+    assert cuts[0].segments == cuts[1].segments and cuts[0].prefix == cuts[1].prefix
+    for radius in (1, 3):
+        counts = []
+        for n, c in zip((60_000, 120_000), cuts, strict=True):
+            asked = spark.range(n // 20).select(F.xxhash64("id").alias("code"), F.lit(64).cast("bigint").alias("bound"))
+            counts.append(hamming_search.visits(asked, c, radius).count())
+        assert counts[1] == 2 * counts[0] <= 2 * 3000 * 4 * 16
+    large = hamming_search.Cuts(1 << 30)
+    assert len(large.segments) == 3 and large.prefix == 12
+    one = spark.range(1).select(F.col("id").alias("code"), F.lit(64).cast("bigint").alias("bound"))
+    assert hamming_search.visits(one, large, 2).count() == 3 * (1 + 12 + 66)
+
+
 def test_chat_round_trip(spark):
     says = ["<|im_end|>", "\\", "\\|", "<\\|", "a<", "|b", "<|turn|>", "", None, "x\ny", "<|nl|>", "<<||>>", "\\\\<|", "é😀"]
     rng = random.Random(6)

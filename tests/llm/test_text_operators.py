@@ -1,6 +1,7 @@
 """Row-wise operators against brute force, on fixtures with nulls, empties, repeats and odd columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -15,7 +16,7 @@ from cinderpatch.llm import byte_bpe, html_text, language_id, packing, pii, quer
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, spans int, tokens int"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, spans int, tokens int, row int, told int, _clean int, _told int"
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +34,7 @@ def odd_texts():
 
 def frame(spark, texts):
     """Extra columns have the names that the operators use inside."""
-    return spark.createDataFrame([(i, t, None if i % 7 == 0 else "en", None, i, "k", 1, 2) for i, t in enumerate(texts)], SCHEMA)
+    return spark.createDataFrame([(i, t, None if i % 7 == 0 else "en", None, i, "k", 1, 2, 3, 4, 5, 6) for i, t in enumerate(texts)], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +75,7 @@ def test_byte_bpe_equals_the_library(spark, stored, odd_texts, texts):
     fuzz = ["".join(rng.choice("ab cdeé\n\t's!!ßЖ中😀\x1c\x85​ the0123  aaa") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     for text in [*texts, *fuzz, " " * 3000, "a" * 3000, "ab" * 2000, "<|endoftext|>"]:
         assert list(memoryview(coder.encode(text)).cast("I")) == library.encode_ordinary(text)
-        assert coder.decode(coder.encode(text)) == text.encode()
+        assert byte_bpe.decode_ids(coder.tokens, coder.encode(text)) == text.encode()
 
 
 def test_language_id(spark, stored, odd_texts):
@@ -89,20 +90,84 @@ def test_language_id(spark, stored, odd_texts):
     assert all(0 <= r["score"] <= 1 for r in odd.values())
 
 
-def test_language_fit_is_bounded_and_ties_go_by_name(spark):
-    rows = spark.createDataFrame([(i, "hello there word", "xx" if i % 2 else "aa") for i in range(40)] + [(99, None, "zz"), (98, "text", None)], "doc_id int, text string, lang string")
-    model = language_id.fit(rows, max_words=2, max_grams=5)
-    assert model.languages == ["aa", "xx"] and len(model.words) == 2 and sum(map(len, model.orders.values())) == 5
+def scalar_language(rows, orders=(4, 3, 2, 1), smoothing=0.5):
+    """A word-first backoff predictor in plain loops: returns text -> scores by language."""
+    tables = {0: {}, **{o: {} for o in orders}}
+    languages = sorted({lang for text, lang in rows if text is not None and lang is not None})
+    letters = re.compile(r"[^\W\d_]+")
+    for text, lang in rows:
+        for word in letters.findall(text.lower()) if text is not None and lang is not None else ():
+            tables[0].setdefault(word, Counter())[lang] += 1
+            for o in orders:
+                padded = f" {word} " if o > 1 else word
+                for i in range(len(padded) - o + 1):
+                    tables[o].setdefault(padded[i : i + o], Counter())[lang] += 1
+    total = {(o, lang): sum(c[lang] for c in t.values()) + smoothing * len(t) for o, t in tables.items() for lang in languages}
+
+    def score(o, item):
+        logs = {lang: math.log((tables[o][item][lang] + smoothing) / total[o, lang]) for lang in languages}
+        return {lang: v - sum(logs.values()) / len(logs) for lang, v in logs.items()}
+
+    def predict(text):
+        words = letters.findall((text or "").lower())
+        sums = dict.fromkeys(languages, 0.0)
+        for word in words:
+            found = [score(0, word)] if word in tables[0] else []
+            for o in orders:
+                if not found:
+                    padded = f" {word} " if o > 1 else word
+                    found = [score(o, g) for i in range(len(padded) - o + 1) if (g := padded[i : i + o]) in tables[o]]
+            for lang in languages:
+                sums[lang] += sum(f[lang] for f in found) / max(1, len(found))
+        return sums, len(words)
+
+    return predict
+
+
+def test_language_id_equals_plain_loops(spark, texts, odd_texts):
+    labels = pq.read_table(f"{SF}/documents.parquet").to_pandas()["lang"].tolist()
+    half = len(texts) // 2
+    learned = list(zip(texts[:half], labels[:half], strict=True))
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(learned)], "doc_id int, text string, lang string")
+    model, plain = language_id.fit(df, docs_per_language=10**9), scalar_language(learned)
+    for text in [*texts[half:], *odd_texts, "unseen" * 30, "x" * 200 + " y"]:
+        lang, share = model.predict(text)
+        sums, n = plain(text)
+        if lang == "und":
+            assert not any(c.isalpha() for c in text or "")
+            continue
+        assert sums[lang] >= max(sums.values()) - 1e-6
+        assert share == pytest.approx(1 / sum(math.exp((v - sums[lang]) / math.sqrt(n)) for v in sums.values()), abs=1e-6)
+
+
+def test_language_cache_keeps_scores_when_emptied(spark, texts, monkeypatch):
+    df = spark.createDataFrame([(1, "hello there word", "aa"), (2, "guten tag wort", "bb")], "doc_id int, text string, lang string")
+    model = language_id.fit(df)
+    before = [model.predict(t) for t in texts]
+    monkeypatch.setattr(language_id, "CACHE_ENTRIES", 5)
+    again = language_id.Model(*model.tables())
+    assert [again.predict(t) for t in texts] == before
+
+
+def test_language_fit_holds_all_of_its_sample_and_ties_go_by_name(spark):
+    rows = spark.createDataFrame([(i, f"hello there word{'abc'[i % 3]}", "xx" if i % 2 else "aa") for i in range(40)] + [(97, "once", "aa"), (96, "thrice", "xx"), (99, None, "zz"), (98, "text", None)], "doc_id int, text string, lang string")
+    model = language_id.fit(rows)
+    assert model.languages == ["aa", "xx"] and set(model.words) == {"hello", "there", "worda", "wordb", "wordc", "once", "thrice"}
+    assert "nce " in model.grams and "text" not in model.words
     assert model.predict("hello")[0] == "aa"
     assert model.predict("½ ² 12")[0] == model.predict("\u0301")[0] == "und"
     assert language_id.fit(rows.where("false")).predict("hello") == ("und", 0.0)
+    few = language_id.fit(spark.range(4000).selectExpr("id as doc_id", "concat('w', translate(id, '0123456789', 'abcdefghij')) as text", "'aa' as lang"), docs_per_language=100)
+    assert 50 < len(few.words) < 200
 
 
 def test_language_stage_keeps_columns_and_clean_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit(1))
+    docs = docs.withColumn("told", F.lit("t")).withColumn("_told", F.lit("u"))
     junk = docs.limit(2).withColumn("doc_id", F.col("doc_id") + 10_000).withColumn("text", F.lit("123 ... 456"))
     kept = language_id.filter_documents(docs.unionByName(junk))
     assert kept.columns == docs.columns
+    assert kept.select("told", "_told").distinct().collect() == [("t", "u")]
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert all(i < 10_000 for i in ids) and len(ids) >= 0.97 * docs.count()
 
@@ -188,23 +253,90 @@ def test_secrets_base(spark, stored, odd_texts):
         assert digests[i]["n_assign"] == sum(k == 0 for _, k, _ in expected)
 
 
-def test_randomness_battery(spark):
-    rng = random.Random(7)
+def tail(z):
+    """P(Z >= z) by the same polynomial, in plain Python."""
+    if z < 0:
+        return 1 - tail(-z)
+    t = 1 / (1 + 0.2316419 * z)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
+
+
+def scalar_battery(token):
+    """Encoding, and Fisher's p-value of the three tests."""
+    kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", token) else "base32" if re.fullmatch("[A-Z2-7]+=*", token) else "base64"
+    alphabet = secret_scan.ALPHABETS[kind]
+    plain = token.replace("=", "")
+    plain = plain.lower() if kind == "hex" else plain.replace("-", "+").replace("_", "/") if kind == "base64" else plain
+    x = [alphabet.index(c) + 1 for c in plain]
+    n, size = len(x), len(alphabet)
+    stat, free = size * sum(k * k for k in Counter(x).values()) / n - n, size - 1
+    uniform = tail(((stat / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))) if stat > 0 else 1.0
+    high = [v > size / 2 for v in x]
+    a, b = sum(high), n - sum(high)
+    runs = 1 + sum(p != q for p, q in zip(high, high[1:]))
+    expected = 2 * a * b / n + 1
+    spread = (expected - 1) * (expected - 2) / (n - 1)
+    p_runs = 2 * tail(abs((runs - expected) / math.sqrt(spread))) if spread > 0 else 1e-12
+    mean = sum(x) / n
+    var = sum((v - mean) ** 2 for v in x)
+    serial = sum((p - mean) * (q - mean) for p, q in zip(x, x[1:]))
+    p_serial = 2 * tail(abs((serial / var + 1 / n) * math.sqrt(n))) if var > 0 else 1e-12
+    h = -sum(math.log(max(p, 1e-12)) for p in (uniform, p_runs, p_serial))
+    return kind, math.exp(-h) * (1 + h + h * h / 2)
+
+
+def made_tokens(rng, n):
+    """Random keys of several encodings, and ordinary long tokens with digits."""
     b64 = secret_scan.ALPHABETS["base64"]
-    random_tokens = ["".join(rng.choice(a) for _ in range(n)) for a, n in [(b64, 40), (b64, 64), (secret_scan.ALPHABETS["base32"], 52), ("0123456789abcdef", 40)] for _ in range(15)]
-    plain = ["a1" * 20, "abcdefghij0123456789" * 2, "0" * 39 + "a", "the_long_name_of_a_thing_2_and_more"]
-    df = spark.createDataFrame([(t,) for t in random_tokens + plain], "t string")
-    p = [r["p"] for r in df.select(secret_scan.randomness(F.col("t")).alias("p")).collect()]
-    assert sum(x > 0.01 for x in p[: len(random_tokens)]) >= 0.9 * len(random_tokens)
-    assert all(x < 0.001 for x in p[len(random_tokens) :])
-    texts = [f"see {t} here" for t in random_tokens]
-    found = secret_scan.scan(frame(spark, texts)).select(F.filter("spans", lambda s: s["kind"] == 3).alias("s")).collect()
-    hits = [(r["s"][0]["start"], r["s"][0]["end"] - 4) for r in found if r["s"]]
-    assert len(hits) >= 0.9 * len(texts) and all(s == 4 for s, _ in hits)
-    plan = secret_scan.scan(frame(spark, texts))._jdf.queryExecution().toString()
+    kinds = [(b64, 20), (b64, 40), (b64, 64), (secret_scan.ALPHABETS["base32"], 32), (secret_scan.ALPHABETS["base32"], 52), ("0123456789abcdef", 40)]
+    keys = ["".join(rng.choice(a) for _ in range(size)) for _ in range(n) for a, size in kinds]
+    words = "the long name of some thing report final version data table part copy draft house river north".split()
+    plain = ["-".join([*rng.choices(words, k=rng.randint(3, 7)), str(rng.randint(1, 40))]) for _ in range(4 * n)]
+    plain += ["/".join([*rng.choices(words, k=5), f"page{rng.randint(1, 9)}"]) for _ in range(2 * n)] + ["a1" * rng.randint(10, 30) for _ in range(n)]
+    return [k for k in keys if re.search("[0-9]", k) and re.search("[A-Za-z]", k)], plain
+
+
+def test_randomness_battery_equals_plain_loops(spark):
+    keys, plain = made_tokens(random.Random(7), 30)
+    more = ["0" * 39 + "a", "abcdefghij0123456789" * 2, "AAAA2222" * 5 + "==", "A9" + "=" * 20, "+/_-a1" * 9]
+    df = spark.createDataFrame([(t,) for t in [*keys, *plain, *more]], "t string")
+    for r in df.select("t", secret_scan.randomness(F.col("t")).alias("p"), secret_scan.encoding(F.col("t")).alias("e")).collect():
+        kind, p = scalar_battery(r["t"])
+        assert r["e"] == kind and r["p"] == pytest.approx(p, rel=1e-6, abs=1e-9), r["t"]
+
+
+def test_random_tokens_are_controlled_over_the_table(spark):
+    """Planted keys among ordinary tokens: what is reported is nearly all planted, and nearly all planted is reported."""
+    keys, plain = made_tokens(random.Random(8), 60)
+    texts = [f"see {t} here" for t in [*keys, *plain]]
+    scanned = secret_scan.scan(frame(spark, texts))
+    found = {r["key"] for r in scanned.where(F.exists("spans", lambda s: s["kind"] == 3)).collect()}
+    right = sum(i < len(keys) for i in found)
+    assert right >= 0.9 * len(keys) and right >= 0.9 * len(found)
+    assert all(r["spans"][0]["start"] == 4 for r in scanned.where("size(spans) = 1").collect())
+    none = secret_scan.scan(frame(spark, [f"see {t} here" for t in plain]))
+    assert none.where(F.exists("spans", lambda s: s["kind"] == 3)).count() <= 0.02 * len(plain)
+    one = secret_scan.scan(frame(spark, [f"see {keys[1]} here"])).first()["spans"]
+    assert [s["kind"] for s in one] == [3]
+    plan = scanned._jdf.queryExecution().toString() + secret_scan.cut_offs(spark.createDataFrame([("hex0", 0.5)], "group string, p double"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_many_matches_cost_time_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        df = frame(spark, ["token=abcdef0 " * n])
+        began = time.perf_counter()
+        spans = secret_scan.scan(df).first()["spans"]
+        assert len(spans) == n and [spans[-1]["start"], spans[-1]["end"]] == [14 * (n - 1), 14 * n - 1]
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(32_000) < 2.5 * seconds(16_000) + 1
+
+
 BASE_PII = [
     ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda m: True),
     ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda m: all(int(p) <= 255 for p in m[0].split("."))),
@@ -250,6 +382,43 @@ def test_pii_accounts_in_running_text(account):
     assert not [s for s in pii.spans(f"IBAN {account}9 and one word after another until there are too many {account}", automaton) if s[1] == 5]
 
 
+def planted_pii(rng):
+    """(kind, text before, the data): one of each kind, made by its rules."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda n=6: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    body = "4" + digits(14)
+    card = next(body + d for d in "0123456789" if pii.luhn(body + d))
+    country, size = rng.choice([("DE", 18), ("FR", 23), ("NO", 11), ("GB", 18)])
+    account = digits(size) if country != "GB" else "NWBK" + digits(14)
+    check = 98 - int("".join(str(int(c, 36)) for c in f"{account}{country}00")) % 97
+    iban = f"{country}{check:02d}{account}"
+    if rng.random() < 0.5:
+        iban = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+    return [
+        ("email", "mail ", f"{name()}.{name()}@{name()}.example.org"),
+        ("ip", "from ", ".".join(str(rng.randint(0, 255)) for _ in range(4))),
+        ("card", "card ", rng.choice([card, "-".join(card[i : i + 4] for i in range(0, 16, 4)), " ".join(card[i : i + 4] for i in range(0, 16, 4))])),
+        ("phone", "call ", f"+{rng.randint(1, 9)} ({digits(3)}) {digits(3)}-{digits(4)}"),
+        ("login", "at https://", f"{name()}:{name(9)}{digits(2)}"),
+        ("iban", rng.choice(["IBAN ", "iban: ", "IBAN of the payee is "]), iban),
+        ("ssn", rng.choice(["SSN ", "Social Security number "]), f"{digits(3)}-{digits(2)}-{digits(4)}"),
+    ]
+
+
+def test_pii_recall_of_planted_data():
+    automaton, rng = pii.anchors(), random.Random(9)
+    words = "and then they went home by the river before winter came again to all of us".split()
+    for _ in range(300):
+        for kind, before, data in planted_pii(rng):
+            lead = " ".join(rng.choices(words, k=rng.randint(0, 12))) + " " + before
+            after = "@host.example.org" if kind == "login" else ""
+            text = f"{lead}{data}{after}, {' '.join(rng.choices(words, k=5))}"
+            expected = (len(lead), pii.KINDS.index(kind), len(lead) + len(data))
+            assert expected in pii.spans(text, automaton), text
+    clean = [" ".join(rng.choices([*words, "iban", "year 2024.", "3.14", "ssn", "@home", "a+b"], k=60)) for _ in range(300)]
+    assert not any(pii.spans(text, automaton) for text in clean)
+
+
 def test_pii_cues_and_long_logins():
     automaton = pii.anchors()
     for cue in ("SSN ", "Ssn: ", "Social security ", "SOCIAL SECURITY NO. ", "social\nsecurity number of the applicant: ", "Social-Security#"):
@@ -266,7 +435,7 @@ def test_packing(spark, odd_texts, limits):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    texts = [t if t is None or len(t) < 5000 else t[:5000] for t in odd_texts]
+    texts = odd_texts
     df = frame(spark, texts).repartition(3)
     rows = packing.digests(packing.pack_documents(df, P.path("word_bpe_49k.json"), tokens=limits[0], segments=limits[1], loss=limits[2])).collect()
     by_doc, by_sequence = {}, {}
@@ -317,15 +486,38 @@ def test_packing_with_masks(spark):
         packing.pack_tokens(spark.createDataFrame([(1, bytearray(ids), bytearray(b"\1\1"))], "key int, token_bytes binary, mask binary"), loss_mask="mask").collect()
 
 
-def test_tokenizer_cache_keeps_ids_when_emptied(monkeypatch, texts):
+def test_packing_of_prompts_binds_all_three_limits(spark):
+    """Instruction data: prompts bear no loss, and each limit is the one that closes some sequence."""
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice(["red", "green", "blue"]) for _ in range(n))
+    rows = [(i, words(rng.choice([0, 1, 30])), words(rng.choice([1, 2, 20]))) for i in range(400)] + [(400, None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, prompt string, text string").coalesce(1)
+    out = packing.pack_documents(df, P.path("word_bpe_49k.json"), prompt="prompt", tokens=128, segments=8, loss=64).collect()
+    assert sum(r["loss_tokens"] for r in out) == sum(len((t or "").split()) + 1 for _, _, t in rows)
+    assert sum(r["length"] for r in out) == sum(len((q or "").split()) + len((t or "").split()) + 1 for _, q, t in rows)
+    filled = {}
+    for r in out:
+        n = filled.setdefault(r["sequence_id"], [0, 0, 0])
+        n[0], n[1], n[2] = n[0] + r["length"], n[1] + 1, n[2] + r["loss_tokens"]
+    assert all(a <= 128 and b <= 8 and c <= 64 for a, b, c in filled.values())
+    assert {128, 8, 64} <= {max(n[i] for n in filled.values()) for i in range(3)}
+
+
+@pytest.mark.parametrize("cache, block", [(50, 1 << 21), (150_000, 40), (20, 7)])
+def test_tokenizer_cache_keeps_ids_when_emptied(monkeypatch, texts, cache, block):
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "TOKEN_CACHE", 50)
+    monkeypatch.setattr(packing, "WORD_CACHE", cache)
+    monkeypatch.setattr(packing, "BLOCK", block)
     library, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), packing.ChunkTokenizer(open(P.path("word_bpe_49k.json")).read())
     rng = random.Random(4)
-    fuzz = ["".join(rng.choice("aé'sm thé \n\t\x1c\x1f\x0b\xa0\u2003\u2028\u3000\u1680\x85​İΣς1２ 😀") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
-    for text in [*texts, *fuzz, "<|endoftext|> x <|endoftext|>"]:
-        assert list(memoryview(own.encode(text)).cast("I")) == library.encode(text, add_special_tokens=False).ids
+    letters = "aé'sm thé \n\t\x1c\x1f\x0b\xa0\u2003\u2028\u3000\u1680\x85\u200bİΣς1２ 😀ǅßªЙё½'ll\u0301,.—'RE\x00"
+    fuzz = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    every = [*texts, *fuzz, "<|endoftext|> x <|endoftext|>", "", None, "x" * 500, "a b" * 50]
+    for text, ids in zip(every, own.encode_all(pa.array(every, pa.string())), strict=True):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids
+    assert all(x.tolist() == y.tolist() for x, y in zip(own.encode_all(pa.array(every)[7:]), own.encode_all(pa.array(every[7:])), strict=True))
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -394,3 +586,48 @@ def test_html_on_generated_pages(spark):
         blocks = [" ".join(html.unescape(re.sub("</?b>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", inside)]
         expected = "\n".join(b for b in blocks if b)
         assert got[page_id]["text"] == expected and got[page_id]["n_chars"] == len(expected)
+
+
+def without_semantics(source):
+    """A page whose elements tell nothing: menus, articles and footers are plain boxes."""
+    plain = re.sub(r"<(/?)(?:nav|article|footer|aside|header|main|section)\b[^>]*>", r"<\1div>", source)
+    return re.sub(r'\s(?:class|id|role)="[^"]*"', "", plain)
+
+
+def test_html_ratios_choose_the_region(monkeypatch):
+    """Without telling elements the text comes from the ratio clusters alone, and turns over with them."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    told = [html_text.main_text(p) for p in pages]
+    bare = [html_text.main_text(without_semantics(p)) for p in pages]
+    assert sum(a == b for a, b in zip(told, bare, strict=True)) >= 0.55 * len(pages)
+    shared = [(sum((Counter(a.split()) & Counter(b.split())).values()), len(a.split()) + len(b.split())) for a, b in zip(told, bare, strict=True)]
+    assert sum(2 * n / max(1, m) for n, m in shared) >= 0.93 * len(pages)
+    clusters = html_text.clusters
+    monkeypatch.setattr(html_text, "clusters", lambda sizes, tags: ~clusters(sizes, tags))
+    assert all(html_text.main_text(without_semantics(p)) != b for p, b in zip(pages, bare, strict=True))
+
+
+def test_html_drops_nothing_that_is_not_named():
+    page = f"<body><article>{STORY}<p hidden>Kept a.</p><p aria-hidden='true'>Kept b.</p><p>If <math><mi>x</mi></math> then.</p><p>Go <button>Press</button> on</p></article></body>"
+    assert html_text.main_text(page).split("\n") == [*TOLD, "Kept a.", "Kept b.", "If x then.", "Go on"]
+
+
+def test_html_very_long_pages():
+    """Time stays in proportion: deep nesting, stray end tags and many named elements."""
+    import time
+
+    def seconds(page):
+        began = time.process_time()
+        assert html_text.main_text(page)
+        return time.process_time() - began
+
+    def pages(n):
+        deep = "".join(f"<div><p>Line {i} of a long page.</p>" for i in range(n))
+        stray = "<div>" * 50 + "<i>" * n + "</em></u><p>some text</p>" * n
+        named = "".join(f"<div class='ad x{i}'>Buy {i}</div><p>Text number {i} of the page.</p>" for i in range(n))
+        return [f"<article>{x}</article>" for x in (deep, stray, named)]
+
+    for small, large in zip(pages(2000), pages(8000), strict=True):
+        seconds(small)
+        assert seconds(large) < 4 * 2.5 * seconds(small) + 0.5
+    assert len(html_text.main_text("<p>" + "word " * 500_000 + "</p>")) == 2_499_999
