@@ -22,14 +22,32 @@ from .common import WORD, let
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 SYMBOL_CLASS = r"[#*$%&|<>]"
-SHOUT = r"!!"
+SHOUT = "!!"
 END_MARK = r"[.!?:;,\"'”»)\]。！？…][\x20\x09-\x0D]*$"
 NAVIGATION = r"(^|[\x20\x09])([|»›>•·/]|::)([\x20\x09]|$)"
-BOILERPLATE = (
-    r"(?i)(all rights reserved|released under the [a-z0-9 .-]+ licen[sc]e|licensed under|privacy policy|terms of (use|service)"
-    r"|use of cookies|uses cookies|cookie policy|subscribe to our newsletter|sign up for|log in to|javascript is (disabled|required)"
-    r"|enable javascript|click here|read more|share this|powered by|skip to (main )?content)"
-)
+BOILERPLATE = [
+    "all rights reserved",
+    "licensed under",
+    "privacy policy",
+    "terms of use",
+    "terms of service",
+    "use of cookies",
+    "uses cookies",
+    "cookie policy",
+    "subscribe to our newsletter",
+    "sign up for",
+    "log in to",
+    "javascript is disabled",
+    "javascript is required",
+    "enable javascript",
+    "click here",
+    "read more",
+    "share this",
+    "powered by",
+    "skip to content",
+    "skip to main content",
+]
+LICENSE = ("released under the ", r"released under the [a-z0-9 .-]+ licen[sc]e")
 
 #: Production parameters.
 MIN_WORDS = 50
@@ -50,18 +68,38 @@ def removed_chars(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
+def boilerplate(line: Column) -> Column:
+    """Whether one of the phrases occurs, A to Z in either case."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def found(low: Column) -> Column:
+        hit = F.contains(low, F.lit(LICENSE[0])) & low.rlike(LICENSE[1])
+        for phrase in BOILERPLATE:
+            hit = hit | F.contains(low, F.lit(phrase))
+        return hit
+
+    return let(F.translate(line, upper, upper.lower()), found)
+
+
 def line_passes(line: Column) -> Column:
     def judged(words: Column) -> Column:
-        letters = F.regexp_count(line, F.lit(r"\p{L}"))
-        shouted = let(letters, lambda n: (n >= 20) & (F.regexp_count(line, F.lit(r"\p{Lu}")) > UPPER_PER_LETTER * n))
+        # Few lines have so many capitals that their letters must be counted at all.
+        shouted = let(
+            F.regexp_count(line, F.lit(r"\p{Lu}")),
+            lambda upper: (upper > UPPER_PER_LETTER * 20)
+            & let(
+                F.length(line) - F.length(F.regexp_replace(line, r"\p{L}+", "")), lambda n: (n >= 20) & (upper > UPPER_PER_LETTER * n)
+            ),
+        )
+        shouts = (F.length(line) - F.length(F.replace(line, F.lit(SHOUT), F.lit("")))) / len(SHOUT)
         return (
             (words > 0)
             & (removed_chars(line, SYMBOLS) <= SYMBOLS_PER_WORD * words)
-            & (F.regexp_count(line, F.lit(SHOUT)) <= SHOUTS_PER_WORD * words)
+            & (shouts <= SHOUTS_PER_WORD * words)
             & (F.regexp_count(line, F.lit(NAVIGATION)) <= NAVIGATION_PER_WORD * words)
             & ~shouted
             & ((words > STUB_WORDS) | line.rlike(END_MARK))
-            & ~((words <= 20) & line.rlike(BOILERPLATE))
+            & ~((words <= 20) & boilerplate(line))
         )
 
     return let(word_count(line), judged)
@@ -89,7 +127,7 @@ def _covered_by_repeats(w: Column) -> Column:
 
 
 def repeated_window_words(words: Column) -> Column:
-    """How many words lie in three-word windows that occur twice or more. Windows whose hashes all differ
+    """How many words lie in three-word windows that occur twice or more; ``words`` is bound already. Windows whose hashes all differ
     all differ; only other texts are sorted."""
 
     def counted(w: Column) -> Column:
@@ -97,7 +135,7 @@ def repeated_window_words(words: Column) -> Column:
         all_differ = let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
         return F.when(all_differ, F.lit(0)).otherwise(_covered_by_repeats(w))
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(words, counted)).cast("bigint")
+    return F.when(F.size(words) < 4, F.lit(0)).otherwise(counted(words)).cast("bigint")
 
 
 def assess(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -109,10 +147,9 @@ def assess(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     with_word = F.filter(F.split(t, "\n"), lambda line: line.rlike(WORD))
     counted = rows.select(
         "key",
-        word_count(t).cast("bigint").alias("n_words"),
         F.length(F.translate(t, WHITE_SPACE, "")).cast("bigint").alias("word_chars"),
         removed_chars(t, SYMBOLS).cast("bigint").alias("n_symbols"),
-        repeated_window_words(words).alias("n_repeat_words"),
+        let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeated_window_words(w).alias("repeated"))).alias("words"),
         let(
             with_word,
             lambda lines: let(
@@ -124,6 +161,7 @@ def assess(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             ),
         ).alias("clean"),
     )
+    counted = counted.select("*", F.col("words.n").alias("n_words"), F.col("words.repeated").alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.length(F.translate(F.col("clean.text"), WHITE_SPACE, "")) / F.greatest(F.col("word_chars"), F.lit(1))
     return counted.select(

@@ -1,6 +1,7 @@
 """Operators that shuffle, and the pipeline, against brute force."""
 
 import hashlib
+import math
 import random
 import sys
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from cinderpatch.llm import chat_format, components, hamming_search, jaccard_join, queries
 
+from .test_text_operators import plain_quality, scalar_language
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -218,6 +221,14 @@ def test_pipeline(spark, tmp_path):
         if name != "pack":
             assert now.columns == table.columns
             kept[name] = {r["doc_id"]: r["text"] for r in now.collect()}
+    assert kept["quality"] == {r["doc_id"]: t for r in table.collect() if (t := plain_quality(r["text"])) is not None}
+    learned = [(r["text"], r["lang"]) for r in spark.read.parquet(f"{tmp_path}/quality").collect()]
+    plain, sure = scalar_language(learned), set()
+    for i, text in kept["quality"].items():
+        sums, n = plain(text)
+        if n and 1 / sum(math.exp((v - max(sums.values())) / math.sqrt(n)) for v in sums.values()) >= 0.5:
+            sure.add(i)
+    assert set(kept["language"]) == sure
     assert not {90_003, 90_004, 90_005} & set(kept["quality"]) and {90_001, 90_002, 90_006} <= set(kept["quality"])
     assert set(kept["language"]) <= set(kept["quality"]) and len(kept["language"]) >= 0.97 * len(kept["quality"])
     classes = linked(kept["language"], 5, 80)

@@ -9,6 +9,7 @@ from collections import Counter
 import public_tokenizers as P
 import pyarrow.parquet as pq
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -212,6 +213,45 @@ def test_quality_separates_labels_and_is_native(spark):
     assert "Python" not in judged._jdf.queryExecution().toString() and "Arrow" not in judged._jdf.queryExecution().toString()
 
 
+END = regex.compile(r"""[.!?:;,"'”»)\]。！？…][\x20\x09-\x0D]*$""")
+NAVIGATION = regex.compile(r"(^|[\x20\x09])([|»›>•·/]|::)([\x20\x09]|$)")
+PHRASES = regex.compile(
+    r"(?i)(all rights reserved|released under the [a-z0-9 .-]+ licen[sc]e|licensed under|privacy policy|terms of (use|service)|use of cookies"
+    r"|uses cookies|cookie policy|subscribe to our newsletter|sign up for|log in to|javascript is (disabled|required)|enable javascript"
+    r"|click here|read more|share this|powered by|skip to (main )?content)"
+)
+
+
+def plain_quality(text):
+    """The stage's text of a document, None if it goes, in plain loops."""
+    text, lines = text or "", []
+    for line in text.split("\n"):
+        n = len(WORDS.findall(line))
+        letters, upper = len(regex.findall(r"\p{L}", line)), len(regex.findall(r"\p{Lu}", line))
+        if (
+            n
+            and line not in lines
+            and sum(c in "#*$%&|<>" for c in line) <= 0.3 * n
+            and line.count("!!") <= 0.3 * n
+            and len(NAVIGATION.findall(line)) <= 0.2 * n
+            and not (letters >= 20 and upper > 0.6 * letters)
+            and (n > 4 or END.search(line))
+            and not (n <= 20 and PHRASES.search(line))
+        ):
+            lines.append(line)
+    n_words, chars, _, _, repeated = base_quality(text)
+    left = sum(len(w) for line in lines for w in WORDS.findall(line))
+    failed = n_words < 50 or 100 * repeated > 50 * n_words
+    return None if failed or left < 0.6 * max(chars, 1) else "\n".join(lines)
+
+
+def test_quality_stage_equals_plain_loops(spark, texts, odd_texts):
+    odd = ["Ein Haus! ÄÖÜ" * 30 + "\nLOUD ÜBER ALLES, VERY LOUD INDEED AND MORE\n" + " ".join(f"w{i}" for i in range(90)), "Click HERE now\nREAD more: x\na | b | c\n" + " ".join(f"v{i}" for i in range(70)) + "."]
+    every = [*texts, *odd_texts, *odd, *(f"{t}\nRELEASED under the MIT Licence\n{t}\n!!!! x" for t in texts[:40])]
+    out = {r["doc_id"]: r["text"] for r in quality_rules.filter_documents(frame(spark, every)).collect()}
+    assert out == {i: kept for i, t in enumerate(every) if (kept := plain_quality(t)) is not None}
+
+
 def test_quality_lines_and_stage(spark):
     good = [" ".join(f"word{i}x{j}" for j in range(20)) + "." for i in range(6)]
     menu = "Home | News | Sport | Contact | About | Login"
