@@ -73,6 +73,7 @@ def test_jaccard_join(spark, monkeypatch, k, percent, group, few):
     monkeypatch.setattr(jaccard_join, "GROUP", group)
     monkeypatch.setattr(jaccard_join, "VISITORS", 3 * group)
     monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "FILTER_BITS", 64 * group)
     monkeypatch.setattr(jaccard_join, "SAMPLE_EVERY", 2)
     texts = near_copies()
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in texts.items()] + [(None, "no id", 1, "x")], "doc_id bigint, text string, n int, digest string")
