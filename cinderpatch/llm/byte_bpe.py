@@ -24,7 +24,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, LONG, map_rows
+from .common import LONG, map_rows
+
+#: Pieces, and as many pairs of tokens, that a task remembers: about 100 MB. They go with the task.
+CACHE_ENTRIES = 400_000
 
 ENCODED = "key bigint, n_tokens bigint, token_bytes binary"
 DECODED = "key bigint, n_tokens bigint, token_bytes binary, decoded binary"
