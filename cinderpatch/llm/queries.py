@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, hamming_search, html_text, jaccard_join, language_id, packing, pii, quality_rules, secret_scan
+from . import byte_bpe, chat_format, hamming_search, html_text, jaccard_join, kd_shards, language_id, packing, pii, quality_rules, secret_scan
 from .common import read_table
 
 
@@ -116,6 +116,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards.shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
+    grown = F.lit(None).cast("int").alias("grown_shard")  # of the law "key" only
+    return placed.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", grown)
+
+
 _LINE_OK = r"""
   w > 0 AND sym <= 0.3 * w AND len(regexp_extract_all(line, '!!')) <= 0.3 * w
   AND len(regexp_extract_all(line, '(^|[\x20\x09])([|»›>•·/]|::)([\x20\x09]|$)')) <= 0.2 * w
@@ -206,6 +212,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op8_html_text,
     op9_jaccard_join,
     op10_pii,
+    op13_kd_shards,
 ]
 
 
