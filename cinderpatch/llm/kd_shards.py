@@ -41,6 +41,8 @@ SLACK = 1 / 2048
 GROUP_SLACK = 1 / 128
 #: Shards at most: the driver and each broadcast hold a row per shard.
 MOST_SHARDS = 1 << 16
+#: Rows that are numbered together; a shard's counts of them meet in one task, a row for each.
+PART = 1 << 12
 #: Metadata dimensions of ``documents``.
 DIMENSIONS = ("lang", "source", "n_chars")
 
@@ -216,10 +218,10 @@ def locate(df: DataFrame, at: DataFrame, tree: Tree, key: str = "doc_id", text:
 
 
 def slots(df: DataFrame, shard: str = "shard", slot: str = "slot") -> DataFrame:
-    """``df`` with each row's number within its shard, gapless from 0: rows are numbered within a shard's part of a
-    partition, which no window exceeds, and a part begins where the counts of those before it end."""
+    """``df`` with each row's number within its shard, gapless from 0: rows are numbered within a shard's part of
+    ``PART`` neighbouring rows, and a part begins where the counts of those before it end."""
     part, row = fresh(df, "part"), fresh(df, "row")
-    rows = saved(df.select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(row)))
+    rows = saved(df.select("*", F.monotonically_increasing_id().alias(row))).withColumn(part, F.floor(F.col(row) / PART))
     counts = rows.groupBy(shard, part).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy(shard).orderBy(part)) - F.col("n")
     start = fresh(rows, "start")
