@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, hamming_search, html_text, jaccard_join, kd_shards, language_id, packing, pii, quality_rules, secret_scan
+from . import byte_bpe, chat_format, hamming_search, html_text, jaccard_join, kd_shards, language_id, lexical_search, packing, pii, quality_rules, secret_scan
 from .common import read_table
 
 
@@ -116,6 +116,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical_search.top_k(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
 def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards.shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
     grown = F.lit(None).cast("int").alias("grown_shard")  # of the law "key" only
@@ -201,6 +206,22 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(min(b)
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id, n.n
 """
 
+OP12_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+asked AS (SELECT q, item_id, term, count(*) AS reps FROM b GROUP BY ALL),
+n AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(ws)) AS BIGINT) AS terms FROM t WHERE len(ws) > 0),
+held AS (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS size, term, count(*) AS tf FROM (SELECT r, doc_id, ws, unnest(ws) AS term FROM t)
+         WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, n GROUP BY term),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(reps * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * size * docs) // terms)))) AS BIGINT) AS score
+      FROM asked JOIN held USING (term) JOIN w USING (term), n WHERE doc_id IS NOT NULL GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
 _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op1_byte_bpe,
     op2_language_id,
@@ -212,6 +233,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op8_html_text,
     op9_jaccard_join,
     op10_pii,
+    op12_lexical_search,
     op13_kd_shards,
 ]
 
@@ -221,4 +243,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_hamming_search": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_jaccard_join": OP9_SQL}
+    return {"op3_hamming_search": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_jaccard_join": OP9_SQL, "op12_lexical_search": OP12_SQL}

@@ -1,11 +1,15 @@
 """Phrases, lexical search and shards against brute force, on fixtures with nulls, empties, ties, repeats and odd columns."""
 
+import math
+import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from cinderpatch.llm import kd_shards, queries
+from cinderpatch.llm import kd_shards, lexical_search, queries
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, size int, shard int, slot int, place string, mark int, node int, cut int"
 
@@ -107,3 +111,77 @@ def test_shards_of_the_registered_query(spark):
     assert list(weights.index) == list(range(8)) and weights.max() - weights.min() <= got["size"].max()
     assert (got["law"] == "bytes").all() and got["grown_shard"].isna().all()
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def plain_terms(text):
+    return TERM.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_search(rows, items, k):
+    """All items against all documents, by the formula."""
+    held = [(i, plain_terms(t)) for i, t, *_ in rows]
+    held = [(i, Counter(w), len(w)) for i, w in held if w]
+    n, all_terms, df = len(held), sum(x[2] for x in held), Counter(t for x in held for t in x[1])
+    found = []
+    for item, text in items:
+        scores = []
+        for key, tf, size in held:
+            m = 100 - 25 + (25 * size * n) // all_terms
+            score = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * ((1_000_000_000 * tf[t]) // (1000 * tf[t] + 12 * m)) for t in plain_terms(text) if t in tf)
+            if score > 0 and key is not None:
+                scores.append((-score, key))
+        found += [(item, r + 1, key, -score) for r, (score, key) in enumerate(sorted(scores)[:k])]
+    return sorted(found)
+
+
+def searched():
+    rng, words = random.Random(5), [f"w{i}" for i in range(60)] + ["É", "ñandú", "日本", "x9"]
+    rows = [(i, " ".join(rng.choices(words, [1 / (j + 1) for j in range(len(words))], k=rng.choice([1, 3, 20, 90]))), "a", "s") for i in range(400)]
+    passage = "w50 w51 É-w52 W53, ñandú_w54"
+    rows += [(1_000 + i, passage if i % 2 else passage.upper() + " W1", "a", "s") for i in range(60)]
+    rows += [(2_000, None, "a", "s"), (2_001, "", "a", "s"), (2_002, " --- ", "a", "s"), (None, passage, "a", "s"), (3, rows[3][1], "a", "s"), (2_003, "w50 " * 3_000, "a", "s")]
+    items = [(1, passage), (2, "w0 w0 w1"), (3, None), (4, "..."), (5, "unseen words"), (6, rows[5][1]), (6, "w3 w9 w27"), (None, "日本 x9")]
+    return rows, items
+
+
+@pytest.mark.parametrize(("block", "values"), [(2_048, 1 << 18), (3, 40)])
+def test_search_equals_the_formula(spark, monkeypatch, block, values):
+    """In one block with one bucket, and in blocks with many small buckets that most items skip."""
+    monkeypatch.setattr(lexical_search, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(lexical_search, "BUCKET_VALUES", values)
+    rows, items = searched()
+    asked = spark.createDataFrame(items, "item_id bigint, text string")
+    got = [tuple(r) for r in lexical_search.top_k(documents(spark, rows), asked, k=5).collect()]
+    key = lambda x: (x[0] is None, *x)
+    want = [x for item in items for x in plain_search(rows, [item], 5)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sorted(got, key=lambda x: key((x[0] or 0, *x[1:])))
+
+
+def test_search_bounds_hold_and_prune():
+    """No vector that can reach a bar is left out, and most others are."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    weights, n = rng.integers(1, 9_000, 300), 500
+    sets = [np.sort(rng.choice(300, rng.integers(1, 60), replace=False)).astype(np.int32) for _ in range(n)]
+    values = [rng.integers(1, 900_000, len(s)).astype(np.int32) for s in sets]
+    length = np.array([math.sqrt(sum(weights[s] * v.astype(float) ** 2)) for s, v in zip(sets, values, strict=True)])
+    falling = np.argsort(-length)
+    part = pa.table({"key": falling, "length": length[falling], "terms": pa.array([sets[i] for i in falling], pa.list_(pa.int32())), "impacts": pa.array([values[i] for i in falling], pa.list_(pa.int32()))})
+    bucket = lexical_search.Bucket(part.combine_chunks().to_batches()[0], 300)
+    asked = [Counter({int(t): int(c) for t, c in zip(rng.choice(300, 25, replace=False), rng.integers(1, 4, 25), strict=True)}) for _ in range(20)]
+    items = lexical_search.Items.weighed(asked, weights)
+    rests = items.lengths()
+    work, left = np.zeros(300, dtype=np.int64), 0
+    for i, counts in enumerate(asked):
+        exact = np.array([sum(counts[int(t)] * int(weights[t]) * int(v) for t, v in zip(sets[r], values[r], strict=True)) for r in falling])
+        assert (bucket.scores(items, i, np.arange(n), work) == exact).all() and not work.any()
+        assert (exact <= rests[i][0] * length[falling]).all()
+        bar = int(np.sort(exact)[-10])
+        rows = bucket.survivors(items, i, bar, rests[i])
+        assert set(np.flatnonzero(exact >= bar)) <= set(rows)
+        left += len(rows)
+    assert left < 0.5 * n * len(asked)

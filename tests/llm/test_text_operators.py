@@ -52,6 +52,7 @@ def empty(spark, tmp_path_factory):
     frame(spark, []).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([], "page_id bigint, url string, html string").write.parquet(f"{root}/pages.parquet")
     spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{root}/conversations.parquet")
+    spark.createDataFrame([(1, "some words")], "item_id bigint, text string").write.parquet(f"{root}/benchmark.parquet")
     spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
     return str(root)
 
