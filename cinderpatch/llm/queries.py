@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, hamming_search, html_text, jaccard_join, kd_shards, language_id, lexical_search, packing, pii, quality_rules, secret_scan
+from . import byte_bpe, chat_format, collocations, hamming_search, html_text, jaccard_join, kd_shards, language_id, lexical_search, packing, pii, quality_rules, secret_scan
 from .common import read_table
 
 
@@ -116,6 +116,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read_table(spark, sf_dir, "documents"), least=30, top=2_000)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lexical_search.top_k(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select(F.col("item").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
@@ -206,6 +210,26 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(min(b)
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id, n.n
 """
 
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM (
+        SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT f.lang, f.phrase, f.k, f.a, cut, x.a AS l, y.a AS r, CAST(2000000 * CAST(f.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1) f
+      JOIN f x ON x.lang = f.lang AND x.phrase = array_to_string(f.ws[1 : cut], ' ')
+      JOIN f y ON y.lang = f.lang AND y.phrase = array_to_string(f.ws[cut + 1 : f.k], ' ')),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, array_to_string(ws[s : s + m - 1], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM f, (SELECT unnest([2, 3]) AS m) WHERE k > m) GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000
+"""
+
 OP12_SQL = r"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
@@ -233,6 +257,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     op8_html_text,
     op9_jaccard_join,
     op10_pii,
+    op11_collocations,
     op12_lexical_search,
     op13_kd_shards,
 ]
@@ -243,4 +268,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_hamming_search": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_jaccard_join": OP9_SQL, "op12_lexical_search": OP12_SQL}
+    return {"op3_hamming_search": OP3_SQL, "op4_quality_rules": OP4_SQL, "op6_chat_format": OP6_SQL, "op9_jaccard_join": OP9_SQL, "op11_collocations": OP11_SQL, "op12_lexical_search": OP12_SQL}

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from cinderpatch.llm import kd_shards, lexical_search, queries
+from cinderpatch.llm import collocations, kd_shards, lexical_search, queries
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, size int, shard int, slot int, place string, mark int, node int, cut int"
 
@@ -185,3 +185,64 @@ def test_search_bounds_hold_and_prune():
         assert set(np.flatnonzero(exact >= bar)) <= set(rows)
         left += len(rows)
     assert left < 0.5 * n * len(asked)
+
+
+def plain_mining(rows, least, top):
+    """Every phrase of every piece, then the rules one after another."""
+    counts, totals = defaultdict(Counter), Counter()
+    for _, text, lang, _ in rows:
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\x0A-\x0D]", lower):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang or "und"] += len(w)
+            counts[lang or "und"].update(tuple(w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        found = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        told = []
+        for p, a in found.items():
+            score, cut = min((2_000_000 * a // (f[p[:c]] + f[p[c:]]), c) for c in range(1, len(p)))
+            inside = any(100 * b >= 80 * a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, b in found.items() if len(q) > len(p))
+            if not inside:
+                told.append((-score, -a, " ".join(p).encode(), f[p[:cut]], f[p[cut:]]))
+        out += [(lang, r, p.decode(), -a, l, x, totals[lang], -s) for r, (s, a, p, l, x) in enumerate(sorted(told)[:top], 1)]
+    return sorted(out)
+
+
+def phrased():
+    rng, words = random.Random(7), ["the", "of", "Red", "fox", "jumps", "é", "日本", "a-b", "x\u00a0y", "#", "|"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ", ", ".", "\n", "\x0b", "\x1c "]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    texts += ["new york city hall. " * 9, "in the hot pair, " * 40, "hot pair w1 hot pair w2 hot pair w3 " * 12, "one long piece without any end " * 80]
+    rows = [(i, t, [None, "und", "en", "de"][i % 4], "s") for i, t in enumerate(texts)]
+    return [*rows, (900, None, "en", "s"), (901, "", "fr", "s"), (902, " .\t\n", "it", "s"), (0, texts[0], None, "s"), (None, texts[5], "en", "s")]
+
+
+@pytest.mark.parametrize(("entries", "burst", "chunk", "words", "hot"), [(1 << 19, 1 << 12, 1 << 20, 200_000, 16), (40, 3, 50, 30, 1)])
+def test_phrases_equal_plain_counts(spark, monkeypatch, entries, burst, chunk, words, hot):
+    """In one go, and with bursts, spills, new tries, cut texts and hot prefixes all over."""
+    for name, value in (("ENTRIES", entries), ("BURST", burst), ("CHUNK", chunk), ("WORDS", words), ("HOT_COUNT", hot)):
+        monkeypatch.setattr(collocations, name, value)
+    rows = phrased()
+    for top in (2_000, 3):
+        got = sorted(tuple(r) for r in collocations.mine(documents(spark, rows).repartition(3), least=5, top=top).collect())
+        assert got == plain_mining(rows, 5, top) and len(got) >= 9
+
+
+def test_trie_bursts_and_spills_largest_subtrees():
+    trie, pieces = collocations.Trie(), [f"a b{i} c" for i in range(6_000)] + ["x y z"] * 50
+    trie.add(collocations.windows("\n".join(pieces).encode(), 0, trie.words))
+    names = trie.words.names
+    assert type(trie.roots[names.index(b"a") + 1]) is not Counter and type(trie.roots[names.index(b"x") + 1]) is Counter
+    before = trie.entries
+    w, n = trie.spill(before // 2 + 1)
+    assert set(w[0]) == {names.index(b"a") + 1} and trie.entries == before - len(n) <= before // 2 + 1
+    w, n = trie.spill(0)
+    at = [names.index(x) + 1 for x in (b"x", b"y", b"z")]
+    assert trie.entries == 0 and n[(w == np.array([[*at, 0]]).T).all(axis=0)].tolist() == [50]
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    a = 5 * 10**12
+    wide = lambda c: f"cast({c} as decimal(20, 0))"
+    got = spark.sql(f"select 2000000 * {wide(a)} div ({wide(a + 1)} + {wide(a + 3)})").first()[0]
+    assert got == 2_000_000 * a // (2 * a + 4)
