@@ -7,8 +7,8 @@ anchor a small deterministic parser expands to the left and right, fixes the bou
 Base kinds are ``email``, ``ip``, ``card`` and ``phone``: the leftmost non-overlapping matches of their
 patterns, of which those that fail validation are dropped. Added kinds: ``login`` (user and password
 before the host of an address), ``iban`` and ``ssn`` after their cues. Cues count in any case; the first
-number starts within ``WORDS`` words after its cue, each further one within as many after the last. An
-account's country tells its length; where the country is unknown, the longest end that validates counts.
+number starts within ``WORDS`` words after its cue, whatever their length and the marks between them, each further
+one within as many after the last. An account's country tells its length; where the country is unknown, the longest end that validates counts.
 
 Defined results: null text counts as the empty text and has no spans; repeated rows stay repeated; spans of
 several kinds may share characters, and those with equal starts stand in the order of ``KINDS``; a very long
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -41,11 +42,11 @@ ADDRESS = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/@:?#]++:[^\s/@?#]++@(?=[A-Za-z0-9\[])")
-SECURITY = re.compile(r"[\s-]{1,4}security", re.IGNORECASE)
-NEXT_WORD = re.compile(r"[\W_]{0,64}([^\W_]{1,64})")
+SECURITY = re.compile(r"[\s-]++security", re.IGNORECASE)
+MARKS, WORD = re.compile(r"[\W_]*+"), re.compile(r"[^\W_]*+")
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[\x20\xa0\u202f-]?[A-Za-z0-9]){11,30}")
 SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-FIRST_DIGIT = re.compile(r"[^\W_0-9]*([0-9])")
+FIRST_DIGIT = re.compile(r"[^\W_0-9]*+([0-9])")
 GOES_ON = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 #: Characters of an account by country.
 LENGTHS = {
@@ -98,19 +99,30 @@ def ssn_end(text: str, at: int) -> int | None:
     return m.end() if (m := SSN.match(text, at)) else None
 
 
-def after_cue(text: str, at: int, kind: str) -> list[tuple[int, int]]:
-    """(start, end) of the numbers after a cue that ends here."""
-    out, left = [], WORDS
-    while left and (m := NEXT_WORD.match(text, at)):
-        start = m.start(1)
-        if kind == "ssn":
-            start = d.start(1) if (d := FIRST_DIGIT.match(text, start)) else start
-            end = ssn_end(text, start)
-        else:
-            end = iban_end(text, start)
-        if end:
-            out.append((start, end))
-        at, left = (end, WORDS) if end else (m.end(), left - 1)
+def after_cues(text: str, cues: list[int], kind: str) -> list[tuple[int, int]]:
+    """(start, end) of the numbers within ``WORDS`` words after the cues that end at these places, in order. The walk
+    from a cue stops at the next one, which looks at what follows, so each word is looked at once."""
+    out: list[tuple[int, int]] = []
+    for n, cue in enumerate(cues, 1):
+        at, left, following = cue, WORDS, cues[n] if n < len(cues) else len(text) + 1
+        if out and cue <= out[-1][1]:
+            continue  # inside a number: the walk that found it has gone on from its end, or stopped at a later cue
+        while left:
+            start = MARKS.match(text, at).end()
+            if start >= min(following, len(text)):
+                break
+            place = start
+            if kind == "ssn" and (d := FIRST_DIGIT.match(text, start, following)):
+                place = d.start(1)
+            end = ssn_end(text, place) if kind == "ssn" else iban_end(text, place)
+            if end:
+                out.append((place, end))
+                at, left = end, WORDS
+                following = cues[i] if (i := bisect_right(cues, end)) < len(cues) else len(text) + 1
+                continue
+            at, left = WORD.match(text, start, following).end(), left - 1
+            if at == following:
+                break
     return out
 
 
@@ -136,7 +148,7 @@ def spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, i
     """(start, kind, end) by start, then kind."""
     out: list[tuple[int, int, int]] = []
     email_end = ip_end = card_end = 0
-    number_end = {"iban": 0, "ssn": 0}
+    cues: dict[str, list[int]] = {"iban": [], "ssn": []}
     for last, (size, kind) in automaton.iter(text):
         at = last + 1 - size
         if kind == "digit":
@@ -169,10 +181,9 @@ def spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, i
                 if not (m := SECURITY.match(text, after)):
                     continue
                 after = m.end()
-            if after > number_end[kind]:  # else the cue before has looked there
-                for start, end in after_cue(text, after, kind):
-                    out.append((start, KINDS.index(kind), end))
-                    number_end[kind] = end
+            cues[kind].append(after)
+    for kind, ends in cues.items():
+        out += [(start, KINDS.index(kind), end) for start, end in after_cues(text, ends, kind)]
     return sorted(set(out))
 
 

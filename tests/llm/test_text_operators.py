@@ -672,3 +672,54 @@ def test_html_very_long_pages():
         seconds(small)
         assert seconds(large) < 4 * 2.5 * seconds(small) + 0.5
     assert len(html_text.main_text("<p>" + "word " * 500_000 + "</p>")) == 2_499_999
+
+
+def added_numbers(text):
+    """Brute force for ``iban`` and ``ssn``: eight words after every cue, each looked at for itself."""
+    out = set()
+    for kind, cue in ((5, re.compile("iban", re.I)), (6, re.compile(r"ssn|social[\s-]+security", re.I))):
+        for at in (m.end() for m in cue.finditer(text)):
+            left = 0 if any(k == kind and start < at <= end for start, k, end in out) else pii.WORDS
+            while left and (m := re.compile(r"[\W_]*([^\W_]+)").match(text, at)):
+                start = m.start(1)
+                if kind == 6 and (d := re.search("[0-9]", m[1])) and m[1][: d.start()].isalpha():
+                    start += d.start()
+                end = (pii.ssn_end if kind == 6 else pii.iban_end)(text, start)
+                if end:
+                    out.add((start, kind, end))
+                    at, left = end, pii.WORDS
+                else:
+                    at, left = m.end(), left - 1
+    return out
+
+
+def test_pii_added_kinds_equal_brute_force():
+    automaton, rng = pii.anchors(), random.Random(12)
+    pieces = ["ssn", "SSN:", "iban", "IBAN", "social security", "social - security", "123-45-6789", "a123-45-6789", ACCOUNTS[0], ACCOUNTS[0].replace(" ", ""), "word", "x" * 70, "." * 70, "é", "\u202f", "9", "_", "-", " ", " ", " ", "\n"]
+    found = 0
+    for _ in range(4_000):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(1, 30)))
+        got = {s for s in pii.spans(text, automaton) if s[1] > 4}
+        assert got == added_numbers(text), text
+        found += len(got)
+    assert found > 2_000
+
+
+@pytest.mark.parametrize("dots", [64, 65, 5_000])
+def test_pii_any_number_of_marks_and_letters_after_a_cue(dots):
+    automaton = pii.anchors()
+    for text, kind in ((f"IBAN {'.' * dots} {ACCOUNTS[0]}", 5), (f"IBAN {'w' * dots} {ACCOUNTS[0]}", 5), (f"SSN{' ' * dots}123-45-6789", 6), (f"social{' ' * dots}security 123-45-6789", 6)):
+        assert [s[1] for s in pii.spans(text, automaton)] == [kind]
+
+
+@pytest.mark.parametrize("piece", ["ssn", "iban", "social security", "ssn ", "iban-", "social ", "ssn1", "ibanDE89", "1.", "1 ", "@a", "a@", "+1 ", "://a:", f"IBAN {ACCOUNTS[0]} ", "ssn 123-45-6789 "])
+def test_pii_time_is_linear(piece):
+    import time
+
+    automaton, took = pii.anchors(), []
+    for size in (1_000_000, 2_000_000):
+        text = piece * (size // len(piece))
+        began = time.process_time()
+        pii.spans(text, automaton)
+        took.append(time.process_time() - began)
+    assert took[0] < 8 and took[1] < 3 * took[0] + 0.5, took
