@@ -6,8 +6,9 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cinderpatch.operators.grid import to_patches
+from cinderpatch.operators.forward import Net, image_scores
 from cinderpatch.operators.metrics import threshold_report
 from cinderpatch.operators.ordering import take_batches
 from cinderpatch.plans.dataset import build_datasets
@@ -73,19 +74,28 @@ def report(model, validation_pixels: DataFrame, thresholds: tuple[float, ...] =
 
 
 def scored_patches(model, frame: DataFrame, model_type: str, size: int) -> DataFrame:
-    """Patches of the validation split with the model's image ``p``: pixels are scored and stand together again."""
-    scored = predict(model, pixels(frame, model_type, size)).select("id", "pos", F.col("p").cast("float").alias("p"))
-    return frame.join(to_patches(scored, ["p"], size), "id")
+    """Patches with the model's image ``p``, made in their own row: nothing is opened, shuffled or joined. ``model``
+    is a fitted model or its ``Net``."""
+    bands = [F.col("inputs")[b] for b in frame.schema["inputs"].dataType.fieldNames()]
+    several = model_type.lower() == "multi_scale_mlp_head"
+    return frame.withColumn("p", image_scores(bands, Net.of(model), size, (1, 2, 4) if several else (1,), several, T.FloatType()))
 
 
 def evaluation(
-    model, frame: DataFrame, model_type: str, size: int, last_year_band: str | None = None, thresholds: tuple[float, ...] = (0.5, 0.9, 0.99), examined: int | None = None
+    model,
+    frame: DataFrame,
+    model_type: str,
+    size: int,
+    last_year_band: str | None = None,
+    thresholds: tuple[float, ...] = (0.5, 0.9, 0.99),
+    examined: int | None = None,
+    key: str = "id",
 ) -> tuple[DataFrame, DataFrame]:
     """(metrics of the model and of last year's burned area, patches worth a look) on the validation split."""
     patches = scored_patches(model, frame, model_type, size)
     if last_year_band:
         patches = patches.withColumn("last_year", F.col("inputs")[last_year_band])
-    return evaluate(patches, last_year="last_year" if last_year_band else None, thresholds=thresholds, examined=examined)
+    return evaluate(patches, last_year="last_year" if last_year_band else None, thresholds=thresholds, examined=examined, key=key)
 
 
 def peek(frame: DataFrame, n: int = 1) -> DataFrame:

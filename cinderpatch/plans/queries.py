@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from pyspark.sql import types as T
 
 from ..functions import bands as B
 from ..operators import grid, metrics, ordering
-from . import score, train
+from ..operators.forward import Net
+from . import job, score, train
 from ..sources.schema import patch_struct, read_schema, write_schema
 from ..sources.tfrecord import read_tfrecords, write_tfrecords
 from .dataset import build_datasets, cached, input_bands, load_patches, shared_folder
@@ -238,6 +240,23 @@ def evaluation_report(spark, sf_dir):
     return _rounded(score.evaluate(patches, last_year="last_year", key="vec_id")[0])
 
 
+#: A small net by a rule: what is checked is the pass through it, for which any weights will do.
+NET_LAYERS = [2, 4, 3, 2]
+NET_WEIGHTS = [round(((i * 7 + 3) % 11 - 5) * 0.9, 1) for i in range(sum((n + 1) * m for n, m in zip(NET_LAYERS, NET_LAYERS[1:], strict=False)))]
+
+
+def _image_frame(spark, sf_dir):
+    """Patches of two bands, the second of which is last year's, and their mask."""
+    last_year = F.transform(F.reverse("embedding"), lambda v: v + F.lit(0.3).cast("float"))
+    return _table(spark, sf_dir).select("vec_id", F.struct(F.col("embedding").alias("A00"), last_year.alias("B23")).alias("inputs"), F.transform("embedding", lambda v: B.above(v, 0.1)).alias("label"))
+
+
+def job_evaluation(spark, sf_dir):
+    """The job's evaluation: a net scores whole patches in their row; last year's band beside it."""
+    net = Net(NET_LAYERS, np.array(NET_WEIGHTS))
+    return _rounded(job.evaluation(net, _image_frame(spark, sf_dir), "mlp", SIZE, "B23", (0.3, 0.5, 0.7), key="vec_id")[0])
+
+
 def model_roundtrip(spark, sf_dir):
     """A fitted model, saved in the shared folder and loaded again, predicts the same."""
     data, fitted = _fitted(spark, sf_dir)
@@ -353,6 +372,22 @@ _SPLIT = "CASE WHEN vec_id % 5 = 0 THEN 'validation' ELSE 'training' END"
 _TRUTH, _HIT = "label > 4", f"{_P} > CAST(0.5 AS FLOAT)"
 _CONFUSION = _confusion_sql(_TRUTH, _HIT, _PX)
 
+
+
+def _net_sql(source: str) -> str:
+    """``source`` has columns x0 and x1 and gets p, the net's probability."""
+    at, width = 0, len(NET_LAYERS) - 1
+    for layer, (n, m) in enumerate(zip(NET_LAYERS, NET_LAYERS[1:], strict=False)):
+        name = "x" if layer == 0 else f"h{layer}_"
+        sums = [" + ".join([*(f"({NET_WEIGHTS[at + o + j * m]}) * {name}{j}" for j in range(n)), f"({NET_WEIGHTS[at + n * m + o]})"]) for o in range(m)]
+        outs = [f"1 / (1 + exp(-({x}))) AS h{layer + 1}_{o}" if layer < width - 1 else f"{x} AS z{o}" for o, x in enumerate(sums)]
+        source, at = f"SELECT *, {', '.join(outs)} FROM ({source})", at + (n + 1) * m
+    return f"SELECT *, 1 / (1 + exp(z0 - z1)) AS p FROM ({source})"
+
+
+_IMAGES = """SELECT v > CAST(0.1 AS FLOAT) AS y, CAST(v AS DOUBLE) AS x0, CAST(u + CAST(0.3 AS FLOAT) AS DOUBLE) AS x1, u + CAST(0.3 AS FLOAT) AS last_year
+  FROM (SELECT unnest(embedding) AS v, unnest(list_reverse(embedding)) AS u FROM embeddings)"""
+
 ORACLE: dict[str, str] = {
     "band_projection": "SELECT vec_id, embedding[2] AS A01, embedding[17] AS A16, embedding[10] AS A09 FROM embeddings",
     "band_exclusion": f"SELECT vec_id, {', '.join(f'embedding[{i + 1}] AS A{i:02d}' for i in range(1, 64))} FROM embeddings",
@@ -400,6 +435,10 @@ ORACLE: dict[str, str] = {
         _metrics_sql(_confusion_sql("v > CAST(0.2 AS FLOAT)", f"{hit} > CAST({t} AS FLOAT)", f"({_CELL})"), f"'{name}' AS score, CAST({t} AS DOUBLE) AS threshold, ")
         for name, hit, t in (*(("p", "CAST((CAST(v AS DOUBLE) + 0.3) / 0.6 + 0.2 AS FLOAT)", t) for t in (0.5, 0.9, 0.99)), ("last_year", "v + CAST(0.3 AS FLOAT)", 0.5))
     ),
+    "job_evaluation": " UNION ALL ".join(
+        _metrics_sql(_confusion_sql("y", f"CAST({name} AS FLOAT) > CAST({t} AS FLOAT)", f"({_net_sql(_IMAGES)})"), f"'{name}' AS score, CAST({t} AS DOUBLE) AS threshold, ")
+        for name, t in (("p", 0.3), ("p", 0.5), ("p", 0.7), ("last_year", 0.5))
+    ),
     "model_roundtrip": "SELECT count(*) AS n, count(*) AS same FROM embeddings WHERE vec_id % 5 = 0",
     "record_scalars": f"""SELECT vec_id AS id, concat('patch ', vec_id) AS name, embedding[1] AS lat, embedding[2] AS lon, embedding[3] AS elevation,
       CAST(len(embedding) AS INT) AS pixels, {_SPLIT} AS split FROM embeddings""",
@@ -450,6 +489,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     multi_scale_fit,
     split_positives,
     evaluation_report,
+    job_evaluation,
     model_roundtrip,
     record_scalars,
     record_inputs,

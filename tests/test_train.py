@@ -3,6 +3,7 @@ import pytest
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.sql import functions as F
 
+from cinderpatch.operators import forward
 from cinderpatch.plans import job, train
 
 from . import records
@@ -50,6 +51,38 @@ def test_evaluation(spark, data):
     assert job.peek(validation, 2).collect()[0]["inputs"] == "A00, A01" and job.peek(validation, 2).count() == 2
 
 
+@pytest.mark.parametrize("model", ["mlp", "multi_scale_mlp_head"])
+def test_scores_in_the_patch_row_equal_those_by_pixel(spark, data, model):
+    train_frame, validation = job.build_datasets(spark, str(data), pattern="*.tfrecord.gz", size=8)
+    fitted = train.fit_with_validation(job.pixels(train_frame, model, 8), job.pixels(validation, model, 8), model, 1, 8)
+    by_pixel = {(r["id"], r["pos"]): r["p"] for r in train.predict(fitted.model, job.pixels(validation, model, 8)).collect()}
+    several = model != "mlp"
+    images = forward.image_scores([F.col("inputs.A00"), F.col("inputs.A01")], forward.Net.of(fitted.model), 8, (1, 2, 4) if several else (1,), several)
+    exact = validation.select("id", images.alias("p")).collect()
+    assert len(exact) == 3 and len(by_pixel) == 3 * 64
+    assert max(abs(v - by_pixel[r["id"], pos]) for r in exact for pos, v in enumerate(r["p"])) < 1e-9
+    scored = job.scored_patches(fitted.model, validation, model, 8)
+    assert scored.columns == [*validation.columns, "p"]
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and not [n for n in ("Generate", "Exchange", "Join") if n in plan], plan
+    metric_plan = job.evaluation(fitted.model, validation, model, 8, "A00")[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in metric_plan and metric_plan.count("Exchange") == 1, metric_plan  # one row of sums per task
+
+
+def test_bad_images_are_errors(spark):
+    net = forward.Net([2, 1, 2], np.ones(7))
+    for a, b in (([1.0] * 4, [1.0] * 3), ([1.0] * 4, None), ([], [])):
+        frame = spark.createDataFrame([(a, b)], "a array<float>, b array<float>")
+        with pytest.raises(Exception, match="has not 2 bands of 4 values"):
+            frame.select(forward.image_scores([F.col("a"), F.col("b")], net, 2)).collect()
+    empty = spark.createDataFrame([], "a array<float>, b array<float>")
+    assert empty.select(forward.image_scores([F.col("a"), F.col("b")], net, 2)).count() == 0
+    with pytest.raises(ValueError, match="2 inputs, not 1"):
+        forward.image_scores([F.col("a")], net, 2)
+    with pytest.raises(ValueError, match="not divisible"):
+        forward.scaling(6, 4)
+
+
 def test_no_image_crosses_the_opening_of_pixels(spark, data):
     _, validation = job.build_datasets(spark, str(data), pattern="*.tfrecord.gz", size=8)
     flat = validation.select("id", "inputs.*", F.transform("label", lambda v: v.cast("double")).alias("label"))
