@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,8 +43,10 @@ WORDS = 200_000
 #: Windows that a task holds, of about 120 bytes, and those of a container before it bursts.
 ENTRIES = 1 << 19
 BURST = 1 << 12
-#: Bytes of text that are looked at together, that make a bucket, and that tell hot prefixes.
-CHUNK = 1 << 20
+#: Bytes of text that are read before they are counted, that are looked at together at most, that make a bucket, and
+#: that tell hot prefixes.
+HELD_BYTES = 8 << 20
+CHUNK = 4 << 20
 BUCKET_BYTES = 8 << 20
 SAMPLE_BYTES = 32 << 20
 #: Least count of a hot prefix in the sample, which bounds their number.
@@ -56,14 +58,15 @@ _GAP, _NEXT_WORDS = re.compile(rb"[ \n]"), re.compile(rb"(?: +[^ \n]+){0,%d}" %
 
 
 class Words(dict):
-    """Word -> its number in a trie."""
+    """Word -> its number in a trie, from 1; ``sums`` are checksums of the words, 0 for none."""
 
     def __init__(self):
-        self.names: list[bytes] = []
+        self.names, self.sums = [b""], [0]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.names)
         self.names.append(word)
+        self.sums.append(zlib.crc32(word) + 1)
         return n
 
 
@@ -84,7 +87,7 @@ def windows(chunk: bytes, tail: int, words: Words) -> np.ndarray:
     gap = (text == 10) | (text == 32)
     starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
     piece = np.cumsum(text == 10, dtype=np.int32)[starts]
-    ids = np.fromiter(map(words.__getitem__, chunk.split()), dtype=np.int64, count=len(starts)) + 1
+    ids = np.fromiter(map(words.__getitem__, chunk.split()), dtype=np.int64, count=len(starts))
     out = np.zeros((LONGEST, len(ids)), dtype=np.int64)
     out[0] = ids
     for d in range(1, min(LONGEST, len(ids))):
@@ -100,47 +103,47 @@ class Trie:
         self.single = np.zeros(0, dtype=np.int64)
 
     def add(self, w: np.ndarray) -> None:
-        single = np.bincount(w[0], minlength=len(self.words.names) + 1)
+        single = np.bincount(w[0], minlength=len(self.words.names))
         single[: len(self.single)] += self.single
         self.single = single
         w = w[:, w[1] > 0]
         pair = (w[0] << BITS) | w[1]
         order = np.argsort(pair, kind="stable")
         pair = pair[order]
-        first = pair >> BITS
         rest = ((w[1] << (2 * BITS)) | (w[2] << BITS) | w[3])[order].tolist()
-        seconds = np.flatnonzero(np.diff(pair, prepend=-1))
-        at, n = 0, len(rest)
-        borders = [*seconds.tolist(), n]
-        for start in np.flatnonzero(np.diff(first, prepend=-1)).tolist():
-            word, container = int(first[start]), None
-            stop = at
-            while stop < len(borders) - 1 and first[borders[stop]] == word:
-                stop += 1
+        # borders of equal pairs, and among these the first of each first word
+        borders = np.flatnonzero(np.diff(pair, prepend=-1, append=-1))
+        words = pair[borders[:-1]] >> BITS
+        heads = np.flatnonzero(np.diff(words, prepend=-1, append=-1))
+        seconds, borders = (pair[borders[:-1]] & ((1 << BITS) - 1)).tolist(), borders.tolist()
+        for word, head, end in zip(words[heads[:-1]].tolist(), heads[:-1].tolist(), heads[1:].tolist(), strict=True):
             container = self.roots.get(word)
             if container is None:
-                container = self.roots[word] = Counter()
-            if type(container) is Counter:
-                before = len(container)
-                container.update(rest[start : borders[stop]])
-                self.entries += len(container) - before
+                container = self.roots[word] = defaultdict(int)
+            if type(container) is dict:
+                for second, s, e in zip(seconds[head:end], borders[head:end], borders[head + 1 : end + 1], strict=True):
+                    below = container.get(second)
+                    if below is None:
+                        below = container[second] = defaultdict(int)
+                    self.count(below, rest[s:e])
+            else:
+                self.count(container, rest[borders[head] : borders[end]])
                 if len(container) > BURST:
-                    node: defaultdict[int, Counter] = defaultdict(Counter)
+                    node: dict[int, defaultdict[int, int]] = {}
                     for key, count in container.items():
-                        node[key >> (2 * BITS)][key] = count
+                        node.setdefault(key >> (2 * BITS), defaultdict(int))[key] = count
                     self.roots[word] = node
-            else:
-                for s, e in zip(borders[at:stop], borders[at + 1 : stop + 1], strict=True):
-                    below = container[int(pair[s]) & ((1 << BITS) - 1)]
-                    before = len(below)
-                    below.update(rest[s:e])
-                    self.entries += len(below) - before
-            at = stop
+
+    def count(self, container: defaultdict[int, int], keys: list[int]) -> None:
+        self.entries -= len(container)
+        for key in keys:
+            container[key] += 1
+        self.entries += len(container)
 
     def spill(self, left: int) -> tuple[np.ndarray, np.ndarray]:
         """Windows and counts of whole subtrees, the largest first, until at most ``left`` entries stay."""
-        parts = lambda c: [c] if type(c) is Counter else list(c.values())
-        sizes = sorted(((sum(map(len, parts(c))), w) for w, c in self.roots.items()), reverse=True)
+        parts = lambda c: c.values() if type(c) is dict else [c]
+        sizes = sorted([(sum(map(len, c.values())) if type(c) is dict else len(c), w) for w, c in self.roots.items()], reverse=True)
         first, size, keys, counts = [], [], [], []
         for n, word in sizes:
             if self.entries <= left:
@@ -171,11 +174,10 @@ def _mixed(columns: Iterable[np.ndarray | int], n: int) -> np.ndarray:
     return x
 
 
-def prefix_hashes(lang: str, w: np.ndarray, names: list[bytes]) -> list[np.ndarray]:
+def prefix_hashes(lang: str, w: np.ndarray, sums: np.ndarray) -> list[np.ndarray]:
     """Hashes of the first two, three and four words of each window, alike in every task."""
-    used, at = np.unique(w, return_inverse=True)
-    sums = np.array([zlib.crc32(names[u - 1]) + 1 if u else 0 for u in used.tolist()], dtype=np.uint64)[at.reshape(w.shape)]
-    return [_mixed([zlib.crc32(lang.encode()), *sums[:d]], w.shape[1]) for d in (2, 3, 4)]
+    words = [sums[c] for c in w]
+    return [_mixed([zlib.crc32(lang.encode()), *words[:d]], w.shape[1]) for d in (2, 3, 4)]
 
 
 def _bucket(hashes: list[np.ndarray], hot: np.ndarray, buckets: int) -> np.ndarray:
@@ -183,41 +185,54 @@ def _bucket(hashes: list[np.ndarray], hot: np.ndarray, buckets: int) -> np.ndarr
     return ((place >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
 
 
-_RUN = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("words", pa.binary()), ("windows", pa.binary()), ("counts", pa.binary())])
+_RUN = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("size", pa.int32()), ("words", pa.binary()), ("windows", pa.binary()), ("counts", pa.binary())])
+_RUN_COLUMNS = "lang string, bucket int, size int, words binary, windows binary, counts binary"
+
+
+def _least_bytes(x: np.ndarray) -> bytes:
+    """Little-endian numbers of as many bytes as the largest needs; a row's ``size`` tells how many."""
+    return x.astype(np.min_scalar_type(x.max()).newbyteorder("<")).tobytes()
 
 
-def _run_rows(lang: str, w: np.ndarray, counts: np.ndarray, names: list[bytes], hot: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A sorted run: a row for each bucket, with its words in order and its windows as places among them."""
-    bucket = _bucket(prefix_hashes(lang, w, names), hot, buckets)
-    used = np.unique(w[w > 0])
-    by_name = sorted(used.tolist(), key=lambda u: names[u - 1])
-    rank = np.zeros(len(names) + 1, dtype=np.int64)
-    rank[by_name] = np.arange(1, len(by_name) + 1)
-    ranked = rank[w]
-    order = np.lexsort((*ranked[::-1], bucket))
-    ranked, counts, bucket = ranked[:, order], counts[order], bucket[order]
+def _numbers(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{len(data) // size}").astype(np.int64)
+
+
+def _run_rows(lang: str, w: np.ndarray, counts: np.ndarray, words: Words, hot: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A sorted run: a row for each bucket, with its words and its windows as places among them."""
+    bucket = _bucket(prefix_hashes(lang, w, np.array(words.sums, dtype=np.uint64)), hot, buckets)
+    order = np.lexsort(((w[2] << BITS) | w[3], (w[0] << BITS) | w[1], bucket))
+    w, counts, bucket = w[:, order], counts[order], bucket[order]
     rows, borders = [], [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     for s, e in zip(borders, borders[1:]):  # noqa: B905  (neighbours)
-        part = ranked[:, s:e]
-        held = np.unique(part[part > 0])
-        places = np.where(part > 0, np.searchsorted(held, part) + 1, 0).astype("<u4")
-        words = b"\n".join(names[by_name[r - 1] - 1] for r in held.tolist())
-        rows.append((lang, int(bucket[s]), words, places.tobytes(), counts[s:e].astype("<i8").tobytes()))
+        part = w[:, s:e]
+        held = np.unique(part)
+        held = held[held > 0]
+        places = np.where(part > 0, np.searchsorted(held, part) + 1, 0)
+        rows.append((lang, int(bucket[s]), e - s, b"\n".join(map(words.names.__getitem__, held.tolist())), _least_bytes(places), _least_bytes(counts[s:e])))
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _RUN, strict=True)], schema=_RUN)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, int]]:
-    """(language, chunk, tail) of the rows' texts; those of a slice and a language go together."""
+    """(language, chunk, tail) of the rows' texts; those of a language go together, some ``HELD_BYTES`` at a time."""
+    texts, held = defaultdict(list), 0
+
+    def looked_at() -> Iterator[tuple[str, bytes, int]]:
+        for lang in sorted(texts):
+            for chunk, tail in chunks(b"\n".join(texts.pop(lang))):
+                if not chunk.isspace():
+                    yield lang, chunk, tail
+
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
-            texts = defaultdict(list)
             for lang, text in zip(*(c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns), strict=True):
                 if text:
                     texts[lang].append(text.encode().translate(_LETTERS))
-            for lang in sorted(texts):
-                for chunk, tail in chunks(b"\n".join(texts[lang])):
-                    if not chunk.isspace():
-                        yield lang, chunk, tail
+                    held += len(texts[lang][-1])
+            if held >= HELD_BYTES:
+                yield from looked_at()
+                held = 0
+    yield from looked_at()
 
 
 def _hot(given: DataFrame, size: int, buckets: int) -> np.ndarray:
@@ -228,7 +243,7 @@ def _hot(given: DataFrame, size: int, buckets: int) -> np.ndarray:
         for lang, chunk, tail in _texts(batches):
             words = Words()
             w = windows(chunk, tail, words)
-            for d, hashes in zip((2, 3), prefix_hashes(lang, w, words.names), strict=False):
+            for d, hashes in zip((2, 3), prefix_hashes(lang, w, np.array(words.sums, dtype=np.uint64)), strict=False):
                 keys, counts = np.unique(hashes[w[d - 1] > 0], return_counts=True)
                 if len(keys):
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["prefix", "n"])
@@ -248,12 +263,12 @@ def _runs(given: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         def spilled(lang: str, left: int) -> Iterator[pa.RecordBatch]:
             w, counts = tries[lang].spill(left)
             if len(counts):
-                yield _run_rows(lang, w, counts, tries[lang].words.names, hot, buckets)
+                yield _run_rows(lang, w, counts, tries[lang].words, hot, buckets)
 
         def ended(lang: str) -> Iterator[pa.RecordBatch]:
             yield from spilled(lang, 0)
             trie = tries.pop(lang)
-            yield _run_rows(lang, *trie.singles(), trie.words.names, hot, buckets)
+            yield _run_rows(lang, *trie.singles(), trie.words, hot, buckets)
 
         for lang, chunk, tail in _texts(batches):
             trie = tries.setdefault(lang, Trie())
@@ -261,28 +276,29 @@ def _runs(given: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             while sum(t.entries for t in tries.values()) > ENTRIES:
                 largest = max(tries, key=lambda x: tries[x].entries)
                 yield from spilled(largest, tries[largest].entries // 2)
-            while sum(len(t.words.names) for t in tries.values()) > WORDS:
-                yield from ended(max(tries, key=lambda x: len(tries[x].words.names)))
+            while sum(len(t.words) for t in tries.values()) > WORDS:
+                yield from ended(max(tries, key=lambda x: len(tries[x].words)))
         for lang in list(tries):
             yield from ended(lang)
 
-    return given.mapInArrow(run, "lang string, bucket int, words binary, windows binary, counts binary")
+    return given.mapInArrow(run, _RUN_COLUMNS)
 
 
 _PHRASE = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
-def _merged(lang: str, runs: list[tuple[bytes, bytes, bytes]], hot: np.ndarray, least: int) -> pa.RecordBatch:
+def _merged(lang: str, runs: list[tuple[int, bytes, bytes, bytes]], hot: np.ndarray, least: int) -> pa.RecordBatch:
     """The frequent phrases of a bucket, and the words of its language that it counted (k = 0)."""
-    lists = [words.split(b"\n") for words, _, _ in runs]
-    names = sorted(set().union(*lists))
-    number = {name: i for i, name in enumerate(names, 1)}
+    lists = [words.split(b"\n") for _, words, _, _ in runs]
+    names = [b"", *set().union(*lists)]
+    number = dict(zip(names, range(len(names)), strict=True))
     columns = []
-    for words, (_, places, _) in zip(lists, runs, strict=True):
+    for words, (size, _, places, _) in zip(lists, runs, strict=True):
         own = np.array([0, *map(number.__getitem__, words)], dtype=np.int64)
-        columns.append(own[np.frombuffer(places, dtype="<u4").reshape(LONGEST, -1)])
+        columns.append(own[_numbers(places, LONGEST * size).reshape(LONGEST, size)])
     w = np.concatenate(columns, axis=1)
-    counts = np.concatenate([np.frombuffer(c, dtype="<i8") for _, _, c in runs])
+    counts = np.concatenate([_numbers(c, size) for size, _, _, c in runs])
+    sums = np.array([0, *(zlib.crc32(x) + 1 for x in names[1:])] if len(hot) else [], dtype=np.uint64)
     order = np.lexsort(((w[2] << 32) | w[3], (w[0] << 32) | w[1]))
     w, counts = w[:, order], counts[order]
     rows = [(lang, 0, "", int(counts[w[1] == 0].sum()))]
@@ -299,9 +315,9 @@ def _merged(lang: str, runs: list[tuple[bytes, bytes, bytes]], hot: np.ndarray,
             sums = np.add.reduceat(counts, starts)
         kept = (w[d - 1, starts] > 0) & (sums >= least)
         if d in (2, 3) and len(hot):
-            kept |= (w[d - 1, starts] > 0) & np.isin(prefix_hashes(lang, w[:, starts], names)[d - 2], hot)
+            kept |= (w[d - 1, starts] > 0) & np.isin(prefix_hashes(lang, w[:, starts], sums)[d - 2], hot)
         for at, n in zip(starts[kept].tolist(), sums[kept].tolist(), strict=True):
-            rows.append((lang, d, b" ".join(names[i - 1] for i in w[:d, at].tolist()).decode(), n))
+            rows.append((lang, d, b" ".join(map(names.__getitem__, w[:d, at].tolist())).decode(), n))
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _PHRASE, strict=True)], schema=_PHRASE)
 
 
