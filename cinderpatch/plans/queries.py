@@ -19,8 +19,9 @@ from ..operators import grid, metrics, ordering
 from ..operators.forward import Net
 from . import job, score, train
 from ..sources.schema import patch_struct, read_schema, write_schema
-from ..sources.tfrecord import read_tfrecords, write_tfrecords
+from ..sources.tfrecord import read_tfrecords
 from .dataset import build_datasets, cached, input_bands, load_patches, shared_folder
+from .landing import write_tfrecords
 
 BANDS = [f"A{i:02d}" for i in range(64)]
 SIZE = 8

@@ -1,182 +1,75 @@
-"""Record files of serialized examples, gzipped or plain.
+"""Record files of serialized examples, gzipped or plain, as frames.
 
-Spark lists and fetches the files (``binaryFile``, so any store it knows works and an empty glob is its
-own error). A task inflates its files in pieces and walks the frames as they come, so beside a file's bytes it
-holds one record; records become rows, which can be dealt out anew before the wanted features are decoded into
-Arrow batches of a few rows, as one row can be megabytes.
-
-Written files are folders of gzip members, one for a few records, from Spark's own text sink: what it puts
-between rows are zero bytes, which gzip readers skip.
+Spark lists the files, so an empty glob is its own error. Where Arrow knows the store, the ``tfrecord`` data source
+(``stream.py``) streams each file in its task. Any other store that Spark knows is read with ``binaryFile``: then a
+file is one value of at most 2 GB.
 """
 
 from __future__ import annotations
 
-import gzip
-import struct
-import zlib
+import json
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows in an Arrow batch that leaves the reader.
-BATCH_ROWS = 16
-SPLIT = r"(training|validation)-[^/]*(?:/part-[^/]*)?$"  # a folder that Spark wrote stands for a file
-#: Bytes that are inflated or read at once, and bytes of records in a batch.
-PIECE = 1 << 20
-BATCH_BYTES = 1 << 23
-
-
-def _crc_table() -> list[int]:
-    table = []
-    for n in range(256):
-        for _ in range(8):
-            n = n >> 1 ^ (0x82F63B78 if n & 1 else 0)  # the Castagnoli polynomial, reflected
-        table.append(n)
-    return table
-
-
-_CRC = _crc_table()
-
-
-def masked_crc(data: bytes) -> int:
-    crc = 0xFFFFFFFF
-    for byte in data:
-        crc = _CRC[(crc ^ byte) & 255] ^ crc >> 8
-    crc ^= 0xFFFFFFFF
-    return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
-
-
-def inflated(data: memoryview) -> Iterator[bytes]:
-    """Pieces of all members of a gzip file, none longer than ``PIECE``. Zero bytes after a member are padding;
-    a truncated member is an error."""
-    at = 0
-    while at < len(data):
-        member, left = zlib.decompressobj(31), b""
-        while not member.eof:
-            if not left:
-                left = bytes(data[at : at + PIECE])
-                at += len(left)
-            out = member.decompress(left, PIECE)
-            if not out and not left and not member.eof:
-                raise ValueError("truncated gzip data")
-            left = member.unconsumed_tail
-            yield out
-        at -= len(member.unused_data)
-        while at < len(data) and not data[at]:
-            at += 1
-
-
-def pieces(data: memoryview) -> Iterator[bytes]:
-    return (bytes(data[at : at + PIECE]) for at in range(0, len(data), PIECE))
-
-
-def frames(data: Iterator[bytes], check_data: bool = False) -> Iterator[bytes]:
-    """Payloads of length-prefixed records. Lengths are always checked, payloads on demand."""
-    held = bytearray()
-
-    def has(n: int) -> bool:
-        while len(held) < n:
-            if (piece := next(data, None)) is None:
-                return False
-            held.extend(piece)
-        return True
+from .records import PIECE, decode, frames, inflated
+from .stream import BATCH_BYTES, BATCH_ROWS, OFFSETS, RECORDS, RecordSource, batch_of, file_system
 
-    while has(1):
-        if not has(12) or masked_crc(bytes(held[:8])) != struct.unpack("<I", held[8:12])[0]:
-            raise ValueError("corrupt or truncated record length")
-        (size,) = struct.unpack("<Q", held[:8])
-        if not has(16 + size):
-            raise ValueError("truncated record")
-        body = bytes(held[12 : 12 + size])
-        if check_data and masked_crc(body) != struct.unpack("<I", held[12 + size : 16 + size])[0]:
-            raise ValueError("corrupt record")
-        del held[: 16 + size]
-        yield body
-
-
-def _varint(view: memoryview, at: int) -> tuple[int, int]:
-    value = shift = 0
-    while True:
-        byte = view[at]
-        at += 1
-        value |= (byte & 127) << shift
-        if byte < 128:
-            return value, at
-        shift += 7
-
-
-def _fields(view: memoryview) -> Iterator[tuple[int, int | memoryview]]:
-    """(number, value) of a message: an integer for varints, bytes for the rest."""
-    at = 0
-    while at < len(view):
-        tag, at = _varint(view, at)
-        wire = tag & 7
-        if wire == 0:
-            value, at = _varint(view, at)
-        else:
-            if wire == 2:
-                size, at = _varint(view, at)
-            elif wire in (1, 5):
-                size = 8 if wire == 1 else 4
-            else:
-                raise ValueError(f"unknown wire type {wire}")
-            if at + size > len(view):
-                raise ValueError("truncated message")
-            value = view[at : at + size]
-            at += size
-        yield tag >> 3, value
-
-
-def _values(feature: memoryview) -> list | np.ndarray:
-    """Values of one feature: byte strings, floats or integers; packed or one by one."""
-    for kind, body in _fields(feature):
-        parts = [v for n, v in _fields(body) if n == 1]
-        if kind == 1:
-            return [bytes(p) for p in parts]
-        if kind == 2:
-            return np.frombuffer(b"".join(parts), dtype="<f4")
-        numbers: list[int] = []
-        for p in parts:
-            if isinstance(p, int):
-                numbers.append(p)
-                continue
-            at = 0
-            while at < len(p):
-                n, at = _varint(p, at)
-                numbers.append(n)
-        return [n - (1 << 64) if n >> 63 else n for n in numbers]
-    return []
-
-
-def decode(record: bytes, wanted: T.StructType, size: int) -> list:
-    """Values in the order of ``wanted``. A missing feature or a wrong number of values is an error."""
-    found = {}
-    names = set(wanted.fieldNames())
-    for number, features in _fields(memoryview(record)):
-        if number != 1:
-            continue
-        for _, entry in _fields(features):
-            parts = dict(_fields(entry))
-            if (name := bytes(parts[1]).decode()) in names:
-                found[name] = _values(parts[2])
-    row = []
-    for field in wanted:
-        values = found.get(field.name)
-        is_band = isinstance(field.dataType, T.ArrayType)
-        if values is None or len(values) != (size * size if is_band else 1):
-            raise ValueError(f"feature {field.name}: {'missing' if values is None else f'{len(values)} values'}")
-        if is_band:
-            row.append(np.asarray(values, dtype="f4"))
-        elif isinstance(field.dataType, T.StringType):
-            row.append(bytes(values[0]).decode())
-        else:
-            row.append(int(values[0]) if isinstance(field.dataType, T.LongType) else float(values[0]))
-    return row
+SPLIT = r"(training|validation)-[^/]*(?:/part-[^/]*)?$"  # a folder that Spark wrote stands for a file
+#: Bytes of a plain file that a task reads, where an index tells where its records begin.
+SPLIT_BYTES = 128 << 20
+
+
+def listed(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the files, by path; contents are not read."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", "length")
+    return sorted((r["path"], r["length"]) for r in files.collect())
+
+
+def _streams(paths: list[str]) -> bool:
+    try:
+        file_system(paths[0])
+    except (ValueError, OSError):
+        return False
+    return True
+
+
+def _source(spark: SparkSession, schema: T.StructType, **options):
+    spark.dataSource.register(RecordSource)
+    return spark.read.format("tfrecord").schema(schema).options(**options)
+
+
+def index_tfrecords(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, file_bytes, offset, record_bytes) of each record of plain files: only the frames' heads are read. Write
+    it somewhere; ``read_tfrecords`` takes it as ``index``."""
+    return _source(spark, OFFSETS, files=json.dumps([path for path, _ in listed(spark, pattern)])).load()
+
+
+def _ranges(index: DataFrame, files: list[tuple[str, int]], split_bytes: int) -> list[tuple[str, int, int]]:
+    """Ranges of about ``split_bytes`` that begin with a record. An index that does not fit the files is an error.
+    The driver gets a row per range."""
+    parts = index.groupBy("path", F.floor(F.col("offset") / split_bytes).alias("part")).agg(
+        F.min("offset").alias("start"), F.max(F.col("offset") + F.col("record_bytes")).alias("end"), F.max("file_bytes").alias("bytes")
+    )
+    by_path: dict[str, list] = {path: [] for path, _ in files}
+    for row in parts.collect():
+        if row["path"] in by_path:
+            by_path[row["path"]].append((row["start"], row["end"]))
+    out = []
+    for path, size in files:
+        at = 0
+        for start, end in sorted(by_path[path]):
+            if start != at:
+                break
+            out.append((path, start, end))
+            at = end
+        if at != size:
+            raise ValueError(f"the index does not cover {path}: {at} of {size} bytes")
+    return out
 
 
 def read_tfrecords(
@@ -188,97 +81,56 @@ def read_tfrecords(
     compression: str | None = "GZIP",
     check_data: bool = False,
     partitions: int | None = None,
+    index: DataFrame | None = None,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """One row per record with the wanted columns and ``split``, from the file name's prefix (null if it has none).
-    ``partitions``: records are dealt to so many before they are decoded, for files that are few and large."""
+    ``partitions``: records are dealt to so many before they are decoded, for gzipped files that are few and large.
+    ``index``: plain files are read in ranges of ``split_bytes``, one to a task."""
     wanted = T.StructType([f for f in schema if columns is None or f.name in columns])
     if compression not in ("GZIP", None):
         raise ValueError(f"unknown compression {compression!r}")
+    if index is not None and compression:
+        raise ValueError("a gzipped file cannot be cut")
     out = T.StructType([*wanted.fields, T.StructField("path", T.StringType())])
+    files = listed(spark, pattern)
     arrow = to_arrow_schema(out)
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = memoryview(content.as_buffer())
-                held: list[bytes] = []
-                for record in frames(inflated(data) if compression else pieces(data), check_data):
-                    held.append(record)
-                    if len(held) == BATCH_ROWS or sum(map(len, held)) >= BATCH_BYTES:
-                        yield _records(path, held)
-                        held = []
-                if held:
-                    yield _records(path, held)
-
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                rows = [
-                    [*decode(record, wanted, size), path]
-                    for path, record in zip(part.column("path").to_pylist(), part.column("record").to_pylist(), strict=True)
-                ]
-                yield _batch(rows, arrow)
+                pairs = zip(part.column("path").to_pylist(), part.column("record").to_pylist(), strict=True)
+                yield batch_of([[*decode(record, wanted, size), path] for path, record in pairs], arrow)
 
-    # A file is one row here, so few files share an Arrow batch.
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    if partitions is None:
-        rows = files.mapInArrow(lambda batches: decoded(records(batches)), out)
+    if files and not _streams([path for path, _ in files]):
+        records = spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(_whole_files(compression, check_data), RECORDS)
+        rows = (records if partitions is None else records.repartition(partitions)).mapInArrow(decoded, out)
     else:
-        rows = files.mapInArrow(records, "path string, record binary").repartition(partitions).mapInArrow(decoded, out)
-    return rows.withColumn("split", F.expr(f"nullif(regexp_extract(path, r'{SPLIT}', 1), '')")).drop("path")
-
-
-def _records(path: str, held: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([path] * len(held)), pa.array(held, pa.binary())], names=["path", "record"])
-
-
-def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-def _written_varint(n: int) -> bytes:
-    out = bytearray()
-    n &= (1 << 64) - 1
-    while n > 127:
-        out.append(n & 127 | 128)
-        n >>= 7
-    return bytes([*out, n])
-
-
-def _field(number: int, body: bytes) -> bytes:
-    return _written_varint(number << 3 | 2) + _written_varint(len(body)) + body
-
-
-def encode(row: dict) -> bytes:
-    """An example: strings and integers as they are, floats and lists of floats in single precision."""
-    entries = []
-    for name, value in row.items():
-        if isinstance(value, str):
-            feature = _field(1, _field(1, value.encode()))
-        elif isinstance(value, int):
-            feature = _field(3, _field(1, _written_varint(value)))
+        options = {"compression": compression or "NONE", "check_data": str(check_data).lower(), "size": str(size)}
+        parts = {"files": json.dumps([path for path, _ in files])} if index is None else {"ranges": json.dumps(_ranges(index, files, split_bytes))}
+        if partitions is None:
+            rows = _source(spark, out, **options, **parts).load()
         else:
-            feature = _field(2, _field(1, np.atleast_1d(np.asarray(value, dtype="<f4")).tobytes()))
-        entries.append(_field(1, _field(1, name.encode()) + _field(2, feature)))
-    return _field(1, b"".join(entries))
-
-
-def framed(record: bytes) -> bytes:
-    head = struct.pack("<Q", len(record))
-    return head + struct.pack("<I", masked_crc(head)) + record + struct.pack("<I", masked_crc(record))
+            rows = _source(spark, RECORDS, **options, **parts).load().repartition(partitions).mapInArrow(decoded, out)
+    return rows.withColumn("split", F.expr(f"nullif(regexp_extract(path, r'{SPLIT}', 1), '')")).drop("path")
 
 
-def write_tfrecords(rows: DataFrame, path: str) -> None:
-    """Gzipped record files in the folder ``path``, whose name then stands for a file's: ``DIR/training-0.tfrecord.gz``.
-    A null is an error, as no record may lack a feature."""
+def _whole_files(compression: str | None, check_data: bool):
+    """Records of ``binaryFile`` rows."""
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                data = b"".join(framed(encode(r)) for r in batch.slice(at, BATCH_ROWS).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(data, mtime=0)], pa.binary())], names=["member"])
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                data = memoryview(content.as_buffer())
+                pieces = (bytes(data[at : at + PIECE]) for at in range(0, len(data), PIECE))
+                held: list[bytes] = []
+                for record in frames(inflated(pieces) if compression else pieces, check_data):
+                    held.append(record)
+                    if len(held) == BATCH_ROWS or sum(map(len, held)) >= BATCH_BYTES:
+                        yield batch_of([[path, r] for r in held], to_arrow_schema(RECORDS))
+                        held = []
+                if held:
+                    yield batch_of([[path, r] for r in held], to_arrow_schema(RECORDS))
 
-    checked = rows.where(F.assert_true(~F.array_contains(F.array(*[F.col(c).isNull() for c in rows.columns]), True), F.lit("a feature is null")).isNull())
-    packed = checked.mapInArrow(members, "member binary")
-    packed.select(F.col("member").cast("string")).write.mode("overwrite").option("lineSep", "\0").text(path)
+    return records

@@ -5,7 +5,7 @@ import struct
 
 import numpy as np
 
-from cinderpatch.sources.tfrecord import masked_crc
+from cinderpatch.sources.records import masked_crc
 
 
 def varint(n):

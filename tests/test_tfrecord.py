@@ -7,7 +7,11 @@ from pyspark.sql import types as T
 
 from cinderpatch.plans.dataset import build_datasets, cached, input_bands, load_patches
 from cinderpatch.sources.schema import parse_schema, patch_struct, read_schema, write_schema
-from cinderpatch.sources.tfrecord import PIECE, framed, frames, inflated, masked_crc, read_tfrecords, write_tfrecords
+from cinderpatch.plans.landing import framed, write_tfrecords
+from cinderpatch.sources import records as formats
+from cinderpatch.sources import stream, tfrecord
+from cinderpatch.sources.records import PIECE, frames, inflated, masked_crc
+from cinderpatch.sources.tfrecord import index_tfrecords, read_tfrecords
 
 from . import records
 
@@ -152,7 +156,7 @@ def test_large_files_are_inflated_in_pieces():
     record = bytes(1000) * 1000
     packed = b"".join(gzip.compress(framed(record) * 20) for _ in range(5))
     tracemalloc.start()
-    found = [len(x) for x in frames(inflated(memoryview(packed)))]
+    found = [len(x) for x in frames(inflated(packed[at : at + PIECE] for at in range(0, len(packed), PIECE)))]
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert found == [len(record)] * 100 and peak < 5 * len(record) + 5 * PIECE
@@ -161,3 +165,93 @@ def test_large_files_are_inflated_in_pieces():
 def test_position_and_other_key_stay(spark, data):
     frame = load_patches(spark, str(data), "*.tfrecord.gz", size=SIZE, key="year", keep=("id", "lat"), non_img_features=("lat", "lon", "id"))
     assert frame.columns == ["year", "id", "lat", "split", "inputs", "label"] and frame.first()["lat"] == -3.5
+
+
+@pytest.mark.parametrize("n", [0, 9 * formats.LANES - 1, 9 * formats.LANES, 40 * formats.LANES + 77])
+def test_checksums_in_array_steps_equal_those_by_byte(n):
+    data, crc = np.random.default_rng(n).bytes(n), 0xFFFFFFFF
+    for byte in data:
+        crc = formats._CRC[(crc ^ byte) & 255] ^ crc >> 8
+    assert formats._crc(data) == crc ^ 0xFFFFFFFF
+
+
+@pytest.mark.parametrize("cut", [1, 7, 1 << 20])
+def test_members_are_inflated_whatever_the_pieces(monkeypatch, cut):
+    monkeypatch.setattr(formats, "PIECE", 50)
+    parts = [bytes(range(200)) * 3, b"", b"x" * 50, b"y" * 101]
+    packed = b"\0".join(gzip.compress(p) for p in parts) + b"\0\0"
+    assert b"".join(inflated(packed[at : at + cut] for at in range(0, len(packed), cut))) == b"".join(parts)
+    with pytest.raises(ValueError, match="truncated"):
+        list(inflated(iter([packed[:-12]])))
+
+
+def test_data_source_by_itself(spark, data):
+    """A path, folder or glob; records as they are, or the wanted features; one partition per file."""
+    spark.dataSource.register(stream.RecordSource)
+    raw = spark.read.format("tfrecord").load(f"{data}/*.tfrecord.gz")
+    assert raw.columns == ["path", "record"] and raw.count() == 4 and raw.rdd.getNumPartitions() == 3
+    wanted = spark.read.format("tfrecord").schema("lon float, id string, path string").option("size", SIZE).load(f"{data}/training-*.gz")
+    assert sorted(r["id"] for r in wanted.collect()) == ["p0", "p1", "p2"] and wanted.first()["path"].endswith("training-0.tfrecord.gz")
+    for none in ("nothing-*", "nowhere/x"):
+        with pytest.raises(Exception, match="no record files"):
+            spark.read.format("tfrecord").load(f"{data}/{none}").collect()
+    (data / "folder.gz").mkdir()
+    records.write(data / "folder.gz" / "part-0", [row(7)])
+    (data / "folder.gz" / "_SUCCESS").write_text("")
+    assert stream.found_files(f"{data}/fold*.gz") == [f"file:{data}/folder.gz/part-0"] == stream.found_files(f"{data}/folder.gz")
+    with pytest.raises(ValueError, match="no streaming"):
+        stream.file_system("viewfs://store/x")
+
+
+def test_stores_that_arrow_does_not_know_are_read_whole(spark, data, monkeypatch):
+    schema = struct_of(data, spark)
+    streamed = sorted(map(repr, read_tfrecords(spark, f"{data}/*.gz", schema, SIZE).collect()))
+    monkeypatch.setattr(tfrecord, "_streams", lambda paths: False)
+    for partitions in (None, 2):
+        assert sorted(map(repr, read_tfrecords(spark, f"{data}/*.gz", schema, SIZE, partitions=partitions).collect())) == streamed
+
+
+def test_a_plain_file_is_cut_by_its_index(spark, data):
+    records.write(data / "plain.tfrecord", [row(i) for i in range(400)], compress=False)
+    schema, pattern = struct_of(data, spark), f"{data}/plain.tfrecord"
+    index = index_tfrecords(spark, pattern)
+    assert index.count() == 400 and index.agg(F.sum("record_bytes")).first()[0] == (data / "plain.tfrecord").stat().st_size
+    index.write.parquet(f"{data}/index")
+    index, whole = spark.read.parquet(f"{data}/index"), read_tfrecords(spark, pattern, schema, SIZE, compression=None)
+    cut = read_tfrecords(spark, pattern, schema, SIZE, compression=None, index=index, split_bytes=(data / "plain.tfrecord").stat().st_size // 8 + 1)
+    assert cut.rdd.getNumPartitions() == 8 and whole.rdd.getNumPartitions() == 1
+    assert sorted(map(repr, cut.collect())) == sorted(map(repr, whole.collect()))
+    wrong = {
+        "does not cover": [index.where("offset > 0"), index.where("offset < 9000"), index.where("offset not between 5000 and 60000")],
+        "corrupt or truncated record length": [index.withColumn("offset", F.when(F.col("offset") > 30000, F.col("offset") + 8).otherwise(F.col("offset"))).withColumn("record_bytes", F.lit(10**6))],
+    }
+    for says, bad in wrong.items():
+        for b in bad:
+            with pytest.raises(Exception, match=says if says != "corrupt or truncated record length" else "does not cover|corrupt"):
+                read_tfrecords(spark, pattern, schema, SIZE, compression=None, index=b, split_bytes=20_000).collect()
+    # one that covers the file but begins a range inside a record
+    shifted = spark.createDataFrame([(r["path"], r["file_bytes"], r["offset"] + 4 * (r["offset"] > 0), r["record_bytes"] + (4 if r["offset"] == 0 else -4 * (r["offset"] + r["record_bytes"] == r["file_bytes"]))) for r in index.collect()], index.schema)
+    with pytest.raises(Exception, match="corrupt or truncated"):
+        read_tfrecords(spark, pattern, schema, SIZE, compression=None, index=shifted, split_bytes=20_000).collect()
+    with pytest.raises(ValueError, match="cannot be cut"):
+        read_tfrecords(spark, pattern, schema, SIZE, index=index)
+    (data / "short.tfrecord").write_bytes((data / "plain.tfrecord").read_bytes()[:-3])
+    with pytest.raises(Exception, match="truncated record"):
+        index_tfrecords(spark, f"{data}/short.tfrecord").collect()
+
+
+def test_a_task_holds_a_few_records_of_a_large_file(tmp_path):
+    """256 MB in one file: what Python holds at once does not grow with the file."""
+    import tracemalloc
+
+    record, path = bytes(1 << 20), tmp_path / "large"
+    head = framed(record)
+    with path.open("wb") as out:
+        for _ in range(256):
+            out.write(head)
+    reader = stream.RecordReader(stream.RECORDS, {"compression": "NONE"})
+    tracemalloc.start()
+    n = sum(batch.num_rows for batch in reader.read(stream.FileRange(f"file:{path}")))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert n == 256 and peak < 40 << 20
