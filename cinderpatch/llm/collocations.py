@@ -45,11 +45,13 @@ ENTRIES = 1 << 19
 BURST = 1 << 12
 #: Bytes of text that are read before they are counted, that are looked at together at most, that make a bucket, and
 #: that tell hot prefixes.
-HELD_BYTES = 8 << 20
-CHUNK = 4 << 20
+HELD_BYTES = 4 << 20
+CHUNK = 2 << 20
 BUCKET_BYTES = 8 << 20
 SAMPLE_BYTES = 32 << 20
-#: Least count of a hot prefix in the sample, which bounds their number.
+#: A hot prefix holds at least one of so many parts of a bucket's share of the sample, and has this count there at
+#: least: both bound their number.
+HOT_PARTS = 4
 HOT_COUNT = 16
 
 #: A-Z in lower case, ends of pieces as line feeds, tabs as blanks.
@@ -236,7 +238,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, int]
 
 
 def _hot(given: DataFrame, size: int, buckets: int) -> np.ndarray:
-    """Hashes of the prefixes that are hot in a sample: at most 4 * ``buckets`` pairs and as many triples, and no
+    """Hashes of the prefixes that are hot in a sample: at most ``HOT_PARTS * buckets`` pairs and as many triples, and no
     more than the sample's words over ``HOT_COUNT``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +254,7 @@ def _hot(given: DataFrame, size: int, buckets: int) -> np.ndarray:
     sample = given.sample(min(1.0, SAMPLE_BYTES / size), seed=1) if size > SAMPLE_BYTES else given
     counted = saved(sample.mapInArrow(run, "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT))
     total = counted.where("prefix is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = counted.where(F.col("prefix").isNotNull() & (F.col("n") * 4 * buckets > total)).select("prefix").collect()
+    hot = counted.where(F.col("prefix").isNotNull() & (F.col("n") * HOT_PARTS * buckets > total)).select("prefix").collect()
     return np.array(sorted(r[0] for r in hot), dtype=np.int64).view(np.uint64)
 
 
@@ -298,7 +300,7 @@ def _merged(lang: str, runs: list[tuple[int, bytes, bytes, bytes]], hot: np.ndar
         columns.append(own[_numbers(places, LONGEST * size).reshape(LONGEST, size)])
     w = np.concatenate(columns, axis=1)
     counts = np.concatenate([_numbers(c, size) for size, _, _, c in runs])
-    sums = np.array([0, *(zlib.crc32(x) + 1 for x in names[1:])] if len(hot) else [], dtype=np.uint64)
+    checks = np.array([0, *(zlib.crc32(x) + 1 for x in names[1:])] if len(hot) else [], dtype=np.uint64)
     order = np.lexsort(((w[2] << 32) | w[3], (w[0] << 32) | w[1]))
     w, counts = w[:, order], counts[order]
     rows = [(lang, 0, "", int(counts[w[1] == 0].sum()))]
@@ -315,7 +317,7 @@ def _merged(lang: str, runs: list[tuple[int, bytes, bytes, bytes]], hot: np.ndar
             sums = np.add.reduceat(counts, starts)
         kept = (w[d - 1, starts] > 0) & (sums >= least)
         if d in (2, 3) and len(hot):
-            kept |= (w[d - 1, starts] > 0) & np.isin(prefix_hashes(lang, w[:, starts], sums)[d - 2], hot)
+            kept |= (w[d - 1, starts] > 0) & np.isin(prefix_hashes(lang, w[:, starts], checks)[d - 2], hot)
         for at, n in zip(starts[kept].tolist(), sums[kept].tolist(), strict=True):
             rows.append((lang, d, b" ".join(map(names.__getitem__, w[:d, at].tolist())).decode(), n))
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _PHRASE, strict=True)], schema=_PHRASE)
@@ -331,8 +333,9 @@ def frequent_phrases(df: DataFrame, least: int = 30, text: str = "text", lang: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
-        for batch in batches:
-            for here, bucket, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        slices = (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS))
+        for part in slices:
+            for here, bucket, *rest in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if (bucket, here) != key:
                     if held:
                         yield _merged(key[1], held, hot, least)

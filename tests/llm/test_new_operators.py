@@ -217,12 +217,14 @@ def phrased():
     return [*rows, (900, None, "en", "s"), (901, "", "fr", "s"), (902, " .\t\n", "it", "s"), (0, texts[0], None, "s"), (None, texts[5], "en", "s")]
 
 
-@pytest.mark.parametrize(("entries", "burst", "chunk", "words", "hot"), [(1 << 19, 1 << 12, 1 << 20, 200_000, 16), (40, 3, 50, 30, 1)])
-def test_phrases_equal_plain_counts(spark, monkeypatch, entries, burst, chunk, words, hot):
+@pytest.mark.parametrize(("entries", "burst", "chunk", "words", "hot", "parts"), [(1 << 19, 1 << 12, 1 << 20, 200_000, 16, 4), (40, 3, 50, 30, 1, 4), (40, 3, 50, 30, 8, 400)])
+def test_phrases_equal_plain_counts(spark, monkeypatch, entries, burst, chunk, words, hot, parts):
     """In one go, and with bursts, spills, new tries, cut texts and hot prefixes all over."""
-    for name, value in (("ENTRIES", entries), ("BURST", burst), ("CHUNK", chunk), ("WORDS", words), ("HOT_COUNT", hot)):
+    for name, value in (("ENTRIES", entries), ("BURST", burst), ("CHUNK", chunk), ("WORDS", words), ("HOT_COUNT", hot), ("HOT_PARTS", parts)):
         monkeypatch.setattr(collocations, name, value)
     rows = phrased()
+    given = documents(spark, rows).selectExpr("coalesce(lang, 'und') as lang", "text")
+    assert (len(collocations._hot(given, 1, 8)) > 20) == (parts == 400)
     for top in (2_000, 3):
         got = sorted(tuple(r) for r in collocations.mine(documents(spark, rows).repartition(3), least=5, top=top).collect())
         assert got == plain_mining(rows, 5, top) and len(got) >= 9
