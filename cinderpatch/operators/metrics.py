@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bands import above, count_above, let
@@ -65,6 +67,41 @@ def threshold_report(rows: DataFrame, truth: Column, score: Column, thresholds:
     return metrics(wide.select(each.alias("x")).select("x.*"))
 
 
+def score_histogram(rows: DataFrame, truth: Column, score: Column, thresholds: tuple[float, ...]) -> DataFrame:
+    """(passed, positives, negatives): how many rows are above that many of the thresholds and no more, by label. Its
+    rows can be summed with those of other tables. At most one row per threshold and task is shuffled."""
+    cuts = sorted({np.float32(t) for t in thresholds})
+    # strictly above a threshold in single precision: at or above the next number
+    splits = [-np.inf, *[float(np.nextafter(t, np.float32(np.inf))) for t in cuts], np.inf]
+    given = rows.select(F.coalesce(truth, F.lit(False)).alias("y"), F.coalesce(score.cast("float"), F.lit(float("nan"))).cast("double").alias("s"))
+    cut = Bucketizer(splits=splits, inputCol="s", outputCol="passed", handleInvalid="keep").transform(given)
+    passed = F.when(F.isnan("s"), 0).otherwise(F.col("passed").cast("int"))
+    return cut.groupBy(passed.alias("passed")).agg(F.count_if("y").alias("positives"), F.count_if(~F.col("y")).alias("negatives"))
+
+
+def threshold_curve(rows: DataFrame, truth: Column, score: Column, thresholds: tuple[float, ...]) -> DataFrame:
+    """Metrics at any number of thresholds in one pass: all follow from one histogram of scores by label, of at most
+    one row per threshold."""
+    spark = rows.sparkSession
+    cuts = sorted({np.float32(t) for t in thresholds})
+    asked = spark.createDataFrame([(float(t), cuts.index(np.float32(t)) + 1) for t in dict.fromkeys(thresholds)], "threshold double, passed int")
+    bins = score_histogram(rows, truth, score, thresholds)
+    bins = bins.unionByName(asked.select("passed", F.lit(0).cast("bigint").alias("positives"), F.lit(0).cast("bigint").alias("negatives")))
+    bins = bins.unionByName(spark.createDataFrame([(0, 0, 0)], "passed int, positives bigint, negatives bigint"))
+    sums = bins.groupBy("passed").agg(F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"))
+    upward = Window.partitionBy(F.lit(0)).orderBy(F.col("passed").desc())  # a row per threshold
+    everything = Window.partitionBy(F.lit(0))
+    counts = sums.select(
+        "passed",
+        F.sum("positives").over(upward).alias("tp"),
+        F.sum("negatives").over(upward).alias("fp"),
+        F.sum("positives").over(everything).alias("p"),
+        F.sum("negatives").over(everything).alias("n"),
+    )
+    each = asked.join(counts, "passed").select("threshold", "tp", "fp", (F.col("p") - F.col("tp")).alias("fn"), (F.col("n") - F.col("fp")).alias("tn"))
+    return metrics(each)
+
+
 def patch_evaluation(patches: DataFrame, truth: str, cuts: list[tuple[str, float]]) -> DataFrame:
     """score, threshold and metrics for each of a few (score column, threshold) pairs, in one pass over the patches."""
     counted = patches.select(*[_counts(truth, score, t).alias(f"n{i}") for i, (score, t) in enumerate(cuts)])

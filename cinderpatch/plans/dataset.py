@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +46,32 @@ def cached(df: DataFrame, cache: bool | str = False) -> DataFrame:
     return df
 
 
+def fingerprint(spark: SparkSession, pattern: str, **options) -> str:
+    """Of all that a cached frame depends on: the files' paths, lengths and times, and the options."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", "length", F.unix_micros("modificationTime").alias("t"))
+    listed = sorted(tuple(r) for r in files.collect())
+    return hashlib.sha256(json.dumps([listed, options], sort_keys=True, default=str).encode()).hexdigest()
+
+
+def reused(spark: SparkSession, path: str, mark: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame that ``path`` holds under this fingerprint, else ``make``'s, written there by split. Rows go to a folder of
+    their own, and a manifest written after them makes them count: whoever stops halfway, or writes at the same time,
+    leaves no half-written cache behind. Copies under other fingerprints stay until someone deletes them."""
+    root = path.rstrip("/")
+    manifest, held = f"{root}/manifest-{mark}", None
+    try:
+        held = spark.read.schema("data string").json(manifest).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    if held is None:
+        data, df = f"data-{uuid.uuid4().hex}", make()
+        (df.write.partitionBy("split") if "split" in df.columns else df.write).parquet(f"{root}/{data}")
+        spark.createDataFrame([(data,)], "data string").coalesce(1).write.mode("overwrite").json(manifest)
+        held = (data,)
+    return spark.read.parquet(f"{root}/{held[0]}")
+
+
 def load_patches(
     spark: SparkSession,
     directory: str,
@@ -58,14 +88,23 @@ def load_patches(
     partitions: int | None = None,
 ) -> DataFrame:
     """Schema sidecar, record files, inputs and label; cached before the optional shuffle. ``split`` picks
-    the files whose name starts with it, so the others are never fetched. Float features are images but for
+    the files whose name starts with it, so the others are never fetched. A cache path is used again as long as files and
+    options are what they were. Float features are images but for
     ``non_img_features``; ``keep`` names scalars, such as the position, that stay beside the key."""
     schema = patch_struct(read_schema(spark, directory), non_img_features)
     images = [f.name for f in schema if isinstance(f.dataType, T.ArrayType)]  # other scalars are no input bands
     bands = input_bands(images, list(outputs), non_img_features)
     glob = f"{directory.rstrip('/')}/{split + '-' if split else ''}{pattern}"
-    patches = read_tfrecords(spark, glob, schema, size, [key, *keep, *bands, *outputs], compression, partitions=partitions)
-    frame = cached(split_bands(patches, bands, list(outputs), size, key, keep), cache)
+
+    def read() -> DataFrame:
+        patches = read_tfrecords(spark, glob, schema, size, [key, *keep, *bands, *outputs], compression, partitions=partitions)
+        return split_bands(patches, bands, list(outputs), size, key, keep)
+
+    if isinstance(cache, str):
+        mark = fingerprint(spark, glob, schema=schema.jsonValue(), outputs=outputs, size=size, compression=compression, key=key, keep=keep)
+        frame = reused(spark, cache, mark, read)
+    else:
+        frame = cached(read(), cache)
     return frame if shuffle_seed is None else shuffled(frame, shuffle_seed, key)
 
 

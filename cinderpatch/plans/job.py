@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from cinderpatch.operators.forward import Net, image_scores
 from cinderpatch.operators.metrics import threshold_report
-from cinderpatch.operators.ordering import take_batches
+from cinderpatch.operators.ordering import place, take_batches
 from cinderpatch.plans.dataset import build_datasets
 from cinderpatch.plans.score import evaluate
 from cinderpatch.plans.train import MODELS, Fitted, fit_with_validation, multi_scale_pixels, pixel_features, predict
@@ -31,12 +32,19 @@ def options(args: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--epochs", type=int, required=True)
     p.add_argument("--iterations", type=int, default=10, help="optimizer steps in an epoch")
     p.add_argument("--patience", type=int, default=5)
+    p.add_argument("--batch_size", type=int, default=4, help="patches in a step")
+    p.add_argument("--steps_per_epoch", type=int, help="an epoch learns from so many batches, the next ones in shuffled order; default: from all")
+    p.add_argument("--rounds_path", help="folder for each epoch's model and history; a job started again goes on from there")
+    p.add_argument("--cache_path", help="folder for decoded patches, used again as long as the files are the same")
     p.add_argument("--model_output_path")
     return p.parse_args(args)
 
 
 def pixels(frame: DataFrame, model_type: str, size: int) -> DataFrame:
-    """(id, pos, features, label) from patches with ``inputs`` and ``label``."""
+    """(id, pos, features, label) from patches with ``inputs`` and ``label``; a patch's ``place`` stays."""
+    if "place" in frame.columns:
+        kept = pixels(frame.withColumn("id", F.struct("place", "id")).drop("place"), model_type, size)
+        return kept.select("id.id", "pos", "features", "label", "id.place")
     bands = frame.schema["inputs"].dataType.fieldNames()
     flat = frame.select("id", "inputs.*", F.transform("label", lambda v: v.cast("double")).alias("label"))
     if model_type == "multi_scale_mlp_head":
@@ -55,14 +63,19 @@ def datasets(spark: SparkSession, o: argparse.Namespace) -> tuple[DataFrame, Dat
         compression=None if o.compression == "NONE" else o.compression,
         non_img_features=tuple(o.non_img_features),
         partitions=o.partitions,
+        cache=o.cache_path or False,
     )
 
 
 def run(spark: SparkSession, o: argparse.Namespace) -> Fitted:
     train, validation = datasets(spark, o)
+    share = None
+    if o.steps_per_epoch:
+        train = train.withColumn("place", place(0))
+        share = Fraction(o.steps_per_epoch * o.batch_size, max(1, train.count()))
     # Spark evens out the pixels of few large files, in partitions of a size, not of a number.
     deal = lambda df: pixels(df, o.model_type, o.patch_size).hint("rebalance")
-    fitted = fit_with_validation(deal(train), deal(validation), o.model_type, o.epochs, o.iterations, o.patience)
+    fitted = fit_with_validation(deal(train), deal(validation), o.model_type, o.epochs, o.iterations, o.patience, folder=o.rounds_path, share=share)
     if o.model_output_path:
         fitted.model.write().overwrite().save(o.model_output_path)
     return fitted

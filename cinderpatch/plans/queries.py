@@ -6,7 +6,9 @@ date), as a patch of 8 x 8 pixels of one band, or, 64 rows together, as a patch
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from fractions import Fraction
 
 import numpy as np
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
@@ -130,6 +132,14 @@ def threshold_sweep(spark, sf_dir):
     return _rounded(metrics.threshold_report(_pixels(spark, sf_dir, ["A01"]), _truth(), _score(), (0.5, 0.9, 0.99)))
 
 
+THRESHOLDS = tuple(i / 1001 for i in range(1, 1001))
+
+
+def threshold_curve(spark, sf_dir):
+    """A thousand thresholds from one histogram."""
+    return _rounded(metrics.threshold_curve(_pixels(spark, sf_dir, ["A01"]), _truth(), _score(), THRESHOLDS))
+
+
 def persistence_baseline(spark, sf_dir):
     rows = _table(spark, sf_dir, "labels").select((F.col("quality") > 0).alias("y"), "toxic")
     return _rounded(score.persistence_report(rows, "y", "toxic"))
@@ -177,6 +187,20 @@ def bounded_epoch(spark, sf_dir):
     return ordering.bounded_epoch(_pixels(spark, sf_dir, ["A00"]), 7, 10, 8, "vec_id")
 
 
+def epoch_slices(spark, sf_dir):
+    """Three epochs of 10 batches of 8, each a slice of the shuffled order, filtered from a table landed in it."""
+    rows = _pixels(spark, sf_dir, ["A00"])
+    share = Fraction(10 * 8, max(1, rows.count()))
+    landed = ordering.land_by_place(rows, shared_folder(spark, "places"), 7, "vec_id")
+    slices = [landed.where(ordering.epoch_slice(at, share)).select(F.lit(at).alias("epoch"), "vec_id", "A00", "BurnDate") for at in range(3)]
+    return slices[0].unionByName(slices[1]).unionByName(slices[2])
+
+
+def patch_ordinals(spark, sf_dir):
+    """Dense numbers by key."""
+    return ordering.numbered(_table(spark, sf_dir).select("vec_id", "label"), shared_folder(spark, "ordinals"), "vec_id")
+
+
 def keyed_eval(spark, sf_dir):
     rows = _pixels(spark, sf_dir, ["A01"])
     labels = rows.select("vec_id", _truth().alias("y"))
@@ -216,6 +240,18 @@ def train_history(spark, sf_dir):
     return fitted.history_frame(spark)
 
 
+def train_resume(spark, sf_dir):
+    """A fit that was stopped after its first round and started again, beside one that ran through: by round, whether
+    losses and choice are the same."""
+    data, whole = _fitted(spark, sf_dir)
+    frames = [data.where(F.col("split") == s) for s in ("training", "validation")]
+    folder = shared_folder(spark, "rounds")
+    for rounds in (1, 3):
+        again = train.fit_with_validation(*frames, "mlp", rounds=rounds, iterations=8, folder=folder)
+    both = whole.history_frame(spark).join(again.history_frame(spark).withColumnsRenamed({c: f"{c}_again" for c in ("train_loss", "val_loss", "is_best")}), "round")
+    return both.select("round", *[(F.col(c) == F.col(f"{c}_again")).alias(f"same_{c}") for c in ("train_loss", "val_loss", "is_best")])
+
+
 def multi_scale_fit(spark, sf_dir):
     patches = ordering.hashed_split(
         _table(spark, sf_dir).select("vec_id", "embedding", F.transform("embedding", lambda v: B.above(v, 0.0).cast("double")).alias("y")), "vec_id"
@@ -323,6 +359,20 @@ def record_datasets(spark, sf_dir):
     return both[0].unionByName(both[1]).groupBy("split").agg(F.count("*").alias("patches"), burned.alias("burned_pixels"))
 
 
+def cache_reuse(spark, sf_dir):
+    """Patches landed under a cache path, read again from it, and once more as other bands: which copy is read, and
+    what of it is true of the table."""
+    folder, cache = _records(spark, sf_dir), shared_folder(spark, "cache")
+    load = lambda outputs: load_patches(spark, folder, "*.tfrecord.gz", outputs, SIZE, cache=cache, non_img_features=POINTS)
+    told, known = [], []
+    for outputs in (("BurnDate",), ("BurnDate",), ("BurnDate", "A01")):
+        frame = load(outputs)
+        copy = re.search("data-[0-9a-f]+", frame.inputFiles()[0])[0]
+        known += [copy] * (copy not in known)
+        told.append(frame.groupBy("split").agg(F.lit(known.index(copy)).alias("copy"), F.count("*").alias("patches")).withColumn("load", F.lit(len(told))))
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
 def cache_roundtrip(spark, sf_dir):
     """Lands the pixels by split in the shared folder and reads them back."""
     landed = cached(ordering.hashed_split(_pixels(spark, sf_dir, ["A00", "A01"]), "vec_id"), shared_folder(spark, "pixels"))
@@ -430,6 +480,21 @@ ORACLE: dict[str, str] = {
     "take_n": "SELECT vec_id, embedding[1] AS A00, label AS BurnDate FROM embeddings ORDER BY vec_id LIMIT 40",
     "bounded_epoch": """SELECT vec_id, embedding[1] AS A00, label AS BurnDate FROM embeddings
       ORDER BY md5(concat('7:', vec_id)), vec_id LIMIT 80""",
+    "epoch_slices": " UNION ALL ".join(
+        f"""SELECT {at} AS epoch, vec_id, embedding[1] AS A00, label AS BurnDate FROM embeddings, (SELECT count(*) AS n FROM embeddings)
+        WHERE CAST(concat('0x', substr(md5(concat('7:', vec_id)), 1, 15)) AS BIGINT)
+          BETWEEN CAST({at} * 80 * {1 << 60}::HUGEINT // n AS BIGINT) AND CAST({at + 1} * 80 * {1 << 60}::HUGEINT // n AS BIGINT) - 1"""
+        for at in range(3)
+    ),
+    "patch_ordinals": "SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS ordinal FROM embeddings",
+    "threshold_curve": _metrics_sql(
+        f"""SELECT threshold, {', '.join(f"CAST(count(*) FILTER ({c}) AS BIGINT) AS {n}" for n, c in (("tp", "y AND h"), ("fp", "NOT y AND h"), ("fn", "y AND NOT h"), ("tn", "NOT y AND NOT h")))}
+        FROM (SELECT round(t / 1001, 6) AS threshold, {_TRUTH} AS y, {_P} > CAST(t / 1001 AS FLOAT) AS h FROM embeddings, range(1, 1001) AS r(t)) GROUP BY threshold""",
+        "threshold, ",
+    ),
+    "train_resume": "SELECT CAST(r AS INT) AS round, true AS same_train_loss, true AS same_val_loss, true AS same_is_best FROM range(1, 4) AS x(r)",
+    "cache_reuse": f"""SELECT split, CAST(copy AS INT) AS copy, patches, CAST(load AS INT) AS load
+      FROM (SELECT {_SPLIT} AS split, count(*) AS patches FROM embeddings GROUP BY 1), (VALUES (0, 0), (1, 0), (2, 1)) AS c(load, copy)""",
     "split_positives": f"""SELECT {_SPLIT} AS split, CAST(sum(len(list_filter(embedding, lambda x: x > CAST(0.1 AS FLOAT)))) AS BIGINT) AS n_positive
       FROM embeddings GROUP BY 1""",
     "evaluation_report": " UNION ALL ".join(
@@ -473,6 +538,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     metrics_report,
     patch_metrics,
     threshold_sweep,
+    threshold_curve,
     persistence_baseline,
     binary_iou,
     soft_dice,
@@ -483,10 +549,13 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     take_n,
     seeded_shuffle,
     bounded_epoch,
+    epoch_slices,
+    patch_ordinals,
     keyed_eval,
     batch_score,
     mlp_fit_predict,
     train_history,
+    train_resume,
     multi_scale_fit,
     split_positives,
     evaluation_report,
@@ -496,6 +565,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     record_inputs,
     record_outputs,
     record_datasets,
+    cache_reuse,
     cache_roundtrip,
 ]
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark import StorageLevel
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bands import layer_norm, multi_scale
 from ..operators.metrics import soft_dice
+from ..operators.ordering import epoch_slice
 
 
 def pixel_features(bands: list[str]) -> Column:
@@ -54,41 +58,95 @@ def predict(model, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
+Round = tuple[int, float, float, bool]
+
+
 @dataclass
 class Fitted:
     model: MultilayerPerceptronClassificationModel
-    history: list[tuple[int, float, float, bool]]  # round, train loss, validation loss, best so far
+    history: list[Round]  # round, train loss, validation loss, best so far
 
     def history_frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.history, "round int, train_loss double, val_loss double, is_best boolean")
 
 
+_ROUND = "round int, train_loss double, val_loss double, is_best boolean, settings string"
+
+
+class SavedRounds:
+    """Rounds of a fit in a shared folder: each round's model, then the line of its history that makes it count. What
+    a stopped job was writing is written anew."""
+
+    def __init__(self, spark: SparkSession, folder: str, settings: dict):
+        self.spark, self.folder, self.settings = spark, folder.rstrip("/"), json.dumps(settings, sort_keys=True)
+
+    def history(self) -> list[Round]:
+        """The rounds that are done; other settings are an error."""
+        try:
+            rows = self.spark.read.schema(_ROUND).json(f"{self.folder}/round-*").orderBy("round").collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        if other := {r["settings"] for r in rows} - {self.settings}:
+            raise ValueError(f"{self.folder} holds rounds of other settings: {', '.join(sorted(other))}, not {self.settings}")
+        done = [tuple(r)[:4] for r in rows]
+        return [r for n, r in enumerate(done, 1) if r[0] == n]
+
+    def model(self, at: int) -> MultilayerPerceptronClassificationModel:
+        return MultilayerPerceptronClassificationModel.load(f"{self.folder}/model-{at}")
+
+    def add(self, done: Round, model: MultilayerPerceptronClassificationModel) -> None:
+        model.write().overwrite().save(f"{self.folder}/model-{done[0]}")
+        line = self.spark.createDataFrame([(*done, self.settings)], _ROUND).coalesce(1)
+        line.write.mode("overwrite").json(f"{self.folder}/round-{done[0]}")
+
+
 def fit_with_validation(
-    train: DataFrame, validation: DataFrame, name: str = "mlp", rounds: int = 5, iterations: int = 10, patience: int = 5, seed: int = 0
+    train: DataFrame,
+    validation: DataFrame,
+    name: str = "mlp",
+    rounds: int = 5,
+    iterations: int = 10,
+    patience: int = 5,
+    seed: int = 0,
+    folder: str | None = None,
+    share: Fraction | None = None,
 ) -> Fitted:
     """Rounds of ``iterations`` steps, each going on from the weights of the last. Frames have ``features``
-    and ``label`` (0 or 1). The driver holds the weights and one loss per round; the rows stay where they are."""
+    and ``label`` (0 or 1). The driver holds the weights and one loss per round; the rows stay where they are.
+
+    ``folder``: each round's model and history are saved there as it ends, and a fit that finds rounds there goes on
+    after them, as if it had never stopped. ``share``: a round learns from this share of the rows only, the next slice of
+    their ``place`` in a shuffled order."""
     train, validation = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (train, validation))
     try:
         first = train.select(vector_to_array("features").alias("f")).first()
         if first is None:
             raise ValueError("there is no row to learn from")
-        n = len(first["f"])
-        model, best, history, best_loss, waited = None, None, [], float("inf"), 0
-        for at in range(1, rounds + 1):
+        n, history, model, best = len(first["f"]), [], None, None
+        settings = {"name": name.lower(), "features": n, "iterations": iterations, "seed": seed, "share": str(share)}
+        saved = SavedRounds(train.sparkSession, folder, settings) if folder else None
+        if saved and (history := saved.history()[:rounds]):
+            model = saved.model(len(history))
+            if bests := [r[0] for r in history if r[3]]:
+                best = saved.model(bests[-1])
+        best_loss, waited = float("inf"), 0
+        for _, _, loss, is_best in history:
+            best_loss, waited = (loss, 0) if is_best else (best_loss, waited + 1)
+        for at in range(len(history) + 1, rounds + 1):
+            if waited >= patience:
+                break
             trainer = build_model(name, n, iterations, seed)
             if model is not None:
                 trainer = trainer.setInitialWeights(model.weights)
-            model = trainer.fit(train)
+            model = trainer.fit(train if share is None else train.where(epoch_slice(at - 1, share)))
             losses = [soft_dice(predict(model, df), F.col("label"), F.col("p")).first()[0] for df in (train, validation)]
             is_best = losses[1] < best_loss
             history.append((at, *losses, is_best))
-            if is_best:
-                best, best_loss, waited = model, losses[1], 0
-            else:
-                waited += 1
-                if waited >= patience:
-                    break
+            if saved:
+                saved.add(history[-1], model)
+            best, best_loss, waited = (model, losses[1], 0) if is_best else (best, best_loss, waited + 1)
         return Fitted(best, history)
     finally:
         train.unpersist()

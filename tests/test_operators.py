@@ -135,3 +135,31 @@ def test_events(spark):
 def test_band_names_must_differ():
     with pytest.raises(ValueError, match="distinct"):
         score.score_patches(None, None, ["a", "a"], 4)
+
+
+def test_a_curve_of_thresholds_equals_the_report(spark):
+    values = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0, float("nan"), None, -1.0, float("inf"), 0.1, 0.30000001]
+    rows = spark.createDataFrame([(v, y) for v in values for y in (True, False, None)], "p float, y boolean")
+    cuts = (0.99, 0.5, 0.1, 0.25, 0.3, 0.5000000001, 1.0, -5.0)
+    want = metrics.threshold_report(rows, F.col("y"), F.col("p"), cuts)
+    got = metrics.threshold_curve(rows.repartition(3), F.col("y"), F.col("p"), cuts)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.columns == want.columns
+    nothing = metrics.threshold_curve(rows.limit(0), F.col("y"), F.col("p"), (0.5,)).first()
+    assert tuple(nothing) == (0.5, 0, 0, 0, 0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_histograms_can_be_summed(spark):
+    rows = spark.range(1000).select((F.col("id") / 1000).cast("float").alias("p"), (F.col("id") % 3 == 0).alias("y"))
+    cuts = tuple(i / 100 for i in range(100))
+    part = lambda df: metrics.score_histogram(df, F.col("y"), F.col("p"), cuts)
+    both = part(rows.where("p < 0.37")).unionByName(part(rows.where("p >= 0.37"))).groupBy("passed").agg(F.sum("positives"), F.sum("negatives"))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, part(rows).collect()))
+
+
+def test_numbers_are_dense_without_one_task(spark, tmp_path):
+    rows = spark.range(5_000).select((F.col("id") * 7919 % 5003).alias("id"), F.lit("x").alias("more")).repartition(6)
+    got = ordering.numbered(rows, str(tmp_path / "n"))
+    ids = sorted(r["id"] for r in rows.collect())
+    assert got.columns == ["id", "more", "ordinal"] and {r["id"]: r["ordinal"] for r in got.collect()} == {v: n for n, v in enumerate(ids, 1)}
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert ordering.numbered(rows.limit(0), str(tmp_path / "none")).count() == 0

@@ -255,3 +255,25 @@ def test_a_task_holds_a_few_records_of_a_large_file(tmp_path):
     _, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert n == 256 and peak < 40 << 20
+
+
+def test_a_cache_path_is_used_again_until_something_changes(spark, data, tmp_path, monkeypatch):
+    from cinderpatch.plans import dataset
+
+    reads, read = [], dataset.read_tfrecords
+    monkeypatch.setattr(dataset, "read_tfrecords", lambda *a, **k: reads.append(a[1]) or read(*a, **k))
+    load = lambda **more: load_patches(spark, str(data), "*.tfrecord.gz", size=SIZE, cache=str(tmp_path / "c"), **more)
+    want = sorted(map(repr, load().collect()))
+    again = load()
+    assert sorted(map(repr, again.collect())) == want and len(reads) == 1
+    assert not [f for f in again.inputFiles() if "tfrecord" in f]
+    load(keep=("lat",))
+    load(split="training")
+    assert len(reads) == 3 and load(split="training").count() == 3 and len(reads) == 3
+    records.write(data / "training-5.tfrecord.gz", [row(8)])
+    assert load().count() == 5 and len(reads) == 4
+    # a manifest without its line, as a stopped writer leaves it, does not count
+    mark = dataset.fingerprint(spark, f"{data}/*.gz", x=1)
+    (tmp_path / "c" / f"manifest-{mark}").mkdir()
+    made = dataset.reused(spark, str(tmp_path / "c"), mark, lambda: spark.range(3))
+    assert made.count() == 3 and dataset.reused(spark, str(tmp_path / "c"), mark, lambda: 1 / 0).count() == 3

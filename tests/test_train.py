@@ -1,9 +1,11 @@
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.sql import functions as F
 
-from cinderpatch.operators import forward
+from cinderpatch.operators import forward, ordering
 from cinderpatch.plans import job, train
 
 from . import records
@@ -111,3 +113,59 @@ def test_unknown_model():
         train.build_model("tree", 3)
     with pytest.raises(SystemExit):
         job.options(["--model_type", "tree", "--data_dir", "x", "--epochs", "1"])
+
+
+@pytest.fixture(scope="module")
+def random_rows(spark):
+    rows = spark.range(80).select("id", train.array_to_vector(F.array(F.rand(1), F.rand(2))).alias("features"), (F.rand(3) > 0.5).cast("double").alias("label"))
+    return spark.createDataFrame(rows.collect(), rows.schema)
+
+
+def test_a_stopped_fit_goes_on_as_if_it_had_not_stopped(spark, random_rows, tmp_path):
+    frames, folder = (random_rows.where("id % 4 > 0"), random_rows.where("id % 4 = 0")), str(tmp_path / "rounds")
+    whole = train.fit_with_validation(*frames, rounds=5, iterations=4)
+    for rounds in (2, 4):
+        train.fit_with_validation(*frames, rounds=rounds, iterations=4, folder=folder)
+    (tmp_path / "rounds" / "round-5").mkdir()  # what a job left that was stopped while it wrote
+    again = train.fit_with_validation(*frames, rounds=5, iterations=4, folder=folder)
+    assert again.history == whole.history and again.model.weights == whole.model.weights
+    # nothing is left to do: the saved rounds are the answer, also for fewer
+    assert train.fit_with_validation(*frames, rounds=5, iterations=4, folder=folder).history == whole.history
+    fewer = train.fit_with_validation(*frames, rounds=2, iterations=4, folder=folder)
+    assert fewer.history == whole.history[:2]
+    with pytest.raises(ValueError, match="other settings"):
+        train.fit_with_validation(*frames, rounds=5, iterations=5, folder=folder)
+
+
+def test_patience_counts_over_a_restart(spark, random_rows, tmp_path):
+    flipped = random_rows.withColumn("label", 1 - F.col("label"))
+    whole = train.fit_with_validation(random_rows, flipped, rounds=12, iterations=15, patience=3)
+    stop = len(whole.history) - 1
+    train.fit_with_validation(random_rows, flipped, rounds=stop, iterations=15, patience=3, folder=str(tmp_path / "r"))
+    again = train.fit_with_validation(random_rows, flipped, rounds=12, iterations=15, patience=3, folder=str(tmp_path / "r"))
+    assert again.history == whole.history and again.model.weights == whole.model.weights
+
+
+def test_epochs_take_the_next_slice(spark, tmp_path):
+    rows = spark.range(1000).withColumnRenamed("id", "key")
+    landed = ordering.land_by_place(rows.repartition(4), str(tmp_path / "places"), 3, "key")
+    share = Fraction(150, 1000)
+    slices = [{r["key"] for r in landed.where(ordering.epoch_slice(at, share)).collect()} for at in range(14)]
+    assert sum(map(len, slices[:6])) == len(set().union(*slices[:6])) and all(100 < len(s) < 200 for s in slices)
+    assert set().union(*slices[:7]) == set(range(1000)) and slices[6] & slices[0]
+    shuffled = [r["key"] for r in ordering.shuffled(rows, 3, "key").collect()]
+    assert shuffled[: len(slices[0])] == [r["key"] for r in landed.where(ordering.epoch_slice(0, share)).orderBy("place").collect()]
+    assert landed.where(ordering.epoch_slice(2, Fraction(3, 2))).count() == 1000
+    plan = landed.where(ordering.epoch_slice(1, share))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(place" in plan.split("PushedFilters")[1] and not [n for n in ("Exchange", "Sort") if n in plan]
+
+
+def test_job_with_bounded_epochs_and_restart(spark, data, tmp_path):
+    args = ["--model_type", "mlp", "--data_dir", str(data), "--patch_size", "8", "--iterations", "3", "--batch_size", "1", "--steps_per_epoch", "3"]
+    args += ["--rounds_path", str(tmp_path / "r"), "--cache_path", str(tmp_path / "c")]
+    first = job.run(spark, job.options([*args, "--epochs", "1"]))
+    both = job.run(spark, job.options([*args, "--epochs", "2"]))
+    assert both.history[:1] == first.history and len(both.history) == 2
+    train_frame, _ = job.datasets(spark, job.options([*args, "--epochs", "1"]))
+    opened = job.pixels(train_frame.withColumn("place", ordering.place(0)), "mlp", 8)
+    assert opened.columns == ["id", "pos", "features", "label", "place"] and opened.groupBy("id").agg(F.count_distinct("place")).count() == 6
