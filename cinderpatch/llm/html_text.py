@@ -1,22 +1,22 @@
 """Main text of web pages from streaming parser events.
 
 The standard library's parser streams a page's events. Every block element starts a line; its
-text-to-tag ratio is the number of its characters over its tags. The ratios of all lines, menus and
-footers included, are smoothed with a Gaussian over neighbouring lines and split at a threshold into
-content and other lines. Each container then scores the characters of its content lines less twice those of
-its other lines, and the one with the best score is the content region, or the article around it: the ratios
-alone choose it. All its lines are the main text, short ones too. A heading counts as a content line if one
-follows within the reach of the smoothing.
-
-What an element is can only veto: text in elements that are never content (menus, site headers, footers,
-sidebars, notices, adverts, forms, reader comments) adds nothing to a score and is no main text, wherever it
-stands. Elements are such by tag or role, or by a name in class or id. A name alone drops nothing: it marks
-the text, and ``dropped`` decides once the whole page is known. Scripts, styles and embedded media are no
-text at all.
+text-to-tag ratio is the number of its characters over its tags. The ratios of all lines are smoothed with a
+Gaussian over neighbouring lines and split at a threshold into content and other lines. Each container then
+scores the characters of its content lines less twice those of its other lines. Of the containers with content
+lines the one with the best score is the content region, or the article around it; the page itself only where none
+of its parts holds ``HELD`` of its content. All lines of the region are the main text, short ones too. A heading
+counts as a content line if one follows within the reach of the smoothing.
+
+What an element is weighs its text before the ratios are taken: text in elements that are never content (menus,
+site headers, footers, sidebars, notices, adverts, forms, reader comments) weighs nothing, so its lines have the
+ratio 0, and is no main text where it stands inside the region. Elements are such by tag or role, or by a name in
+class or id. A name alone drops nothing: it marks the text, and ``dropped`` decides once the whole page is known.
+Scripts, styles and embedded media are no text at all.
 
 Defined results: null html counts as the empty page; a page without text outside such elements gives
 the empty text; of containers with equal scores the innermost is the region; repeated rows stay repeated;
-a very long page is read whole, in time linear in its events; an empty table gives an empty result; other
+a very long page is read whole, in time linear in it but for unclosed quotes inside tags; an empty table gives an empty result; other
 columns are ignored. Character references are decoded; white space in a line becomes one space; ``br`` is
 white space.
 """
@@ -49,6 +49,9 @@ CONTAINER = frozenset("html body main article section div center table tbody tr
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("main article".split())  # the region grows to such an element around it
 CLOSES_P = BLOCK - {"html", "body"}
+#: What keeps an end tag, or a new item, from closing an element outside of it; ``*`` is any block but ``p``.
+NO_BARRIER, BLOCKS, BLOCKS_BUT_P = (), ("*", "p"), ("*",)
+LISTS, TABLE = ("ul", "ol", "dl", "table", "select", "tbody", "tr"), ("table",)
 SKIPPED_NAMES = re.compile(
     r"(?<![^\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|comments?|disqus|replies|menu|nav|navbar|navigation"
     r"|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|widget"
@@ -70,6 +73,8 @@ SIGMA = 1.0
 THRESHOLD = 0.5
 #: A character outside content lines costs a container as much as this many inside gain it.
 COST = 2.0
+#: Part of the page's content that a part of it must hold to be the region in its stead.
+HELD = 0.75
 
 
 @lru_cache(maxsize=4096)
@@ -113,7 +118,9 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[Element] = [Element("", 0, False, False, 0, 0)]
-        self.how_many: Counter = Counter()  # open elements by name
+        self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements by name
+        self.unclosed = False  # whether a comment was met that has no end
+        self.pages: set[int] = set()  # containers that are the page itself
         self.around: dict[int, int] = {}  # container: the one around it
         self.named: dict[int, tuple[int, int]] = {}  # mark, named element around
         self.whole: dict[int, tuple[str, int]] = {}  # main or article: name, innermost named element around
@@ -126,6 +133,10 @@ class _Lines(HTMLParser):
         end = self.rawdata.find(">", i)  # a bogus comment, as browsers read it
         return len(self.rawdata) if end < 0 else end + 1
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        self.unclosed = self.unclosed or self.rawdata.find("-->", i + 4) < 0
+        return -1 if self.unclosed else super().parse_comment(i, report)
+
     def end_line(self) -> None:
         if self.pieces:
             line = Line(self.pieces, max(1, self.tags), self.open[-1].container, any(e.name in HEADINGS for e in self.open[-3:]))
@@ -135,7 +146,7 @@ class _Lines(HTMLParser):
         self.tags = 0
 
     def vetoed(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if self.open[-1].vetoed or tag in VETOED or tag == "header" and not any(self.how_many[name] for name in WHOLE):
+        if self.open[-1].vetoed or tag in VETOED or tag == "header" and not any(self.places[name] for name in WHOLE):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
@@ -150,15 +161,17 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         if tag in CLOSES_P:
-            self.leave("p", BLOCK - {"p"})
+            self.leave("p", BLOCKS_BUT_P)
         if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            self.leave(tag, frozenset(("ul", "ol", "dl", "table", "select", "tbody", "tr") if tag not in ("tr",) else ("table",)))
+            self.leave(tag, TABLE if tag == "tr" else LISTS)
         self.count += 1
         inside, container = self.open[-1].named, self.open[-1].container
         vetoed = self.vetoed(tag, attrs)
         if tag in CONTAINER:
             self.around[self.count] = container
             container = self.count
+            if tag in ("html", "body"):
+                self.pages.add(container)
         if tag in WHOLE:
             self.whole[self.count] = tag, inside
         elif not vetoed and attrs and tag not in ("html", "body"):
@@ -166,24 +179,24 @@ class _Lines(HTMLParser):
             if mark:
                 self.named[self.count] = mark, inside
                 inside = self.count
-        self.how_many[tag] += 1
+        for name in _places(tag):
+            self.places[name].append(len(self.open))
         self.open.append(Element(tag, self.count, self.open[-1].unseen or tag in UNSEEN, vetoed, inside, container))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # only void elements close themselves
 
-    def leave(self, tag: str, until: frozenset[str]) -> None:
+    def leave(self, tag: str, until: tuple[str, ...]) -> None:
         """Closes the innermost element of this name and all in it, unless one of ``until`` is in between."""
-        if not self.how_many[tag]:
+        if not self.places[tag]:
+            return
+        at = self.places[tag][-1]
+        if any(self.places[name] and self.places[name][-1] > at for name in until):
             return
-        at = len(self.open) - 1
-        while self.open[at].name != tag:
-            if self.open[at].name in until:
-                return
-            at -= 1
         while len(self.open) > at:
             closed = self.open.pop()
-            self.how_many[closed.name] -= 1
+            for name in _places(closed.name):
+                self.places[name].pop()
             if closed.name in WHOLE:
                 self.ends[closed.number] = self.count
 
@@ -192,16 +205,62 @@ class _Lines(HTMLParser):
             self.end_line()
         self.tags += 1
         if tag not in VOID:
-            self.leave(tag, frozenset() if tag in BLOCK or tag in UNSEEN or tag in VETOED else frozenset(BLOCK))
+            self.leave(tag, NO_BARRIER if tag in BLOCK or tag in UNSEEN or tag in VETOED else BLOCKS)
 
     def handle_data(self, data: str) -> None:
         inner = self.open[-1]
         if not inner.unseen:
             self.pieces.append((inner.named, inner.vetoed, data))
 
-    def holds(self, whole: int, number: int) -> bool:
-        """Whether a main or article is around an element."""
-        return whole < number <= self.ends.get(whole, self.count)
+
+def _places(tag: str) -> tuple[str, ...]:
+    """The names under which an open element is found."""
+    return (tag, "*") if tag in BLOCK and tag != "p" else (tag,)
+
+
+class _Articles:
+    """How many articles lie beside an element: counted while elements are asked for in order of their starts.
+    An article counts once the named element around it has begun, until that element is gone."""
+
+    def __init__(self, parser: _Lines, whole: list[int], last: dict[int, int]):
+        self.around = {n: parser.whole[n][1] for n in whole}
+        self.coming = sorted(whole, key=lambda n: last[self.around[n]], reverse=True)
+        self.opening = sorted(whole, reverse=True)
+        self.ends = {n: parser.ends.get(n, parser.count) for n in whole}
+        self.closing = sorted(whole, key=lambda n: self.ends[n], reverse=True)
+        self.last = last
+        self.by_element: dict[int, list[int]] = defaultdict(list)
+        for n in whole:
+            for element in {self.around[n], last[self.around[n]]}:
+                self.by_element[element].append(n)
+        self.gone: set[int] = set()
+        self.counted: set[int] = set()
+        self.open: set[int] = set()
+        self.holding = 0  # of the counted ones, those that are open
+
+    def beside(self, number: int) -> bool:
+        while self.coming and self.last[self.around[self.coming[-1]]] < number:
+            n = self.coming.pop()
+            if not self.gone & {self.around[n], self.last[self.around[n]]}:
+                self.counted.add(n)
+                self.holding += n in self.open
+        while self.opening and self.opening[-1] < number:
+            n = self.opening.pop()
+            self.open.add(n)
+            self.holding += n in self.counted
+        while self.closing and self.ends[self.closing[-1]] < number:
+            n = self.closing.pop()
+            if n in self.open:
+                self.open.discard(n)
+                self.holding -= n in self.counted
+        return len(self.counted) > self.holding
+
+    def drop(self, element: int) -> None:
+        self.gone.add(element)
+        for n in self.by_element.pop(element, ()):
+            if n in self.counted:
+                self.counted.discard(n)
+                self.holding -= n in self.open
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -257,46 +316,57 @@ def dropped(parser: _Lines) -> set[int]:
     for number in sorted(named):
         mark, around = named[number]
         last[number] = number if mark > 1 else last[around]
+    articles = _Articles(parser, whole, last)
     for number in sorted(named):
         mark, around = named[number]
         if around in gone:
             gone.add(number)
+            articles.drop(number)
             continue
         if not size[number] or "main" in held[number]:
             continue
         if mark > 1:
-            beside = any(
-                last[at] < number and at not in gone and last[at] not in gone
-                for at in (parser.whole[n][1] for n in whole if not parser.holds(n, number))
-            )
+            beside = articles.beside(number)
             keep = not beside and (prose[number] == prose[0] if mark == 3 else 2 * prose[number] > prose[0])
         else:
             keep = "article" in held[number] or 2 * prose[number] >= size[number] or 2 * size[number] > size[0]
         if not keep:
             gone.add(number)
+            articles.drop(number)
             size[0] -= size[number]
             prose[0] -= prose[number]
     return gone
 
 
 def region(parser: _Lines, shown: list[str]) -> int:
-    """The container with the best score, 0 if there is none. ``shown``: each line's text without what is vetoed."""
+    """The container with the best score, 0 if there is none. ``shown``: each line's text without what weighs
+    nothing."""
     lines = parser.lines
-    sizes = np.array([len(line.text()) for line in lines], dtype=float)
-    content = clusters(sizes, [line.tags for line in lines])
-    for at in [i for i, line in enumerate(lines) if line.heading]:
+    content = clusters(np.array([len(text) for text in shown], dtype=float), [line.tags for line in lines])
+    for at in [i for i, line in enumerate(lines) if line.heading and shown[i]]:
         content[at] = content[at : at + 1 + int(3 * SIGMA)].any()
     score: Counter = Counter()
-    holding: set[int] = set()
-    for line, text, size, is_content in zip(lines, shown, sizes.tolist(), content.tolist(), strict=True):
-        score[line.container] += len(text) if is_content else -COST * size
-        if text:
-            holding.add(line.container)
+    gain: Counter = Counter()  # characters of content lines
+    headings: Counter = Counter()
+    for line, text, is_content in zip(lines, shown, content.tolist(), strict=True):
+        score[line.container] += len(text) if is_content else -COST * len(line.text())
+        gain[line.container] += len(text) * is_content
+        headings[line.container] += line.heading and is_content and bool(text)
     for number in sorted(parser.around, reverse=True):  # inner ones first
-        score[parser.around[number]] += score[number]
-        if number in holding:
-            holding.add(parser.around[number])
-    best = max(holding, key=lambda n: (score[n], n), default=0)
+        for sums in (score, gain, headings):
+            sums[parser.around[number]] += sums[number]
+    best = max((n for n in gain if gain[n]), key=lambda n: (score[n], n), default=0)
+    if not gain[best]:
+        return -1
+    parts: dict[int, list[int]] = defaultdict(list)
+    if best in parser.pages or not best:
+        for number, around in parser.around.items():
+            parts[around].append(number)
+    while best in parser.pages or not best:
+        largest = max(parts[best], key=lambda n: gain[n], default=None)
+        if largest is None or gain[largest] < HELD * gain[best] or headings[largest] < headings[best]:
+            break
+        best = largest
     at, found = best, best
     while at:
         if at in parser.whole:
@@ -307,7 +377,9 @@ def region(parser: _Lines, shown: list[str]) -> int:
 
 def main_text(html: str) -> str:
     parser = _Lines()
-    parser.feed(html)
+    # What begins after the last tag's end is text; the parser would look for an end from each such place.
+    last = html.rfind(">") + 1
+    parser.feed(html[:last] + html[last:].replace("<", "&lt;"))
     parser.close()
     parser.end_line()
     if not parser.lines:
