@@ -208,6 +208,13 @@ def keyed_eval(spark, sf_dir):
     return _rounded(score.keyed_report(labels, scores, ["vec_id"], "y", "p", 0.5))
 
 
+def bucketed_eval(spark, sf_dir):
+    """The same from two tables landed by key, which are joined where they lie."""
+    rows = _pixels(spark, sf_dir, ["A01"])
+    landed = [score.land_by_key(df, shared_folder(spark, name), "vec_id", 8) for name, df in (("labels", rows.select("vec_id", _truth().alias("y"))), ("scores", rows.select("vec_id", _score().alias("p"))))]
+    return _rounded(score.keyed_report(*landed, ["vec_id"], "y", "p", 0.5))
+
+
 def _make_logistic():
     import numpy as np
 
@@ -516,6 +523,7 @@ ORACLE: dict[str, str] = {
       FROM embeddings GROUP BY 1""",
     "seeded_shuffle": "SELECT vec_id, embedding[1] AS A00, label AS BurnDate FROM embeddings",
     "keyed_eval": _metrics_sql(_CONFUSION),
+    "bucketed_eval": _metrics_sql(_CONFUSION),
     "batch_score": f"SELECT vec_id, CAST(pos AS INT) AS pos, round(1 / (1 + exp(-CAST(v AS DOUBLE))), 6) AS p FROM ({_CELL})",
     "cache_roundtrip": """SELECT vec_id, embedding[1] AS A00, embedding[2] AS A01, label AS BurnDate,
       CASE WHEN vec_id % 5 = 0 THEN 'validation' ELSE 'training' END AS split FROM embeddings""",
@@ -552,6 +560,7 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     epoch_slices,
     patch_ordinals,
     keyed_eval,
+    bucketed_eval,
     batch_score,
     mlp_fit_predict,
     train_history,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import predict_batch_udf
@@ -32,6 +33,16 @@ def event_patches(patches: DataFrame, truth: str, score: str, examined: int | No
     return looked_at.where(has_event(F.col(truth), F.col(score)))
 
 
+def land_by_key(df: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """``df`` as a table whose files hold a hash bucket of the key each, in its order. Tables that were landed with as many
+    buckets are joined by this key where they lie, without a shuffle. The files are in ``path``; the
+    session's catalogue only holds the name."""
+    table = f"landed_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key)  # a file per bucket
+    dealt.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def keyed_report(labels: DataFrame, scores: DataFrame, keys: list[str], truth: str, score: str, threshold: float) -> DataFrame:
     """Metrics of labels and scores that come from different frames: joined by key, never by position."""
     both = labels.join(scores, keys, "inner")

@@ -163,3 +163,19 @@ def test_numbers_are_dense_without_one_task(spark, tmp_path):
     assert got.columns == ["id", "more", "ordinal"] and {r["id"]: r["ordinal"] for r in got.collect()} == {v: n for n, v in enumerate(ids, 1)}
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
     assert ordering.numbered(rows.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_tables_landed_by_key_are_joined_where_they_lie(spark, tmp_path):
+    ids = spark.range(2_000).select((F.col("id") * 37 % 2_003).alias("id"))
+    labels, scores = ids.select("id", (F.col("id") % 3 == 0).alias("y")), ids.select("id", (F.col("id") % 7 / 7).cast("float").alias("p")).repartition(5)
+    want = score.keyed_report(labels, scores, ["id"], "y", "p", 0.5).first()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables too large for it
+    try:
+        landed = [score.land_by_key(df, str(tmp_path / name), "id", 6) for name, df in (("y", labels), ("p", scores))]
+        plan = landed[0].join(landed[1], "id")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Bucketed: true") == 2, plan
+        assert score.keyed_report(*landed, ["id"], "y", "p", 0.5).first() == want
+        other = score.land_by_key(scores, str(tmp_path / "other"), "id", 5)  # fewer buckets: still right, by a shuffle
+        assert score.keyed_report(landed[0], other, ["id"], "y", "p", 0.5).first() == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
