@@ -1,8 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-Turns are collected per conversation as structs, sorted, and runs of the same role are merged into one
-block by array aggregation; the border of two merged turns keeps a mark of its own, so reading back
-gives every turn. Texts are escaped so that no control string can occur inside them.
+Turns are collected per conversation as structs and sorted. Runs of the same role become one block by array
+aggregation: the places where the role changes cut the array into slices, and each slice is folded into a role and
+its texts. The border of two merged turns keeps a mark of its own, so reading back gives every turn. Texts are escaped so that no control string can occur inside them.
 
 A block is ``<|im_start|>role\\ntext<|im_end|>\\n``; merged texts stand apart by ``<|turn|>``. In texts and
 roles ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``; a line feed in a role becomes ``<|nl|>``.
@@ -33,6 +33,26 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\([\\|])", "$1")
 
 
+def _blocks(turns: Column) -> Column:
+    """array<struct<role, texts>> of sorted turns: a block for each run of a role."""
+
+    def cut(t: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(t) - 1)
+        changes = F.filter(places, lambda i: (i == 0) | (F.get(t, i)["role"] != F.get(t, i - 1)["role"]))
+        return let(
+            changes,
+            lambda starts: F.transform(
+                starts,
+                lambda start, n: let(
+                    F.slice(t, start + 1, F.coalesce(F.get(starts, n + 1), F.size(t)) - start),
+                    lambda run: F.struct(run[0]["role"].alias("role"), F.transform(run, lambda x: x["text"]).alias("texts")),
+                ),
+            ),
+        )
+
+    return let(turns, cut)
+
+
 def format_chats(
     turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant"
 ) -> DataFrame:
@@ -47,34 +67,35 @@ def format_chats(
         ).alias("turn"),
     )
     sorted_turns = rows.groupBy("key").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    # Walk the sorted turns once: text before each turn, which depends on the role before it.
-    lead = lambda before, now: (
-        F.when(before.isNull(), F.concat(F.lit(START), now, F.lit("\n")))
-        .when(before == now, F.lit(TURN))
-        .otherwise(F.concat(F.lit(END + "\n" + START), now, F.lit("\n")))
-    )
-    parts = sorted_turns.select(
+    merged = sorted_turns.select("key", _blocks(F.col("turns")).alias("blocks"))
+    # A turn's text, with the control strings before and behind it.
+    parts = merged.select(
         "key",
-        let(
-            F.col("turns"),
-            lambda t: F.transform(
-                t,
-                lambda x, i: F.struct(
-                    lead(F.get(t, i - 1)["role"], x["role"]).alias("lead"), x["text"].alias("text"), (x["role"] == learn).alias("learn")
+        F.flatten(
+            F.transform(
+                "blocks",
+                lambda b: F.transform(
+                    b["texts"],
+                    lambda x, i: F.struct(
+                        F.when(i == 0, F.concat(F.lit(START), b["role"], F.lit("\n"))).otherwise(TURN).alias("lead"),
+                        x.alias("text"),
+                        F.when(i == F.size(b["texts"]) - 1, END + "\n").otherwise("").alias("tail"),
+                        (b["role"] == learn).alias("learn"),
+                    ),
                 ),
-            ),
+            )
         ).alias("parts"),
     )
     placed = running(
         F.col("parts"),
-        lambda p: F.length(p["lead"]) + F.length(p["text"]),
+        lambda p: F.length(p["lead"]) + F.length(p["text"]) + F.length(p["tail"]),
         lambda at, p: F.struct((at + F.length(p["lead"])).alias("start"), F.length(p["text"]).alias("length"), p["learn"].alias("learn")),
         "struct<start:int,length:int,learn:boolean>",
     )
     spans = F.transform(F.filter(placed, lambda s: s["learn"]), lambda s: F.struct(s["start"], s["length"]))
     return parts.select(
         "key",
-        F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(END + "\n")).alias("formatted"),
+        F.array_join(F.transform("parts", lambda p: F.concat(p["lead"], p["text"], p["tail"])), "").alias("formatted"),
         spans.alias("loss_spans"),
     )
 
