@@ -12,12 +12,13 @@ from fractions import Fraction
 
 import numpy as np
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import bands as B
-from ..operators import grid, metrics, ordering
+from ..operators import grid, history, metrics, ordering
 from ..operators.forward import Net
 from . import job, score, train
 from ..sources.schema import patch_struct, read_schema, write_schema
@@ -247,6 +248,31 @@ def train_history(spark, sf_dir):
     return fitted.history_frame(spark)
 
 
+def best_rounds(spark, sf_dir):
+    """Ten fits' histories: which rounds run with a patience of five, and which of them is best."""
+    losses = _table(spark, sf_dir).select(F.col("label").alias("fit"), F.col("vec_id").alias("round"), F.get("embedding", F.lit(0)).cast("double").alias("val_loss"))
+    return history.best_rounds(losses, ["fit"], 5)
+
+
+def round_choices(spark, sf_dir):
+    """The same histories by round."""
+    losses = _table(spark, sf_dir).select(F.col("label").alias("fit"), F.col("vec_id").alias("round"), F.get("embedding", F.lit(1)).cast("double").alias("val_loss"))
+    return history.stopped_early(losses, ["fit"], 12).withColumn("waited", F.col("waited").cast("bigint"))
+
+
+def pixel_vectors(spark, sf_dir):
+    """Bands side by side as a feature vector, in their order, and back."""
+    picked = ["A16", "A01", "A63", "A09"]
+    vectors = _pixels(spark, sf_dir, picked).select("vec_id", train.pixel_features(picked).alias("features"))
+    return vectors.select("vec_id", F.posexplode(vector_to_array("features")).alias("pos", "value"))
+
+
+def peeked_patches(spark, sf_dir):
+    """What the first patches of the validation files hold, by the record reader."""
+    frame = load_patches(spark, _records(spark, sf_dir), "*.tfrecord.gz", size=SIZE, non_img_features=POINTS, split="validation")
+    return job.peek(frame, 20)
+
+
 def train_resume(spark, sf_dir):
     """A fit that was stopped after its first round and started again, beside one that ran through: by round, whether
     losses and choice are the same."""
@@ -386,6 +412,16 @@ def cache_roundtrip(spark, sf_dir):
     return landed.select("vec_id", "A00", "A01", "BurnDate", "split")
 
 
+def _stopped_sql(value: int, patience: int) -> str:
+    return f"""
+      WITH h AS (SELECT label AS fit, vec_id AS round, CAST(embedding[{value}] AS DOUBLE) AS val_loss FROM embeddings),
+      b AS (SELECT *, row_number() OVER w AS n, coalesce(val_loss < min(val_loss) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best
+            FROM h WINDOW w AS (PARTITION BY fit ORDER BY round)),
+      d AS (SELECT *, n - max(CASE WHEN is_best THEN n END) OVER (PARTITION BY fit ORDER BY round) AS waited FROM b)
+      SELECT fit, round, val_loss, is_best, waited FROM d
+      QUALIFY NOT coalesce(bool_or(waited >= {patience}) OVER (PARTITION BY fit ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)"""
+
+
 _PX = "embeddings"
 _P = "CAST((CAST(embedding[2] AS DOUBLE) + 0.3) / 0.6 AS FLOAT)"
 _CELL = "SELECT vec_id, unnest(range(64)) AS pos, unnest(embedding) AS v FROM embeddings"
@@ -499,6 +535,12 @@ ORACLE: dict[str, str] = {
         FROM (SELECT round(t / 1001, 6) AS threshold, {_TRUTH} AS y, {_P} > CAST(t / 1001 AS FLOAT) AS h FROM embeddings, range(1, 1001) AS r(t)) GROUP BY threshold""",
         "threshold, ",
     ),
+    "best_rounds": f"""SELECT fit, count(*) AS rounds, min_by(round, val_loss) AS best_round, min(val_loss) AS best_loss
+      FROM ({_stopped_sql(1, 5)}) GROUP BY fit""",
+    "round_choices": f"SELECT fit, round, val_loss, is_best, waited FROM ({_stopped_sql(2, 12)})",
+    "pixel_vectors": """SELECT vec_id, CAST(i AS INT) AS pos, CAST([embedding[17], embedding[2], embedding[64], embedding[10]][i + 1] AS DOUBLE) AS value
+      FROM embeddings, range(4) AS r(i)""",
+    "peeked_patches": "SELECT vec_id AS id, 'A00, A01, burned_area_2023' AS inputs, CAST(64 AS INT) AS label_values FROM embeddings WHERE vec_id % 5 = 0 ORDER BY vec_id LIMIT 20",
     "train_resume": "SELECT CAST(r AS INT) AS round, true AS same_train_loss, true AS same_val_loss, true AS same_is_best FROM range(1, 4) AS x(r)",
     "cache_reuse": f"""SELECT split, CAST(copy AS INT) AS copy, patches, CAST(load AS INT) AS load
       FROM (SELECT {_SPLIT} AS split, count(*) AS patches FROM embeddings GROUP BY 1), (VALUES (0, 0), (1, 0), (2, 1)) AS c(load, copy)""",
@@ -564,6 +606,10 @@ _QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     batch_score,
     mlp_fit_predict,
     train_history,
+    best_rounds,
+    round_choices,
+    pixel_vectors,
+    peeked_patches,
     train_resume,
     multi_scale_fit,
     split_positives,

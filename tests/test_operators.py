@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cinderpatch.functions import bands as B
-from cinderpatch.operators import grid, metrics, ordering
+from cinderpatch.operators import grid, history, metrics, ordering
 from cinderpatch.plans import score
 from cinderpatch.plans.dataset import split_bands
 
@@ -179,3 +179,23 @@ def test_tables_landed_by_key_are_joined_where_they_lie(spark, tmp_path):
         assert score.keyed_report(landed[0], other, ["id"], "y", "p", 0.5).first() == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("patience", [1, 2, 5])
+def test_best_rounds_equal_a_plain_loop(spark, patience):
+    rng = random.Random(patience)
+    fits = {f: [rng.choice([rng.random(), float("nan"), 0.5, None]) for _ in range(rng.randint(1, 15))] for f in range(40)}
+    frame = spark.createDataFrame([(f, n, v) for f, values in fits.items() for n, v in enumerate(values, 1)], "fit int, round int, val_loss double")
+    want, kept = {}, {}
+    for f, values in fits.items():
+        best, best_at, waited, ran = math.inf, None, 0, []
+        for n, v in enumerate(values, 1):
+            better = v is not None and v < best
+            best, best_at, waited = (v, n, 0) if better else (best, best_at, waited + 1)
+            ran.append((n, better, waited))
+            if waited >= patience:
+                break
+        want[f], kept[f] = (len(ran), best_at, None if best_at is None else best), ran
+    assert {r["fit"]: tuple(r)[1:] for r in history.best_rounds(frame, ["fit"], patience).collect()} == want
+    rows = history.stopped_early(frame.repartition(3), ["fit"], patience).orderBy("fit", "round").collect()
+    assert {f: [(r["round"], r["is_best"], r["waited"]) for r in rows if r["fit"] == f] for f in fits} == kept
