@@ -39,14 +39,14 @@ from .common import SLICE_ROWS, saved
 LONGEST = 4
 #: Bits of a word's number within a trie; a trie that knows ``WORDS`` words is spilled whole and begun anew.
 BITS = 20
-WORDS = 200_000
+WORDS = 120_000
 #: Windows that a task holds, of about 120 bytes, and those of a container before it bursts.
-ENTRIES = 1 << 19
+ENTRIES = 3 << 17
 BURST = 1 << 12
 #: Bytes of text that are read before they are counted, that are looked at together at most, that make a bucket, and
 #: that tell hot prefixes.
-HELD_BYTES = 4 << 20
-CHUNK = 2 << 20
+HELD_BYTES = 2 << 20
+CHUNK = 1 << 20
 BUCKET_BYTES = 8 << 20
 SAMPLE_BYTES = 32 << 20
 #: A hot prefix holds at least one of so many parts of a bucket's share of the sample, and has this count there at

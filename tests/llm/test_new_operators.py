@@ -217,7 +217,7 @@ def phrased():
     return [*rows, (900, None, "en", "s"), (901, "", "fr", "s"), (902, " .\t\n", "it", "s"), (0, texts[0], None, "s"), (None, texts[5], "en", "s")]
 
 
-@pytest.mark.parametrize(("entries", "burst", "chunk", "words", "hot", "parts"), [(1 << 19, 1 << 12, 1 << 20, 200_000, 16, 4), (40, 3, 50, 30, 1, 4), (40, 3, 50, 30, 8, 400)])
+@pytest.mark.parametrize(("entries", "burst", "chunk", "words", "hot", "parts"), [(3 << 17, 1 << 12, 1 << 20, 120_000, 16, 4), (40, 3, 50, 30, 1, 4), (40, 3, 50, 30, 8, 400)])
 def test_phrases_equal_plain_counts(spark, monkeypatch, entries, burst, chunk, words, hot, parts):
     """In one go, and with bursts, spills, new tries, cut texts and hot prefixes all over."""
     for name, value in (("ENTRIES", entries), ("BURST", burst), ("CHUNK", chunk), ("WORDS", words), ("HOT_COUNT", hot), ("HOT_PARTS", parts)):
