@@ -14,7 +14,8 @@ candidates that hold it, and ranked within its language.
 
 The shuffle carries a row per run and bucket: its words, once, and windows as numbers into them. Copies of texts are
 one window in a task. Buckets number the texts' bytes over ``BUCKET_BYTES``; a bucket is held by one task at a time.
-Above 2**45 bytes of text a spill has less than a window for each bucket: raise ``ENTRIES`` with the memory of a task.
+Where there are more than ``WAYS`` buckets (above some 30 GB of text), a spill would have but a few windows for
+each, so runs are merged by groups of buckets first, and again until a group is one bucket.
 
 Defined results: a null or empty text has no words; a null language is ``und`` and one with any that is named so;
 repeated rows count each; ties are broken by the phrase's bytes. A text longer than ``CHUNK`` is read in parts that
@@ -49,6 +50,9 @@ HELD_BYTES = 2 << 20
 CHUNK = 1 << 20
 BUCKET_BYTES = 8 << 20
 SAMPLE_BYTES = 32 << 20
+#: Ways into which a run is dealt at once, and windows that are gathered into a longer run.
+WAYS = 4_096
+GATHERED = 1 << 20
 #: A hot prefix holds at least one of so many parts of a bucket's share of the sample, and has this count there at
 #: least: both bound their number.
 HOT_PARTS = 4
@@ -201,20 +205,72 @@ def _numbers(data: bytes, size: int) -> np.ndarray:
 
 
 def _run_rows(lang: str, w: np.ndarray, counts: np.ndarray, words: Words, hot: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A sorted run: a row for each bucket, with its words and its windows as places among them."""
-    bucket = _bucket(prefix_hashes(lang, w, np.array(words.sums, dtype=np.uint64)), hot, buckets)
-    order = np.lexsort(((w[2] << BITS) | w[3], (w[0] << BITS) | w[1], bucket))
+    """A trie's spilled windows as a sorted run."""
+    return _dealt(lang, w, counts, _bucket(prefix_hashes(lang, w, np.array(words.sums, dtype=np.uint64)), hot, buckets), words.names)
+
+
+def _dealt(lang: str, w: np.ndarray, counts: np.ndarray, bucket: np.ndarray, names: list[bytes]) -> pa.RecordBatch:
+    """A sorted run: a row for each bucket, with its words and its windows as places among them; equal windows are
+    summed."""
+    order = np.lexsort(((w[2] << 32) | w[3], (w[0] << 32) | w[1], bucket))
     w, counts, bucket = w[:, order], counts[order], bucket[order]
+    new = np.flatnonzero(np.concatenate(([True], (w[:, 1:] != w[:, :-1]).any(axis=0) | (bucket[1:] != bucket[:-1]))))
+    w, counts, bucket = w[:, new], np.add.reduceat(counts, new), bucket[new]
     rows, borders = [], [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     for s, e in zip(borders, borders[1:]):  # noqa: B905  (neighbours)
         part = w[:, s:e]
         held = np.unique(part)
         held = held[held > 0]
         places = np.where(part > 0, np.searchsorted(held, part) + 1, 0)
-        rows.append((lang, int(bucket[s]), e - s, b"\n".join(map(words.names.__getitem__, held.tolist())), _least_bytes(places), _least_bytes(counts[s:e])))
+        rows.append((lang, int(bucket[s]), e - s, b"\n".join(map(names.__getitem__, held.tolist())), _least_bytes(places), _least_bytes(counts[s:e])))
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _RUN, strict=True)], schema=_RUN)
 
 
+def _joined(runs: list[tuple[int, int, bytes, bytes, bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Rows of several runs as (names, windows, counts) under one numbering of words."""
+    lists = [words.split(b"\n") for _, _, words, _, _ in runs]
+    names = [b"", *set().union(*lists)]
+    number = dict(zip(names, range(len(names)), strict=True))
+    columns = []
+    for words, (_, size, _, places, _) in zip(lists, runs, strict=True):
+        own = np.array([0, *map(number.__getitem__, words)], dtype=np.int64)
+        columns.append(own[_numbers(places, LONGEST * size).reshape(LONGEST, size)])
+    return names, np.concatenate(columns, axis=1), np.concatenate([_numbers(c, size) for _, size, _, _, c in runs])
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], most: int, part: int) -> Iterator[tuple[str, list[tuple[int, int, bytes, bytes, bytes]]]]:
+    """(language, rows) of sorted partitions: the rows of ``part`` neighbouring buckets together, ``most`` windows at a time."""
+    key, held, windows_held = None, [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            for lang, bucket, size, *rest in zip(*(c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns), strict=True):
+                if held and ((bucket // part, lang) != key or windows_held + size > most):
+                    yield key[1], held
+                    held, windows_held = [], 0
+                key = bucket // part, lang
+                held.append((bucket, size, *rest))
+                windows_held += size
+    if held:
+        yield key[1], held
+
+
+def _gathered(runs: DataFrame, buckets: int) -> DataFrame:
+    """Short rows become long ones where there are more than ``WAYS`` buckets: rows are dealt by groups of buckets first,
+    and neighbours in a group are merged into longer runs, which hold more windows of each bucket."""
+    part = math.ceil(buckets / WAYS)
+    if part == 1:
+        return runs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, held in _by_key(batches, GATHERED, part):
+            names, w, counts = _joined(held)
+            bucket = np.array([b for b, *_ in held], dtype=np.int32).repeat([size for _, size, *_ in held])
+            yield _dealt(lang, w, counts, bucket, names)
+
+    group = F.floor(F.col("bucket") / part)
+    return _gathered(runs.repartition(group).sortWithinPartitions(group, "lang").mapInArrow(run, _RUN_COLUMNS), part)
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, int]]:
     """(language, chunk, tail) of the rows' texts; those of a language go together, some ``HELD_BYTES`` at a time."""
     texts, held = defaultdict(list), 0
@@ -289,17 +345,9 @@ def _runs(given: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
 _PHRASE = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
 
 
-def _merged(lang: str, runs: list[tuple[int, bytes, bytes, bytes]], hot: np.ndarray, least: int) -> pa.RecordBatch:
+def _merged(lang: str, runs: list[tuple[int, int, bytes, bytes, bytes]], hot: np.ndarray, least: int) -> pa.RecordBatch:
     """The frequent phrases of a bucket, and the words of its language that it counted (k = 0)."""
-    lists = [words.split(b"\n") for _, words, _, _ in runs]
-    names = [b"", *set().union(*lists)]
-    number = dict(zip(names, range(len(names)), strict=True))
-    columns = []
-    for words, (size, _, places, _) in zip(lists, runs, strict=True):
-        own = np.array([0, *map(number.__getitem__, words)], dtype=np.int64)
-        columns.append(own[_numbers(places, LONGEST * size).reshape(LONGEST, size)])
-    w = np.concatenate(columns, axis=1)
-    counts = np.concatenate([_numbers(c, size) for size, _, _, c in runs])
+    names, w, counts = _joined(runs)
     checks = np.array([0, *(zlib.crc32(x) + 1 for x in names[1:])] if len(hot) else [], dtype=np.uint64)
     order = np.lexsort(((w[2] << 32) | w[3], (w[0] << 32) | w[1]))
     w, counts = w[:, order], counts[order]
@@ -332,19 +380,10 @@ def frequent_phrases(df: DataFrame, least: int = 30, text: str = "text", lang: s
     hot = _hot(given, size, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        slices = (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS))
-        for part in slices:
-            for here, bucket, *rest in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if (bucket, here) != key:
-                    if held:
-                        yield _merged(key[1], held, hot, least)
-                    key, held = (bucket, here), []
-                held.append(tuple(rest))
-        if held:
-            yield _merged(key[1], held, hot, least)
-
-    dealt = _runs(given, hot, buckets).repartition("bucket").sortWithinPartitions("bucket", "lang")
+        for lang, held in _by_key(batches, 1 << 62, 1):
+            yield _merged(lang, held, hot, least)
+
+    dealt = _gathered(_runs(given, hot, buckets), buckets).repartition("bucket").sortWithinPartitions("bucket", "lang")
     counted = dealt.mapInArrow(run, "lang string, k int, phrase string, n bigint")
     return counted.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0))
 
