@@ -57,7 +57,8 @@ def size_of(text: Column) -> Column:
 def _code(df: DataFrame, name: str) -> Column:
     """A dimension as bigint: numbers keep their order, strings lie by checksum, null lies below all."""
     if dict(df.dtypes)[name] in ("tinyint", "smallint", "int", "bigint"):
-        value = F.greatest(F.least(F.col(name).cast("bigint"), F.lit(-_LEAST)), F.lit(_LEAST))
+        clamped = F.greatest(F.least(F.col(name).cast("bigint"), F.lit(-_LEAST)), F.lit(_LEAST))
+        value = F.when(F.col(name).isNotNull(), clamped)  # these two skip nulls
     else:
         value = F.crc32(F.col(name).cast("string").cast("binary"))
     return F.coalesce(value, F.lit(_LEAST - 1))

@@ -84,6 +84,14 @@ def test_shards_equal_a_plain_tree(spark, monkeypatch):
     assert all(shard == told[crc[c]] for _, _, c, shard, _ in shards_of(spark, varied(), shards=6))
 
 
+def test_dimensions_keep_their_order_and_nulls_lie_below(spark):
+    frame = spark.createDataFrame([(1, -5, "b"), (2, None, None), (3, 7, "b"), (4, 2**62, "a"), (5, -(2**62), "a")], "id int, n bigint, s string")
+    rows = frame.select("id", kd_shards._code(frame, "n").alias("n"), kd_shards._code(frame, "s").alias("s")).collect()
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["n"])] == [2, 5, 1, 3, 4]
+    by_id = {r["id"]: r["s"] for r in rows}
+    assert by_id[1] == by_id[3] != by_id[4] == by_id[5] and by_id[2] < min(by_id[1], by_id[4])
+
+
 def test_a_hot_text_is_cut_where_it_must_be(spark):
     rows = [(i, "the same text again", "a", "s") for i in range(200)] + [(1_000 + i, f"other {i:04d} text here", "a", "s") for i in range(200)]
     weight = defaultdict(int)
