@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -44,6 +46,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """What earlier tasks of this Python worker have freed goes back to the system; else it stays the worker's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once inside an expression: Spark evaluates it one time for all uses in ``body``."""
     return F.transform(F.array(value), body)[0]

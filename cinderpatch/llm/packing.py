@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS
+from .common import SLICE_ROWS, give_back
 
 #: Characters that normalization leaves as they are but for lower case, each by itself: Latin and Cyrillic
 #: letters and what lies between them, without combining marks and the capital I with a dot.
@@ -296,6 +296,7 @@ def _packed(df: DataFrame, examples, tokens: int, segments: int, loss: int) -> D
     """``examples`` is called once per task and gives a function from a batch of rows to their pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         first = TaskContext.get().partitionId() << 40
         packer, of_rows, rows, n = Packer(tokens, segments, loss), examples(), [], 0
 
