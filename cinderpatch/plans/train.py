@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bands import layer_norm, multi_scale
+from ..functions.bands import layer_norm, let, multi_scale
 from ..operators.metrics import soft_dice
 from ..operators.ordering import epoch_slice
 
@@ -28,13 +28,19 @@ def multi_scale_pixels(patches: DataFrame, bands: list[str], size: int, label: s
     """(key, pos, features, label): each pixel's bands at scales 1, 2 and 4, normalised. Made in the patch
     row, then opened once; no shuffle."""
     scales = F.flatten(F.array(*[multi_scale(F.col(b), size) for b in bands]))  # an array of 3 * bands images
-    wide = patches.select(key, scales.alias("images"), F.lit(None).cast("array<double>").alias("truth") if label is None else F.col(label).alias("truth"))
-    # Each pixel's values are gathered before the rows open, so no row carries an image.
-    pixel = lambda pos: F.struct(
-        layer_norm(F.transform("images", lambda image: F.get(image, pos))).alias("values"), F.get(F.col("truth"), pos).alias("truth")
-    )
-    gathered = wide.select(key, F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), pixel).alias("pixels"))
-    opened = gathered.select(key, F.posexplode("pixels").alias("pos", "px"))
+    truth = F.lit(None).cast("array<double>") if label is None else F.col(label)
+
+    # Each pixel's values are gathered before the rows open, so no row carries an image. The images are bound to the
+    # row: as a column of their own, Spark would put their expression into the lambda and make them for each pixel.
+    def gather(row: Column) -> Column:
+        values = lambda pos: layer_norm(F.transform(row["images"], lambda image: F.get(image, pos)))
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(size * size - 1)), lambda pos: F.struct(values(pos).alias("values"), F.get(row["truth"], pos).alias("truth"))
+        )
+
+    gathered = patches.select(key, let(F.struct(scales.alias("images"), truth.alias("truth")), gather).alias("pixels"))
+    # For a plain column Spark would add a filter on its size and make all of it twice.
+    opened = gathered.select(key, F.posexplode(F.slice("pixels", 1, size * size)).alias("pos", "px"))
     return opened.select(key, "pos", array_to_vector("px.values").alias("features"), *([F.col("px.truth").alias("label")] if label else []))
 
 

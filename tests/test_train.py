@@ -94,6 +94,20 @@ def test_no_image_crosses_the_opening_of_pixels(spark, data):
     assert "id" in kept and "images" not in kept and "A00" not in kept and "label" not in kept, opened
 
 
+def test_scales_are_made_once_for_a_patch_not_for_each_pixel(spark):
+    patches = spark.range(3).select("id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda v: (v * 7 % 13).cast("float")).alias("v"))
+    made = train.multi_scale_pixels(patches, ["v"], 8)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan, plan
+    (line,) = [line for line in plan.split("\n") if " AS pixels" in line]
+    scales, pixel = line.rsplit("struct(values", 1)
+    assert "FLOOR(" in scales and "FLOOR(" not in pixel, pixel  # pooling and upsampling find their cells by FLOOR
+    image = patches.select("id", train.multi_scale(F.col("v"), 8).alias("m")).first()["m"]
+    by_pixel = made.where("id = 0").orderBy("pos").collect()
+    expected = forward.normalized(np.array(image).T)
+    assert np.abs(np.array([r["features"].toArray() for r in by_pixel]) - expected).max() < 1e-12 and made.count() == 3 * 64
+
+
 def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "a double, b double").select(train.pixel_features(["a", "b"]).alias("features"), F.lit(1.0).alias("label"))
     with pytest.raises(ValueError, match="no row"):
