@@ -16,6 +16,12 @@ def shuffled(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.col(key))
 
 
+def dealt(df: DataFrame, key: str = "id") -> DataFrame:
+    """The rows in equal numbers to as many tasks as run at once, each task's by key. For what goes over them again and
+    again, as a fit does: tasks of unlike size would let cores wait each time."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism).sortWithinPartitions(key)
+
+
 def take_batches(df: DataFrame, n: int, batch_size: int, key: str = "id") -> DataFrame:
     """The first ``n`` batches by key: a top-k, not a full sort."""
     return df.orderBy(key).limit(n * batch_size)

@@ -234,7 +234,8 @@ def batch_score(spark, sf_dir):
 def _fitted(spark, sf_dir):
     rows = ordering.hashed_split(_pixels(spark, sf_dir, BANDS), "vec_id")
     data = rows.select("vec_id", "split", train.pixel_features(BANDS).alias("features"), _truth().cast("double").alias("label"))
-    fitted = train.fit_with_validation(data.where("split = 'training'"), data.where("split = 'validation'"), "mlp", rounds=3, iterations=8)
+    frames = [ordering.dealt(data.where(F.col("split") == s), "vec_id") for s in ("training", "validation")]
+    fitted = train.fit_with_validation(*frames, "mlp", rounds=3, iterations=8)
     return data, fitted
 
 
@@ -277,7 +278,7 @@ def train_resume(spark, sf_dir):
     """A fit that was stopped after its first round and started again, beside one that ran through: by round, whether
     losses and choice are the same."""
     data, whole = _fitted(spark, sf_dir)
-    frames = [data.where(F.col("split") == s) for s in ("training", "validation")]
+    frames = [ordering.dealt(data.where(F.col("split") == s), "vec_id") for s in ("training", "validation")]
     folder = shared_folder(spark, "rounds")
     for rounds in (1, 3):
         again = train.fit_with_validation(*frames, "mlp", rounds=rounds, iterations=8, folder=folder)
@@ -289,7 +290,7 @@ def multi_scale_fit(spark, sf_dir):
     patches = ordering.hashed_split(
         _table(spark, sf_dir).select("vec_id", "embedding", F.transform("embedding", lambda v: B.above(v, 0.0).cast("double")).alias("y")), "vec_id"
     )
-    frames = [train.multi_scale_pixels(patches.where(F.col("split") == s), ["embedding"], SIZE, "y", "vec_id") for s in ("training", "validation")]
+    frames = [train.multi_scale_pixels(ordering.dealt(patches.where(F.col("split") == s), "vec_id"), ["embedding"], SIZE, "y", "vec_id") for s in ("training", "validation")]
     fitted = train.fit_with_validation(*frames, "multi_scale_mlp_head", rounds=2, iterations=5)
     return _rounded(metrics.threshold_report(train.predict(fitted.model, frames[1]), F.col("label") > 0, F.col("p").cast("float"), (0.5, 0.9)))
 

@@ -6,7 +6,7 @@ from pyspark.ml.classification import MultilayerPerceptronClassificationModel
 from pyspark.sql import functions as F
 
 from cinderpatch.operators import forward, ordering
-from cinderpatch.plans import job, train
+from cinderpatch.plans import job, queries, train
 
 from . import records
 
@@ -183,3 +183,26 @@ def test_job_with_bounded_epochs_and_restart(spark, data, tmp_path):
     train_frame, _ = job.datasets(spark, job.options([*args, "--epochs", "1"]))
     opened = job.pixels(train_frame.withColumn("place", ordering.place(0)), "mlp", 8)
     assert opened.columns == ["id", "pos", "features", "label", "place"] and opened.groupBy("id").agg(F.count_distinct("place")).count() == 6
+
+
+def test_rows_of_a_fit_are_dealt_evenly(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = spark.read.parquet(str(tmp_path / "one"))
+    assert rows.rdd.getNumPartitions() == 1
+    parts = ordering.dealt(rows).rdd.glom().map(lambda part: [r["id"] for r in part]).collect()
+    assert len(parts) == 4 and max(map(len, parts)) - min(map(len, parts)) <= 1
+    assert sorted(sum(parts, [])) == list(range(1000)) and all(p == sorted(p) for p in parts)
+
+
+@pytest.mark.parametrize("name", ["train_resume", "multi_scale_fit"])
+def test_fit_queries_deal_their_rows(spark, monkeypatch, name):
+    seen = []
+
+    def fit(*frames, **options):
+        seen.extend(f.rdd.getNumPartitions() for f in frames[:2])
+        raise StopIteration
+
+    monkeypatch.setattr(train, "fit_with_validation", fit)
+    with pytest.raises(StopIteration):
+        queries.queries()[name](spark, "/root/testdata/sf0.001")  # a file of one part
+    assert seen == [4, 4]
